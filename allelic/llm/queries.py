@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from allelic.llm import line_dedup, substring_dedup
+from allelic.llm import ann, line_dedup, substring_dedup, topk
 from allelic.llm.common import table
 
 
+def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.exact_top_k(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup_units(table(spark, sf_dir, "documents"))
 
@@ -18,9 +23,14 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
 
 
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_substring_dedup, op9_line_dedup)}
+    return {f.__name__: f for f in (op5_exact_topk, op6_substring_dedup, op9_line_dedup, op10_ann)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_substring_dedup": substring_dedup.ORACLE_SQL, "op9_line_dedup": line_dedup.ORACLE_SQL}
+    return {"op5_exact_topk": topk.ORACLE_SQL, "op6_substring_dedup": substring_dedup.ORACLE_SQL, "op9_line_dedup": line_dedup.ORACLE_SQL}
