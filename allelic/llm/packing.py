@@ -30,55 +30,84 @@ from pyspark.sql import functions as F
 from allelic.llm.chunks import library_chunks
 from allelic.llm.common import bounded_batches, id_back, keyed, stored
 
-LENGTH, GRAIN, FILL = 2048, 4, 0.985
+LENGTH, GRAIN, FILL = 2048, 8, 0.985
 #: Rows of a lookup that may be broadcast.
 SMALL = 200_000
 
 
-def knapsack(values: np.ndarray, sizes: np.ndarray, room: int) -> tuple[float, np.ndarray]:
-    """Best value, and counts of each item, of an unbounded knapsack."""
+def knapsack(values: np.ndarray, sizes: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unbounded knapsack by dynamic programming: best value of each room up to ``room``, and the item taken last (-1: none). Sizes ascend."""
     best, pick = np.zeros(room + 1), np.full(room + 1, -1)
-    order = np.argsort(sizes)
-    values, sizes = values[order], sizes[order]
+    upto = np.searchsorted(sizes, np.arange(room + 1), side="right")
     for w in range(1, room + 1):
-        n = int(np.searchsorted(sizes, w, side="right"))
+        n = upto[w]
         best[w] = best[w - 1]
         if n:
             got = best[w - sizes[:n]] + values[:n]
-            k = int(got.argmax())
+            k = got.argmax()
             if got[k] > best[w] + 1e-12:
                 best[w], pick[w] = got[k], k
-    counts, w = np.zeros(len(sizes), np.int64), room
+    return best, pick
+
+
+def _taken(pick: np.ndarray, sizes: np.ndarray, room: int, first: int) -> np.ndarray:
+    """Counts of the best pattern that holds item ``first``."""
+    counts = np.zeros(len(sizes))
+    counts[first] = 1
+    w = room - int(sizes[first])
     while w > 0:
         if pick[w] < 0:
             w -= 1
         else:
-            counts[order[pick[w]]] += 1
+            counts[pick[w]] += 1
             w -= int(sizes[pick[w]])
-    return float(best[room]), counts
+    return counts
 
 
-def cutting_stock(sizes: np.ndarray, demand: np.ndarray, room: int, gap: float = 5e-4, steps: int = 5000) -> tuple[np.ndarray, np.ndarray]:
-    """Patterns (rows of counts by size) and how often each is used, possibly in part, to meet the demand exactly with the fewest rooms."""
+def cutting_stock(sizes: np.ndarray, demand: np.ndarray, room: int, gap: float = 4e-3, rounds: int = 200, smooth: float = 0.7) -> tuple[np.ndarray, np.ndarray]:
+    """Patterns (rows of counts by size) and how often each is used, possibly in part, to meet the demand exactly with few rooms.
+
+    Column generation on a basis of one pattern for each size. Each round prices with one knapsack: the best pattern
+    through every item is a candidate column, entered while its reduced cost stays negative. Prices are smoothed towards
+    size / room, the prices of a program without waste. Ends when no pattern improves the program, or within ``gap`` of
+    its lower bound.
+    """
     m = len(sizes)
+    ideal = sizes / room
     patterns = np.diag(room // sizes).astype(np.float64)
     inverse = np.diag(1.0 / np.diag(patterns))
     x = inverse @ demand
-    for _ in range(steps):
-        price = inverse.sum(0)
-        value, new = knapsack(price, sizes, room)
-        if value <= 1 + 1e-9 or x.sum() * (1 - 1 / value) <= gap * x.sum():
+    least = float(demand @ ideal)
+    for _ in range(rounds):
+        entered = 0
+        for share in (smooth, 0.0):
+            price = inverse.sum(0)
+            best, pick = knapsack(share * ideal + (1 - share) * price, sizes, room)
+            if not share:
+                least = max(least, x.sum() / max(1.0, best[room]))
+            through = ideal * share + (1 - share) * price + best[room - sizes]
+            for i in np.argsort(-through):
+                new = _taken(pick, sizes, room, int(i))
+                if price @ new <= 1 + 1e-7:
+                    continue
+                step = inverse @ new
+                grows = step > 1e-9
+                if not grows.any():
+                    continue
+                ratio = np.where(grows, x / np.where(grows, step, 1), np.inf)
+                out = int(ratio.argmin())
+                x = np.maximum(x - ratio[out] * step, 0)
+                x[out] = ratio[out]
+                patterns[out] = new
+                inverse[out] /= step[out]
+                step[out] = 0
+                inverse -= np.outer(step, inverse[out])
+                price = inverse.sum(0)
+                entered += 1
+            if entered:
+                break
+        if not entered or x.sum() - least <= gap * x.sum():
             break
-        step = inverse @ new
-        grows = step > 1e-9
-        ratio = np.where(grows, x / np.where(grows, step, 1), np.inf)
-        out = int(ratio.argmin())
-        x = np.maximum(x - ratio[out] * step, 0)
-        x[out] = ratio[out]
-        patterns[out] = new
-        inverse[out] /= step[out]
-        step[out] = 0
-        inverse -= np.outer(step, inverse[out])
     return patterns.astype(np.int64).reshape(m, m), x
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from allelic.llm import ann, bpe, line_dedup, packing, substring_dedup, token_output, topk
+from allelic.llm import ann, bpe, line_dedup, packing, quality, substring_dedup, token_output, topk
 from allelic.llm.common import scratch_path, table
 
 
@@ -16,6 +16,11 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score_documents(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
@@ -49,7 +54,7 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_packing, op5_exact_topk, op6_substring_dedup, op7_bpe, op8_token_output, op9_line_dedup, op10_ann)}
+    return {f.__name__: f for f in (op1_quality, op4_packing, op5_exact_topk, op6_substring_dedup, op7_bpe, op8_token_output, op9_line_dedup, op10_ann)}
 
 
 def oracle_sql() -> dict[str, str]:
