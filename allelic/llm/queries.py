@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from allelic.llm import ann, bpe, line_dedup, packing, quality, substring_dedup, token_output, topk
+from allelic.llm import ann, bpe, line_dedup, ngram_join, packing, quality, substring_dedup, token_output, topk
 from allelic.llm.common import scratch_path, table
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similarity_join(table(spark, sf_dir, "documents"))
+
+
 def _tokenizer(name: str) -> str:
     import public_tokenizers
 
@@ -54,8 +58,8 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op4_packing, op5_exact_topk, op6_substring_dedup, op7_bpe, op8_token_output, op9_line_dedup, op10_ann)}
+    return {f.__name__: f for f in (op1_quality, op2_ngram_join, op4_packing, op5_exact_topk, op6_substring_dedup, op7_bpe, op8_token_output, op9_line_dedup, op10_ann)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_topk": topk.ORACLE_SQL, "op6_substring_dedup": substring_dedup.ORACLE_SQL, "op9_line_dedup": line_dedup.ORACLE_SQL}
+    return {"op2_ngram_join": ngram_join.ORACLE_SQL, "op5_exact_topk": topk.ORACLE_SQL, "op6_substring_dedup": substring_dedup.ORACLE_SQL, "op9_line_dedup": line_dedup.ORACLE_SQL}
