@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from allelic.llm import ann, bpe, line_dedup, ngram_join, packing, quality, substring_dedup, token_output, topk
+from allelic.llm import ann, bpe, line_dedup, ngram_join, packing, quality, substring_dedup, suffix_dedup, token_output, topk
 from allelic.llm.common import scratch_path, table
 
 
@@ -14,6 +14,10 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similarity_join(table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup_bytes(table(spark, sf_dir, "documents"))
+
+
 def _tokenizer(name: str) -> str:
     import public_tokenizers
 
@@ -58,7 +62,7 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_ngram_join, op4_packing, op5_exact_topk, op6_substring_dedup, op7_bpe, op8_token_output, op9_line_dedup, op10_ann)}
+    return {f.__name__: f for f in (op1_quality, op2_ngram_join, op3_suffix_dedup, op4_packing, op5_exact_topk, op6_substring_dedup, op7_bpe, op8_token_output, op9_line_dedup, op10_ann)}
 
 
 def oracle_sql() -> dict[str, str]:
