@@ -4,7 +4,7 @@ Equal strings are brought together, then told apart by a Burrows-Wheeler transfo
 
 1. In every window of ``least`` bytes the k-byte string of the smallest hash is its anchor. Equal windows have equal
    anchors, so only anchors whose hash occurs more than once can lie in repeated windows; the others are dropped early
-   (about one anchor for every 39 bytes is looked at).
+   (about one anchor for every 35 to 40 bytes is looked at).
 2. The bytes around a repeated anchor (all windows that chose it) are its context. Contexts are grouped by anchor.
    Equal contexts of a task are merged before they are sent.
 3. A block of contexts is concatenated; its suffixes are sorted and the Burrows-Wheeler transform gives the backward
@@ -38,7 +38,7 @@ from allelic.llm.common import bounded_batches, id_back, keyed, row_with, stored
 
 LEAST = 100
 #: Bytes of an anchor.
-ANCHOR = 24
+ANCHOR = 20
 #: Occurrences up to which an anchor's contexts go to one block.
 HOT = 8192
 #: Windows hashed at once; bytes of a block of contexts; bytes of contexts a task holds before it sends them.
@@ -105,54 +105,85 @@ def _texts(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         at = upto
 
 
+class Places:
+    """Packs an anchor's place and the windows that chose it into a long, under 16 bits of the text's hash."""
+
+    def __init__(self, least: int):
+        if not 1 <= least <= 255:
+            raise ValueError("strings of 1 to 255 bytes are looked for")
+        self.bits = least.bit_length()
+        self.mask, self.top = (1 << self.bits) - 1, 46
+
+    def pack(self, tag: np.ndarray, place: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        return (tag << self.top) | (place << (2 * self.bits)) | ((place - first) << self.bits) | (last - first)
+
+    def unpack(self, packed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Place of the anchor in its context, first and last window."""
+        shift = (packed >> self.bits) & self.mask
+        first = (packed >> (2 * self.bits)) - shift
+        return shift, first, first + (packed & self.mask)
+
+
+def _tag(th):
+    """16 bits of a text's hash, of a column or an array: they part texts of one id well enough for grouping."""
+    return F.shiftrightunsigned(th, 48) if not isinstance(th, np.ndarray) else (th.view(np.uint64) >> np.uint64(48)).astype(np.int64)
+
+
 def _anchor_rows(texts: DataFrame, least: int, k: int) -> DataFrame:
+    places = Places(least)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, ths = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            ids, tags = batch.column(0).to_numpy(), _tag(batch.column(1).to_numpy())
             for row, data, bounds in _texts(batch.column(2)):
                 doc, h, place, first, last = anchors(data, bounds, least, k)
                 doc = doc + row
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(ids[doc]), pa.array(ths[doc]), pa.array(place), pa.array(first), pa.array(last)], names=["_h", "_id", "_th", "_a", "_s", "_e"])
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(ids[doc]), pa.array(places.pack(tags[doc], place, first, last))], names=["_h", "_id", "_p"])
 
-    return texts.mapInArrow(run, "_h long, _id long, _th long, _a long, _s long, _e long")
+    return texts.select("_id", "_th", "_text").mapInArrow(run, "_h long, _id long, _p long")
 
 
-CONTEXT = "_h long, _id long, _th long, _a long, _s long, _e long, _bytes binary"
+CONTEXT = "_id long, _th long, _p long, _bytes binary"
 SPAN = "_id long, _th long, _from long, _to long"
 
 
 def _contexts(listed: DataFrame, least: int) -> DataFrame:
     """Contexts of the listed anchors. Of equal ones of a task the earliest is sent; the others are repeated for sure and come without bytes."""
+    places = Places(least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first: dict[tuple, tuple] = {}
         held, out = 0, []
 
+        def packed(own: tuple, shift: int, windows: int) -> int:
+            return (own[2] + shift) << (2 * places.bits) | shift << places.bits | windows
+
         def flush() -> Iterator[pa.RecordBatch]:
-            rows = out + [(key[0], o[0], o[1], o[2] + key[1], o[2], o[2] + len(key[2]) - least, key[2]) for key, o in first.items()]
+            rows = out + [(*o[:2], packed(o, shift, len(data) - least), data) for (shift, data), o in first.items()]
             out.clear()
             first.clear()
             for at in range(0, len(rows), 4096):
                 cols = list(zip(*rows[at : at + 4096], strict=True))
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:6]), pa.array(cols[6], pa.binary())], names=["_h", "_id", "_th", "_a", "_s", "_e", "_bytes"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.binary())], names=["_id", "_th", "_p", "_bytes"])
 
         for batch in batches:
             lists = batch.column(3)
-            offsets = lists.offsets.to_numpy()
-            parts = [lists.values.field(i).to_numpy() for i in range(4)]
+            offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy()
             for row, (i, t, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
                 data = text.encode()
-                lo, hi = offsets[row], offsets[row + 1]
-                for h, a, s, e in zip(*(p[lo:hi].tolist() for p in parts), strict=True):
-                    key, own = (h, a - s, data[s : e + least]), (i, t, s)
+                for shift, s, e in zip(*(x.tolist() for x in places.unpack(values[offsets[row] : offsets[row + 1]])), strict=True):
+                    part = data[s : e + least]
+                    if len(part) < e + least - s:
+                        continue  # of another text of this id
+                    key, own = (shift, part), (i, t, s)
                     had = first.get(key)
                     if had is None:
                         first[key] = own
-                        held += len(key[2]) + 200
+                        held += len(part) + 200
                     elif own != had:
                         if own < had:
                             first[key], own = own, had
-                        out.append((hash(own), *own[:2], None, own[2], own[2] + e - s, None))
+                        out.append((*own[:2], packed(own, shift, e - s), None))
                         held += 100
             if held > HELD:
                 yield from flush()
@@ -181,7 +212,7 @@ def prefix_borders(text: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray
         at = np.flatnonzero(border)
         # the intervals on both sides of a new border, without the largest part of each interval that was split
         side = np.searchsorted(at, new)
-        part = np.unique(np.concatenate([side - 1, side]))
+        part = _distinct(np.concatenate([side - 1, side]))
         start, end = at[part], at[part + 1]
         parent = np.searchsorted(old, start, side="right")
         size = end - start
@@ -197,11 +228,16 @@ def prefix_borders(text: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray
         label = mark[to + 1]
         found = np.concatenate([to[mark[to] != label], (to + 1)[mark[to + 2] != label]])
         old = at
-        new = np.unique(found[~border[found]])
+        new = _distinct(found[~border[found]])
         border[new] = True
     return order, border[:n]
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 def _sorted_suffixes(text: np.ndarray, least: int) -> np.ndarray:
     """Suffixes sorted by at least ``least`` + 1 bytes, by prefix doubling from eight bytes on."""
     n = len(text)
@@ -211,7 +247,7 @@ def _sorted_suffixes(text: np.ndarray, least: int) -> np.ndarray:
         key = (key << np.uint64(8)) | padded[k : k + n]
     size = 8
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         sorted_ = key[order]
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(np.concatenate([[0], sorted_[1:] != sorted_[:-1]]))
@@ -248,8 +284,9 @@ def later_windows(contexts: list[tuple[tuple[int, int, int], bytes]], least: int
     return [(*contexts[owner[a]][0][:2], int(first[owner[a]] + shift[a]), int(first[owner[a]] + shift[b] + least)) for a, b in zip(edge.tolist(), last.tolist(), strict=True) if late[a]]
 
 
-def _spans(contexts: DataFrame, least: int) -> DataFrame:
+def _spans(contexts: DataFrame, least: int, k: int) -> DataFrame:
     """Spans of repeated windows, out of contexts grouped by anchor."""
+    places = Places(least)
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["_id", "_th", "_from", "_to"])
@@ -270,18 +307,19 @@ def _spans(contexts: DataFrame, least: int) -> DataFrame:
             return got
 
         for batch in batches:
-            for h, i, t, a, s, e, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            shifts, firsts, lasts = (x.tolist() for x in places.unpack(batch.column(3).to_numpy()))
+            for g, i, t, shift, s, e, data in zip(*(batch.column(c).to_pylist() for c in range(3)), shifts, firsts, lasts, batch.column(4).to_pylist(), strict=True):
                 if data is None:
                     out.append((i, t, s, e + least))
                     continue
-                if h != now:
+                if g != now:
                     size += close()
-                    now = h
+                    now = g
                     if size > BLOCK:
                         out += later_windows(block, least)
                         block.clear()
                         size = 0
-                key, own = (a - s, data), (i, t, s)
+                key, own = (shift, data), (i, t, s)
                 had = group.get(key)
                 if had is None:
                     group[key] = own
@@ -298,41 +336,53 @@ def _spans(contexts: DataFrame, least: int) -> DataFrame:
         if out:
             yield batch_of(out)
 
-    return contexts.repartition("_h").sortWithinPartitions("_h").mapInArrow(run, SPAN)
+    shift = F.shiftright("_p", places.bits).bitwiseAND(places.mask)
+    anchor = F.when(F.col("_bytes").isNotNull(), F.xxhash64(F.col("_bytes").substr((shift + 1).cast("int"), F.lit(k)))).otherwise(F.xxhash64("_id", "_p"))
+    # the hash of the anchor is computed on both sides of the exchange, not sent
+    grouped = contexts.repartition(anchor).select(anchor.alias("_g"), "_id", "_th", "_p", "_bytes").sortWithinPartitions("_g")
+    return grouped.mapInArrow(run, SPAN)
 
 
 def _hot_spans(listed: DataFrame, least: int) -> DataFrame:
     """Spans of repeated windows of anchors with very many occurrences: hashes of windows are grouped in the whole cluster."""
+    places = Places(least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, t, text, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 data = text.encode()
-                places = [p for x in found for p in range(x["_s"], x["_e"] + 1)]
-                codes = [xxhash.xxh3_128_digest(data[p : p + least]) for p in places]
-                n = len(places)
-                yield pa.RecordBatch.from_arrays([pa.array(codes, pa.binary()), pa.array([i] * n, pa.int64()), pa.array([t] * n, pa.int64()), pa.array(places, pa.int64())], names=["_w", "_id", "_th", "_p"])
+                _, firsts, lasts = places.unpack(np.array(found, np.int64))
+                windows = [p for a, b in zip(firsts.tolist(), lasts.tolist(), strict=True) for p in range(a, b + 1) if p + least <= len(data)]
+                codes = [xxhash.xxh3_128_digest(data[p : p + least]) for p in windows]
+                n = len(windows)
+                yield pa.RecordBatch.from_arrays([pa.array(codes, pa.binary()), pa.array([i] * n, pa.int64()), pa.array([t] * n, pa.int64()), pa.array(windows, pa.int64())], names=["_w", "_id", "_th", "_from"])
+
+    windows = listed.mapInArrow(run, "_w binary, _id long, _th long, _from long")
+    first = windows.groupBy("_w").agg(F.min(F.struct("_id", "_th", "_from")).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_w", "_first")
+    return windows.join(first.hint("merge"), "_w").where(F.struct("_id", "_th", "_from") > F.col("_first")).select("_id", "_th", "_from", (F.col("_from") + least).alias("_to"))
+
 
-    windows = listed.mapInArrow(run, "_w binary, _id long, _th long, _p long")
-    first = windows.groupBy("_w").agg(F.min(F.struct("_id", "_th", "_p")).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_w", "_first")
-    return windows.join(first.hint("merge"), "_w").where(F.struct("_id", "_th", "_p") > F.col("_first")).select("_id", "_th", F.col("_p").alias("_from"), (F.col("_p") + least).alias("_to"))
+def _tagged(docs: DataFrame, id_col: str, text_col: str, carry: bool = False) -> DataFrame:
+    return keyed(docs, id_col, text_col, carry).withColumn("_t", _tag(F.col("_th")))
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, anchor: int = ANCHOR, hot: int = HOT) -> DataFrame:
     """_id, _th, _from, _to: stretches of bytes to remove; they may overlap."""
     bounded_batches(docs.sparkSession)
-    texts = keyed(docs, id_col, text_col)
+    texts = _tagged(docs, id_col, text_col)
     anchor = min(anchor, least)
     found = _anchor_rows(texts, least, anchor)
     repeated = stored(found.groupBy("_h").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), "anchors")
     any_hot = bool(repeated.where(F.col("_n") > hot).limit(1).count())
 
     def listed(which: DataFrame) -> DataFrame:
-        """Texts with the places of those anchors; both joins of the texts share one exchange."""
-        places = found.join(which.select("_h").hint("merge"), "_h", "left_semi").groupBy("_id", "_th").agg(F.collect_list(F.struct("_h", "_a", "_s", "_e")).alias("_list"))
-        return texts.join(places.hint("merge"), ["_id", "_th"], "left").where(F.col("_list").isNotNull()).select("_id", "_th", "_text", "_list")
+        """Texts with the places of those anchors; all joins of the texts share one exchange."""
+        top = Places(least).top
+        own = found.join(which.select("_h").hint("merge"), "_h", "left_semi").select("_id", F.shiftright("_p", top).alias("_t"), F.col("_p").bitwiseAND((1 << top) - 1).alias("_p"))
+        own = own.groupBy("_id", "_t").agg(F.collect_list("_p").alias("_list"))
+        return texts.join(own.hint("merge"), ["_id", "_t"], "left").where(F.col("_list").isNotNull()).select("_id", "_th", "_text", "_list")
 
-    spans = _spans(_contexts(listed(repeated.where(F.col("_n") <= hot) if any_hot else repeated), least), least)
+    spans = _spans(_contexts(listed(repeated.where(F.col("_n") <= hot) if any_hot else repeated), least), least, anchor)
     if any_hot:
         spans = spans.unionAll(_hot_spans(listed(repeated.where(F.col("_n") > hot)), least))
     return spans
@@ -368,8 +418,9 @@ def whole_characters(data: bytes, spans: list[tuple[int, int]]) -> list[tuple[in
 
 
 def _with_spans(docs: DataFrame, id_col: str, text_col: str, least: int, hot: int, carry: bool) -> DataFrame:
-    spans = repeated_spans(docs, id_col, text_col, least, hot=hot).groupBy("_id", "_th").agg(F.collect_list(F.struct("_from", "_to")).alias("_list"))
-    return keyed(docs, id_col, text_col, carry).join(spans.hint("merge"), ["_id", "_th"], "left")
+    spans = repeated_spans(docs, id_col, text_col, least, hot=hot).withColumn("_t", _tag(F.col("_th"))).groupBy("_id", "_t").agg(F.collect_list(F.struct("_th", "_from", "_to")).alias("_list"))
+    rows = _tagged(docs, id_col, text_col, carry).join(spans.hint("merge"), ["_id", "_t"], "left")
+    return rows.withColumn("_list", F.filter("_list", lambda s: s["_th"] == F.col("_th")))
 
 
 def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, hot: int = HOT) -> DataFrame:
@@ -405,7 +456,7 @@ def clean_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             out.append(without(data, whole_characters(data, merged_spans(list(found), len(data)))).decode())
         return pd.Series(out, dtype=object)
 
-    rows = _with_spans(docs, id_col, text_col, least, hot, True).select("_row", F.col("_list").isNotNull().alias("_hit"), kept("_text", "_list").alias("_kept"))
+    rows = _with_spans(docs, id_col, text_col, least, hot, True).select("_row", (F.size("_list") > 0).alias("_hit"), kept("_text", "_list").alias("_kept"))
     changed = {text_col: F.when(F.col("_hit"), F.col("_kept")).otherwise(F.col("_row").getField(text_col))}
     if count_col in docs.columns:
         changed[count_col] = F.when(F.col("_hit"), F.length("_kept")).otherwise(F.col("_row").getField(count_col))
