@@ -160,10 +160,11 @@ def byte_level_pieces(chunk: str) -> list[str]:
 
 
 def word_pieces(chunk: str) -> list[str]:
-    """The vocabulary normalises before it splits; below U+0250 (but for one letter) that changes no split."""
-    if chunk.isalpha() or chunk and (max(chunk) >= "\u0250" or "\u0130" in chunk):
+    """The vocabulary normalises to lower case before it splits; below U+0250 (but for one letter) that changes no split."""
+    if chunk and (max(chunk) >= "\u0250" or "\u0130" in chunk):
         return [chunk]
-    return WORDS.findall(chunk)
+    chunk = chunk.lower()
+    return [chunk] if chunk.isalpha() else WORDS.findall(chunk)
 
 
 def ragged(values: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

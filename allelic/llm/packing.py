@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from allelic.llm.chunks import library_chunks
 from allelic.llm.common import bounded_batches, id_back, keyed, stored
 
-LENGTH, GRAIN, FILL = 2048, 8, 0.985
+LENGTH, GRAIN, FILL = 2048, 8, 0.97
 #: Rows of a lookup that may be broadcast.
 SMALL = 200_000
 
@@ -189,7 +189,7 @@ def ranked(counted: DataFrame, length: int, grain: int) -> tuple[DataFrame, dict
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = LENGTH, grain: int = GRAIN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of each piece."""
     spark = docs.sparkSession
-    rows, counts = ranked(token_counts(docs, tokenizer, end_id, length, id_col, text_col), length, grain)
+    rows, counts = ranked(stored(token_counts(docs, tokenizer, end_id, length, id_col, text_col), "tokens"), length, grain)
     uses, sequences, used = plan({c: n for c, n in counts.items() if c}, length, grain)
     # bounded: patterns times the items that a sequence can hold
     uses_df = spark.createDataFrame(uses, "_class long, _lo long, _hi long, _seq long, _per long, _slot long")
