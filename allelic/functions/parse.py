@@ -7,6 +7,8 @@ between tokens. A text that no pattern matches has a null variant.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -245,7 +247,14 @@ def parse_variant(text: Column) -> Column:
     return _when(*[(kind == k, v) for k, v in made.items()])
 
 
+@lru_cache(maxsize=64)
+def _parsed(column: str, session: int) -> Column:
+    """The expression for a column of that name, built once: it has some thousand nodes."""
+    return parse_variant(F.col(column))
+
+
 def with_variant(df: DataFrame, text: str, to: str = "variant") -> DataFrame:
     """Adds the variant struct, and ``<to>_error`` where the text isn't a variant."""
-    df = df.withColumn(to, parse_variant(F.col(text)))
+    # the random number, never under 0, keeps the optimizer from copying the large expression into filters and joins
+    df = df.withColumn(to, F.when(F.rand(0) >= 0, _parsed(text, id(df.sparkSession._jvm))))
     return df.withColumn(f"{to}_error", F.when(F.col(to).isNull() & F.col(text).isNotNull(), F.struct(F.lit("PestError").alias("kind"), F.concat(F.lit("Parse error: "), F.col(text)).alias("message"))))
