@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from allelic.llm.common import stored
+from allelic.llm.common import stored, trimmed
 from allelic.llm.vectors import QUERY_TILE, TopLists, matrices, merged, partial_lists, valid_vectors
 
 CENTROIDS, SUB = 16, 2
@@ -127,7 +127,7 @@ def build_index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
                     [pa.array(ids), pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1) * d, pa.int32()), flat), pa.array([x.tobytes() for x in packed], pa.binary())], names=["_id", "_v", "_code"]
                 )
 
-    return stored(rows.mapInArrow(code, "_id long, _v array<double>, _code binary"), "ann"), books
+    return stored(rows.mapInArrow(trimmed(code), "_id long, _v array<double>, _code binary"), "ann"), books
 
 
 def _kernel(k: int, books: dict[int, np.ndarray], shortlist: int):

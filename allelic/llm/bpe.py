@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from allelic.llm.chunks import CACHE, Chunks, byte_level_pieces, ragged
-from allelic.llm.common import bounded_batches
+from allelic.llm.common import bounded_batches, trimmed
 
 #: Words of more bytes are merged exactly at once.
 LONG = 256
@@ -255,7 +255,7 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             ids, begin = chunks.gather(*chunks.texts(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(ids.astype(np.int32)))], names=["doc_id", "ids"])
 
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").alias("_text")).mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").alias("_text")).mapInArrow(trimmed(run), "doc_id long, ids array<int>")
 
 
 def decode_ids(encoded: DataFrame, path: str) -> DataFrame:
@@ -268,7 +268,7 @@ def decode_ids(encoded: DataFrame, path: str) -> DataFrame:
             begin = lists.offsets.to_numpy()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bpe.decode(lists.values.to_numpy().astype(np.int64), begin.astype(np.int64)), pa.string())], names=["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(trimmed(run), "doc_id long, text string")
 
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -290,4 +290,4 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip"],
             )
 
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").alias("_text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean")
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").alias("_text")).mapInArrow(trimmed(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean")

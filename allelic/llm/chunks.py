@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 import regex
 
 #: Pieces that a worker process remembers, and chunks.
-CACHE, CHUNK_CACHE = 700_000, 400_000
+CACHE, CHUNK_CACHE = 300_000, 120_000
 #: Unicode's White_Space, as the vocabulary's pattern has it.
 WS = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 CHUNK = re.compile(f" ?[^{WS}]+|[{WS}]+(?![^{WS}])|[{WS}]")

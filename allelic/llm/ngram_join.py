@@ -27,14 +27,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from allelic.llm.common import bounded_batches, id_back, keyed, row_with, stored
+from allelic.llm.common import bounded_batches, id_back, keyed, row_with, stored, trimmed
 from allelic.llm.components import components
 
 N, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.9995, 128
 #: Members of a block.
 BLOCK = 256
 #: Word hashes that a worker process remembers.
-WORDS = 400_000
+WORDS = 150_000
 SCHEMA = "_id long, _th long, _n int, _ca long, _cb long, _sketch binary, _bands array<long>"
 
 
@@ -113,7 +113,7 @@ def signatures(docs: DataFrame, bands: int, rows: int, n: int, id_col: str, text
             kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=["_id", "_th", "_n", "_ca", "_cb", "_sketch", "_bands"])
 
-    return keyed(docs, id_col, text_col).mapInArrow(run, SCHEMA)
+    return keyed(docs, id_col, text_col).mapInArrow(trimmed(run), SCHEMA)
 
 
 def in_blocks(rows: DataFrame, key: str, size: str) -> DataFrame:
@@ -211,7 +211,7 @@ def _candidates(buckets: DataFrame, least: float) -> DataFrame:
             yield _edges(out)
 
     rows = in_blocks(buckets, "_band", "_members").select("_band", "_i", "_j", "_b", "_node._id", "_node._th", "_sketch")
-    found = rows.mapInArrow(run, "_a long, _at long, _z long, _zt long")
+    found = rows.mapInArrow(trimmed(run), "_a long, _at long, _z long, _zt long")
     return found.distinct().select(F.struct(F.col("_a").alias("_id"), F.col("_at").alias("_th")).alias("u"), F.struct(F.col("_z").alias("_id"), F.col("_zt").alias("_th")).alias("v"))
 
 
@@ -242,7 +242,7 @@ def _verified(members: DataFrame, threshold: float, least: float, n: int) -> Dat
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in (ids[keep], ths[keep], links[keep], rows[keep].astype(np.int64), ids[root[keep]], ths[root[keep]])], names=["_id", "_th", "_links", "_rows", "_rid", "_rth"])
 
     rows = in_blocks(members, "_root", "_members").select("_root._id", "_root._th", "_i", "_j", "_b", F.col("_node._id").alias("_nid"), F.col("_node._th").alias("_nth"), "_sketch", "_size", "_text")
-    return rows.mapInArrow(run, "_id long, _th long, _links long, _rows long, _rid long, _rth long")
+    return rows.mapInArrow(trimmed(run), "_id long, _th long, _links long, _rows long, _rid long, _rth long")
 
 
 def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:

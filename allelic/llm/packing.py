@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from allelic.llm.chunks import library_chunks
-from allelic.llm.common import bounded_batches, id_back, keyed, stored
+from allelic.llm.common import bounded_batches, id_back, keyed, stored, trimmed
 
 LENGTH, GRAIN, FILL = 2048, 8, 0.97
 #: Rows of a lookup that may be broadcast.
@@ -147,7 +147,7 @@ def token_counts(docs: DataFrame, tokenizer: str, end_id: int, length: int, id_c
             crcs = [[zlib.crc32(own[k : k + length]) for k in range(0, len(own), length)] for own in (np.append(ids[a:b], end_id).astype("<u4") for a, b in zip(begin, begin[1:], strict=False))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(begin) + 1), pa.array(crcs, pa.list_(pa.int64()))], names=["_id", "_th", "_n", "_crcs"])
 
-    return keyed(docs, id_col, text_col).mapInArrow(run, "_id long, _th long, _n long, _crcs array<long>")
+    return keyed(docs, id_col, text_col).mapInArrow(trimmed(run), "_id long, _th long, _n long, _crcs array<long>")
 
 
 def ranked(counted: DataFrame, length: int, grain: int) -> tuple[DataFrame, dict[int, int]]:
@@ -166,7 +166,7 @@ def ranked(counted: DataFrame, length: int, grain: int) -> tuple[DataFrame, dict
     rest = F.col("_n") % length
     rows = counted.select("_id", "_th", "_n", "_crcs", F.ceil(rest / grain).cast("long").alias("_class"))
     rows = rows.repartitionByRange("_class", "_id", "_th").sortWithinPartitions("_class", "_id", "_th", "_n")
-    rows = stored(rows.mapInArrow(number, "_id long, _th long, _n long, _crcs array<long>, _class long, _part int, _at long, _ahead long"), "packing")
+    rows = stored(rows.mapInArrow(trimmed(number), "_id long, _th long, _n long, _crcs array<long>, _class long, _part int, _at long, _ahead long"), "packing")
     spark = counted.sparkSession
     counts = {r["_class"]: r["n"] for r in rows.groupBy("_class").agg(F.count(F.lit(1)).alias("n")).collect()}  # length / grain rows at most
     parts = sorted(rows.groupBy("_part").agg(F.count(F.lit(1)).alias("n"), F.sum(F.expr(f"_n div {length}")).alias("f")).collect())  # a row for each partition
@@ -282,4 +282,4 @@ def _checked(docs: DataFrame, cut: DataFrame, tokenizer: str, end_id: int, id_co
             names = ["_id", "_th", "_n", "_start", "_length", "_crc", "_sequence", "_offset"]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*out, strict=True) if out else [[]] * 8)], names=names)
 
-    return joined.mapInArrow(run, "_id long, _th long, _n long, _start long, _length long, _crc long, _sequence long, _offset long")
+    return joined.mapInArrow(trimmed(run), "_id long, _th long, _n long, _start long, _length long, _crc long, _sequence long, _offset long")

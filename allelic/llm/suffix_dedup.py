@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from allelic.llm.common import bounded_batches, id_back, keyed, row_with, stored
+from allelic.llm.common import bounded_batches, id_back, keyed, row_with, stored, trimmed
 
 LEAST = 100
 #: Bytes of an anchor.
@@ -140,7 +140,7 @@ def _anchor_rows(texts: DataFrame, least: int, k: int) -> DataFrame:
                 doc = doc + row
                 yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(ids[doc]), pa.array(places.pack(tags[doc], place, first, last))], names=["_h", "_id", "_p"])
 
-    return texts.select("_id", "_th", "_text").mapInArrow(run, "_h long, _id long, _p long")
+    return texts.select("_id", "_th", "_text").mapInArrow(trimmed(run), "_h long, _id long, _p long")
 
 
 CONTEXT = "_id long, _th long, _p long, _bytes binary"
@@ -190,7 +190,7 @@ def _contexts(listed: DataFrame, least: int) -> DataFrame:
                 held = 0
         yield from flush()
 
-    return listed.mapInArrow(run, CONTEXT)
+    return listed.mapInArrow(trimmed(run), CONTEXT)
 
 
 def prefix_borders(text: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -340,7 +340,7 @@ def _spans(contexts: DataFrame, least: int, k: int) -> DataFrame:
     anchor = F.when(F.col("_bytes").isNotNull(), F.xxhash64(F.col("_bytes").substr((shift + 1).cast("int"), F.lit(k)))).otherwise(F.xxhash64("_id", "_p"))
     # the hash of the anchor is computed on both sides of the exchange, not sent
     grouped = contexts.repartition(anchor).select(anchor.alias("_g"), "_id", "_th", "_p", "_bytes").sortWithinPartitions("_g")
-    return grouped.mapInArrow(run, SPAN)
+    return grouped.mapInArrow(trimmed(run), SPAN)
 
 
 def _hot_spans(listed: DataFrame, least: int) -> DataFrame:
@@ -357,7 +357,7 @@ def _hot_spans(listed: DataFrame, least: int) -> DataFrame:
                 n = len(windows)
                 yield pa.RecordBatch.from_arrays([pa.array(codes, pa.binary()), pa.array([i] * n, pa.int64()), pa.array([t] * n, pa.int64()), pa.array(windows, pa.int64())], names=["_w", "_id", "_th", "_from"])
 
-    windows = listed.mapInArrow(run, "_w binary, _id long, _th long, _from long")
+    windows = listed.mapInArrow(trimmed(run), "_w binary, _id long, _th long, _from long")
     first = windows.groupBy("_w").agg(F.min(F.struct("_id", "_th", "_from")).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_w", "_first")
     return windows.join(first.hint("merge"), "_w").where(F.struct("_id", "_th", "_from") > F.col("_first")).select("_id", "_th", "_from", (F.col("_from") + least).alias("_to"))
 
@@ -437,7 +437,7 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed_spans"])
 
     rows = _with_spans(docs, id_col, text_col, least, hot, False).select(id_back().alias("doc_id"), "_text", "_list")
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed_spans string")
+    return rows.mapInArrow(trimmed(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed_spans string")
 
 
 def clean_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str = "n_chars", least: int = LEAST, hot: int = HOT) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from allelic.llm.chunks import library_chunks
-from allelic.llm.common import bounded_batches, id_back, keyed
+from allelic.llm.common import bounded_batches, id_back, keyed, trimmed
 
 SEQ_LEN = 2048
 #: Rows of a record batch.
@@ -144,7 +144,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2,
 
     ordered = keyed(docs, id_col, text_col).repartitionByRange("_id", "_th").sortWithinPartitions("_id", "_th").select(id_back().alias("_id"), "_text")
     # one row a file: what the driver holds grows with the files, not with the documents
-    return spark.createDataFrame(ordered.mapInArrow(write, MANIFEST).toArrow())
+    return spark.createDataFrame(ordered.mapInArrow(trimmed(write), MANIFEST).toArrow())
 
 
 def read_tokens(spark: SparkSession, manifest: DataFrame, folder: str) -> DataFrame:
@@ -173,4 +173,4 @@ def read_tokens(spark: SparkSession, manifest: DataFrame, folder: str) -> DataFr
                         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(b.column(1).to_numpy() + first), b.column(2), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
                 tokens.close()
 
-    return parts.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return parts.mapInArrow(trimmed(read), "doc_id long, start long, n_tokens long, ids_crc32 long")

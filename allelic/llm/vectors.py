@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from allelic.llm.common import id_back, key_of
+from allelic.llm.common import id_back, key_of, trimmed
 
 #: Queries sent to the executors at once; of 64 doubles each, 16 MB.
 QUERY_BLOCK = 32768
@@ -123,7 +123,7 @@ def partial_lists(vectors: DataFrame, queries: DataFrame, kernel: Callable, kind
             for q, c, s in kernel(sent.value)(batches):
                 yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(c), pa.array(s), pa.array(np.full(len(q), shard, np.int32))], names=["_q", "_c", "_s", "_shard"])
 
-        part = vectors.mapInArrow(scan, schema)
+        part = vectors.mapInArrow(trimmed(scan), schema)
         lists = part if lists is None else lists.unionAll(part)
     return lists
 
