@@ -106,8 +106,8 @@ def g_to_c_all(df: DataFrame, reference: Reference, variant: str = "variant", to
     The interval is half open from 0, the transcripts' bounds are closed from 1; both are compared as they are.
     """
     v = F.col(variant)
-    rows = df.where(v["coord"] == "g").withColumn("_chrom", v["ac"]).withColumn("_start", v["start"]["base"] - 1).withColumn("_end", F.coalesce(v["end"]["base"], v["start"]["base"]))
-    return _coding(overlapping(rows, reference.transcripts, "_chrom", "_start", "_end"), variant, to).where(F.col(to).isNotNull()).drop("tx", "_chrom", "_start", "_end")
+    rows = df.where(v["start"].isNotNull() & (v["coord"] == "g")).withColumn("_chrom", v["ac"]).withColumn("_start", v["start"]["base"] - 1).withColumn("_end", F.coalesce(v["end"]["base"], v["start"]["base"]))
+    return _coding(overlapping(rows, reference.transcripts, "_chrom", "_start", "_end"), variant, to).drop("tx", "_chrom", "_start", "_end")
 
 
 def _genomic(df: DataFrame, variant: str, to: str, coord: str) -> DataFrame:

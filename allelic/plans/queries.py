@@ -234,9 +234,12 @@ def q_g_to_c(spark, sf_dir):
 
 
 @query(_with("SELECT l_orderkey, l_linenumber, l_partkey, CAST(count(*) AS BIGINT) AS n FROM v JOIN tx USING (doc_id) WHERE pos0 <= 20 + 2 * th + sz AND (CASE WHEN kind = 2 THEN pos0 + 2 WHEN len > 1 AND kind <> 0 THEN pos0 + len ELSE pos0 + 1 END) >= 21 GROUP BY ALL"))
-def q_g_to_c_all(spark, sf_dir):
+def q_region_overlap_counts(spark, sf_dir):
     """Transcripts that each variant meets, by an interval join on bins."""
-    return mapping.g_to_c_all(_parsed(spark, sf_dir), synth.reference(spark, sf_dir)).groupBy(*KEY).agg(F.count("coding").alias("n"))
+    rows = synth.variants(spark, sf_dir)
+    width = F.when(F.col("kind") == 2, 2).when((F.col("len") > 1) & (F.col("kind") != 0), F.col("len")).otherwise(1)
+    rows = rows.select(*KEY, F.col("ac").alias("chrom"), F.col("pos0").alias("first"), (F.col("pos0") + width).alias("last"))
+    return ref.overlapping(rows, synth.transcripts(synth.genome(spark, sf_dir)), "chrom", "first", "last", 512).groupBy(*KEY).agg(F.count("tx").alias("n"))
 
 
 @query(_with("""SELECT tx_ac, ac || ':g.' || CAST(CASE WHEN strand = 1 THEN 21 + k * th + i ELSE 20 + (2 - k) * th + sz - i END AS VARCHAR) ||
