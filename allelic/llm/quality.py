@@ -173,8 +173,10 @@ def _scored(docs: DataFrame, model: RuleModel, id_col: str, text_col: str) -> Da
     text = F.col(f"`{text_col}`")
     used = {c[0] for rule, _ in model.rules for c in rule}
     stats = {k: c for k, c in statistics(text).items() if k in used}
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.struct(F.lit(0).alias("none"), *[c.alias(k) for k, c in stats.items()]).alias("_stats"))
-    return rows.select("_row", model.column({k: F.col("_stats").getField(k) for k in stats}).alias("_score"))
+    # one array element holds the statistics, so a filter on the score doesn't compute them for every rule anew
+    held = F.array(F.struct(F.lit(0).alias("none"), *[c.alias(k) for k, c in stats.items()]))
+    score = F.get(F.transform(held, lambda s: model.column({k: s[k] for k in stats})), F.lit(0))
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), score.alias("_score"))
 
 
 def score_documents(docs: DataFrame, model: RuleModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
