@@ -344,22 +344,54 @@ def _spans(contexts: DataFrame, least: int, k: int) -> DataFrame:
 
 
 def _hot_spans(listed: DataFrame, least: int) -> DataFrame:
-    """Spans of repeated windows of anchors with very many occurrences: hashes of windows are grouped in the whole cluster."""
+    """Spans of repeated windows of anchors with very many occurrences: hashes of windows are grouped in the whole cluster.
+
+    Of equal windows of a task the earliest is sent, the others are repeated for sure; so a window that a third of all
+    documents share arrives as one row a task.
+    """
     places = Places(least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first: dict[bytes, tuple] = {}
+        sure: list[tuple] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            rows = [(None, *x) for x in sure] + [(w, *x, x[2] + least) for w, x in first.items()]
+            sure.clear()
+            first.clear()
+            for at in range(0, len(rows), 8192):
+                cols = list(zip(*rows[at : at + 8192], strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.binary()), *(pa.array(c, pa.int64()) for c in cols[1:])], names=["_w", "_id", "_th", "_from", "_to"])
+
+        def repeats(i: int, t: int, p: int) -> None:
+            if sure and sure[-1][:2] == (i, t) and sure[-1][2] <= p <= sure[-1][3]:
+                sure[-1] = (i, t, sure[-1][2], max(sure[-1][3], p + least))
+            else:
+                sure.append((i, t, p, p + least))
+
         for batch in batches:
             for i, t, text, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 data = text.encode()
-                _, firsts, lasts = places.unpack(np.array(found, np.int64))
-                windows = [p for a, b in zip(firsts.tolist(), lasts.tolist(), strict=True) for p in range(a, b + 1) if p + least <= len(data)]
-                codes = [xxhash.xxh3_128_digest(data[p : p + least]) for p in windows]
-                n = len(windows)
-                yield pa.RecordBatch.from_arrays([pa.array(codes, pa.binary()), pa.array([i] * n, pa.int64()), pa.array([t] * n, pa.int64()), pa.array(windows, pa.int64())], names=["_w", "_id", "_th", "_from"])
+                _, firsts, lasts = places.unpack(np.sort(np.array(found, np.int64)))
+                for a, b in zip(firsts.tolist(), lasts.tolist(), strict=True):
+                    for p in range(a, min(b, len(data) - least) + 1):
+                        w, own = xxhash.xxh3_128_digest(data[p : p + least]), (i, t, p)
+                        had = first.get(w)
+                        if had is None:
+                            first[w] = own
+                        elif own != had:
+                            if own < had:
+                                first[w], own = own, had
+                            repeats(*own)
+            if len(first) + len(sure) > 100_000:
+                yield from flush()
+        yield from flush()
 
-    windows = listed.mapInArrow(trimmed(run), "_w binary, _id long, _th long, _from long")
+    rows = stored(listed.mapInArrow(trimmed(run), "_w binary, _id long, _th long, _from long, _to long"), "windows")
+    windows = rows.where(F.col("_w").isNotNull())
     first = windows.groupBy("_w").agg(F.min(F.struct("_id", "_th", "_from")).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_w", "_first")
-    return windows.join(first.hint("merge"), "_w").where(F.struct("_id", "_th", "_from") > F.col("_first")).select("_id", "_th", "_from", (F.col("_from") + least).alias("_to"))
+    later = windows.join(first.hint("merge"), "_w").where(F.struct("_id", "_th", "_from") > F.col("_first"))
+    return later.select("_id", "_th", "_from", "_to").unionAll(rows.where(F.col("_w").isNull()).select("_id", "_th", "_from", "_to"))
 
 
 def _tagged(docs: DataFrame, id_col: str, text_col: str, carry: bool = False) -> DataFrame:
