@@ -48,11 +48,14 @@ def spliced(pieces: Column) -> Column:
 
 def translated(s: Column) -> Column:
     """One-letter residues of whole codons; reading goes on behind stops, codons that aren't upper-case ACGT give X."""
-    table = F.create_map(*[F.lit(x) for kv in codons().items() for x in kv])
     n = F.floor(F.length(s) / 3).cast("int")
-    return F.when(n < 1, F.when(s.isNotNull(), F.lit(""))).otherwise(
-        F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: F.coalesce(table[s.substr(i * 3 + 1, F.lit(3))], F.lit("X"))), "")
-    )
+    place = lambda i, k: F.instr(F.lit(BASES), s.substr(i * 3 + k, F.lit(1)))
+
+    def residue(i: Column) -> Column:
+        a, b, c = place(i, 1), place(i, 2), place(i, 3)
+        return F.when(F.least(a, b, c) > 0, F.lit(AMINO).substr(a * 16 + b * 4 + c - 20, F.lit(1))).otherwise("X")
+
+    return F.when(n < 1, F.when(s.isNotNull(), F.lit(""))).otherwise(F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), residue), ""))
 
 
 def translated_to_stop(s: Column) -> Column:
@@ -63,8 +66,9 @@ def translated_to_stop(s: Column) -> Column:
 
 def named(code: Column) -> Column:
     """Three-letter name of a one-letter code; * is Ter, all else Xaa."""
-    table = F.create_map(*[F.lit(x) for kv in (NAMES | {"*": "Ter"}).items() for x in kv])
-    return F.when(code.isNotNull(), F.coalesce(table[code], F.lit("Xaa")))
+    known = NAMES | {"*": "Ter"}
+    at = F.instr(F.lit("".join(known)), code)
+    return F.when(at > 0, F.lit("".join(known.values())).substr(at * 3 - 2, F.lit(3))).when(code.isNotNull(), "Xaa")
 
 
 def named_all(codes: Column) -> Column:

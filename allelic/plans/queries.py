@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from allelic.functions import coordinates, sequence, text
 from allelic.functions.format import format_variant
 from allelic.functions.parse import with_variant
-from allelic.operators import mapping, normalize
+from allelic.operators import consequence, equivalence, mapping, normalize, reports
 from allelic.operators import reference as ref
 from allelic.plans import synth
 
@@ -257,6 +257,63 @@ def _c_substitutions(spark, sf_dir, step):
     return rows.withColumn("hgvs", F.concat("ac", F.lit(":c."), (F.col("n") - F.col("cds_start") + 1).cast("string"), b, F.lit(">"), F.translate(b, "ACGT", "CGTA")))
 
 
+# consequences
+
+
+#: Published examples: transcripts (bounds of the coding region, bases) and the consequences expected of variants.
+TOY = {
+    "NM_999999.1": (9, 39, "AAAATCAAAATGAAAGCGAAAGCGTTTCGCGCGAAATAGGGG"),
+    "NM_999997.1": (9, 39, "AAAATCAAAATGAAAGCGAAAGCGTTTCGCGTAGAATAGAGGAGGCAGTTTCGC"),
+    "NM_999996.1": (9, 39, "AAAATCAAAATGAAATCGAAAGCGTTTCGCGCGAAATAGAGGAGGCAGTTTCGC"),
+    "NM_999995.1": (9, 42, "AAAATCAAAATGAAAAAATCGAAAGCGTTTCGCGCGAAATAGAGGAGGCAGTTTCGC"),
+    "NM_999994.1": (9, 45, "AAAATCAAAATGAAAAAAAAATCGAAAGCGTTTCGCGCGAAATAGAGGAGGCAGTTTCGC"),
+    "NM_999993.1": (9, 39, "AAAATCAAAATGGGGAGGGCCCGGCAGCCAGCTTTATAGAGGAGGCAGTTTCGC"),
+    "T1.1": (10, 19, "A" * 10 + "ATGAAATAG" + "ATGC" * 20),
+    "T2.1": (0, 18, "ATGCAACAAGATGATTAA"),
+    "T3.1": (0, 18, "ATGGCTGCATGCGATTAA"),
+    "T6.1": (10, 50, "A" * 10 + "ATG" + "ATGC" * 25),
+    "T8.1": (10, 20, "A" * 10 + "ATGGGGCCCAAA" + "A" * 100),
+}
+EXPECTED = {
+    "NM_999999.1:c.6A>G": "p.(Lys2=)",
+    "NM_999999.1:c.6A>T": "p.(Lys2Asn)",
+    "NM_999996.1:c.8C>A": "p.(Ser3Ter)",
+    "NM_999999.1:c.6_7insGGG": "p.(Lys2_Ala3insGly)",
+    "NM_999999.1:c.22_23insT": "p.(Ala8ValfsTer?)",
+    "NM_999999.1:c.8_9insTT": "p.(Lys4Ter)",
+    "NM_999999.1:c.10_12del": "p.(Lys4del)",
+    "NM_999999.1:c.4_15del": "p.(Lys2_Ala5del)",
+    "NM_999995.1:c.4_6del": "p.(Lys3del)",
+    "NM_999994.1:c.4_9del": "p.(Lys3_Lys4del)",
+    "NM_999999.1:c.5_7del": "p.(Lys2_Ala3delinsThr)",
+    "NM_999993.1:c.13_24del": "p.(Arg5_Ala8del)",
+    "NM_999999.1:c.11_12del": "p.(Lys4SerfsTer?)",
+    "NM_999997.1:c.7del": "p.(Ala3ArgfsTer6)",
+    "NM_999999.1:c.11_12delinsTCCCA": "p.(Lys4delinsIlePro)",
+    "NM_999999.1:c.11_18delinsTCCCA": "p.(Lys4_Phe6delinsIlePro)",
+    "T1.1:c.4A>T": "p.(Lys2Ter)",
+    "T2.1:c.4_9delinsCATTAA": "p.(Gln2_Gln3delinsHisTer)",
+    "T3.1:c.4_6del": "p.(Ala3del)",
+    "T3.1:c.15T>G": "p.(Asp5Glu)",
+    "T6.1:c.1A>T": "p.(Met1Leu)",
+    "T8.1:c.1A>G": "p.(Met1Val)",
+}
+
+
+def toy_reference(spark: SparkSession) -> ref.Reference:
+    rows = [(k, "REF", "G", 1, a, z, [(0, len(s) - 1, 1)], "MOCK", 1, len(s)) for k, (a, z, s) in TOY.items()]
+    models = spark.createDataFrame(rows, "ac string, reference string, gene string, strand int, cds_start int, cds_end int, exons array<struct<start0:int,end0:int,strand:int>>, protein string, tx_start int, tx_end int")
+    spliced = spark.createDataFrame([(k, "REF", s) for k, (_, _, s) in TOY.items()], "ac string, reference string, tx_seq string")
+    return ref.Reference(spark.createDataFrame([], "ac string, seq string"), models, spliced)
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', 'MOCK:{v}')" for k, v in EXPECTED.items()) + ") t(hgvs, protein)")
+def q_c_to_p_toy(spark, sf_dir):
+    """Consequences of the published examples."""
+    rows = with_variant(spark.createDataFrame([(k,) for k in EXPECTED], "hgvs string"), "hgvs")
+    return consequence.c_to_p(rows, toy_reference(spark)).select("hgvs", "protein")
+
+
 # normalization
 
 
@@ -352,6 +409,60 @@ def _p_texts(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.concat(F.lit("NP_1.1:p.("), name, (1 + F.col("o_custkey") % 900).cast("string"), edit, F.lit(")")).alias("t"))
 
 
+# equivalence and reports
+
+
+@query(_with(f"""SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN k = 0 THEN 'Identity' ELSE 'Analogous' END AS level FROM ({_SHIFT}) WHERE kind = 1"""))
+def q_equiv_gg(spark, sf_dir):
+    """Deletions and the same ones at their right end."""
+    rows = _parsed(spark, sf_dir).where("kind = 1")
+    moved = normalize.normalize_genomic(F.col("variant"), F.col("seq"))
+    other = moved.withField("edit", moved["edit"].withField("ref", F.lit(None).cast("string")))
+    same = F.when(format_variant(F.col("variant")) == format_variant(F.col("other")), "Identity")
+    rows = rows.withColumn("other", other)
+    level = F.coalesce(same, F.when(equivalence.canonical(F.col("variant"), F.col("seq")) == equivalence.canonical(F.col("other"), F.col("seq")), "Analogous"), F.lit("Different"))
+    return rows.select(*KEY, level.alias("level"))
+
+
+def _validated(spark, sf_dir):
+    """Truth, ours and theirs: protein texts by orders, some of them wrong."""
+    rows = _p_texts(spark, sf_dir).withColumnRenamed("t", "truth")
+    k = F.col("o_orderkey")
+    ours = F.when(k % 7 == 0, "ERR:Parse").when(k % 5 == 0, F.replace("truth", F.lit("Ter"), F.lit("del"))).when(k % 3 == 0, F.replace("truth", F.lit("Ter"), F.lit("*"))).otherwise(F.col("truth"))
+    theirs = F.when(k % 4 == 0, F.lit(None)).otherwise(F.col("truth"))
+    return rows.withColumn("ours", ours).withColumn("theirs", theirs)
+
+
+_CLEAN = "replace(translate(string_split({0}, ':')[-1], '()', ''), 'Ter', '*')"
+_VALIDATED = f"""v AS (SELECT *, CASE WHEN ours LIKE 'ERR%' THEN false ELSE {_CLEAN.format('ours')} = {_CLEAN.format('truth')} END AS a, CASE WHEN theirs IS NULL THEN false ELSE {_CLEAN.format('theirs')} = {_CLEAN.format('truth')} END AS b FROM (
+  SELECT o_orderkey, truth, CASE WHEN o_orderkey % 7 = 0 THEN 'ERR:Parse' WHEN o_orderkey % 5 = 0 THEN replace(truth, 'Ter', 'del') WHEN o_orderkey % 3 = 0 THEN replace(truth, 'Ter', '*') ELSE truth END AS ours,
+    CASE WHEN o_orderkey % 4 <> 0 THEN truth END AS theirs FROM (SELECT o_orderkey, {_P_TEXT} AS truth FROM orders)))"""
+
+
+@query(f"""WITH {_VALIDATED} SELECT count(*) AS total, CAST(sum(a::int) AS BIGINT) AS ours_ok, CAST(sum(b::int) AS BIGINT) AS theirs_ok, round(100.0 * sum(a::int) / count(*), 2) AS ours_pct, round(100.0 * sum(b::int) / count(*), 2) AS theirs_pct, sum(a::int) >= sum(b::int) AS ours_leads FROM v""")
+def q_accuracy(spark, sf_dir):
+    return reports.accuracy(_validated(spark, sf_dir), "ours", "theirs", "truth")
+
+
+@query(f"WITH {_VALIDATED} SELECT CASE WHEN a AND b THEN 'both' WHEN a THEN 'ours_only' WHEN b THEN 'theirs_only' ELSE 'neither' END AS outcome, count(*) AS n FROM v GROUP BY 1")
+def q_contingency(spark, sf_dir):
+    match = lambda c: text.exact_match(F.col(c), F.col("truth"))
+    return reports.contingency(_validated(spark, sf_dir), match("ours"), match("theirs"))
+
+
+@query(f"""WITH {_VALIDATED}, c AS (SELECT CASE WHEN a THEN 'Match' WHEN ours = 'ERR:Parse' THEN 'Parse error' WHEN (truth LIKE '%Ter%') <> (ours LIKE '%Ter%') THEN 'Stop mismatch' ELSE 'Other mismatch' END AS category FROM v)
+SELECT category, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM c), 2) AS share FROM c GROUP BY category""")
+def q_failure_categories(spark, sf_dir):
+    return reports.categories(_validated(spark, sf_dir), reports.failure_category(F.lit(""), F.col("ours"), F.col("truth")))
+
+
+@query(f"""WITH {_VALIDATED} SELECT * FROM (SELECT o_orderkey, ours, CASE WHEN a THEN 'Match' WHEN ours = 'ERR:Parse' THEN 'Parse error' WHEN (truth LIKE '%Ter%') <> (ours LIKE '%Ter%') THEN 'Stop mismatch' ELSE 'Other mismatch' END AS category FROM v)
+QUALIFY row_number() OVER (PARTITION BY category ORDER BY o_orderkey) <= 100""")
+def q_samples_per_category(spark, sf_dir):
+    rows = reports.samples(_validated(spark, sf_dir), reports.failure_category(F.lit(""), F.col("ours"), F.col("truth")), ["o_orderkey"])
+    return rows.select("o_orderkey", "ours", "category")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -5,10 +5,13 @@ The engine reads the variants' texts; SQL computes the expected results from the
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from allelic.operators.reference import Reference
+from allelic.operators.reference import Reference, splice
 
 ALPHABET, TO_BASES, LONGEST, SHORTEST = "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC", 2000, 300
 
@@ -43,9 +46,25 @@ def transcripts(genomes: DataFrame) -> DataFrame:
     )
 
 
+_STORED: dict[tuple, str] = {}
+
+
+def stored(spark: SparkSession, df: DataFrame, *key: str) -> DataFrame:
+    """``df`` written once a session to the folder that driver and executors share, and read from there: annotation is built once and looked up often."""
+    key = (spark.sparkContext.applicationId, *key)
+    if key not in _STORED:
+        place = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='allelic-')}"
+        path = f"{place.rstrip('/')}/reference-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        _STORED[key] = path
+    return spark.read.schema(df.schema).parquet(_STORED[key])
+
+
 def reference(spark: SparkSession, sf_dir: str) -> Reference:
     g = genome(spark, sf_dir)
-    return Reference(g.select("ac", "seq"), transcripts(g))
+    sequences = stored(spark, g.select("ac", "seq"), sf_dir, "sequences")
+    models = stored(spark, transcripts(g), sf_dir, "transcripts")
+    return Reference(sequences, models, stored(spark, splice(models, sequences), sf_dir, "spliced"))
 
 
 def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
