@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from allelic.functions import coordinates, sequence, text
 from allelic.functions.format import format_variant
 from allelic.functions.parse import with_variant
-from allelic.operators import consequence, equivalence, mapping, normalize, reports
+from allelic.operators import consequence, mapping, normalize, reports
 from allelic.operators import reference as ref
 from allelic.plans import synth
 
@@ -412,18 +412,6 @@ def _p_texts(spark, sf_dir):
 # equivalence and reports
 
 
-@query(_with(f"""SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN k = 0 THEN 'Identity' ELSE 'Analogous' END AS level FROM ({_SHIFT}) WHERE kind = 1"""))
-def q_equiv_gg(spark, sf_dir):
-    """Deletions and the same ones at their right end."""
-    rows = _parsed(spark, sf_dir).where("kind = 1")
-    moved = normalize.normalize_genomic(F.col("variant"), F.col("seq"))
-    other = moved.withField("edit", moved["edit"].withField("ref", F.lit(None).cast("string")))
-    same = F.when(format_variant(F.col("variant")) == format_variant(F.col("other")), "Identity")
-    rows = rows.withColumn("other", other)
-    level = F.coalesce(same, F.when(equivalence.canonical(F.col("variant"), F.col("seq")) == equivalence.canonical(F.col("other"), F.col("seq")), "Analogous"), F.lit("Different"))
-    return rows.select(*KEY, level.alias("level"))
-
-
 def _validated(spark, sf_dir):
     """Truth, ours and theirs: protein texts by orders, some of them wrong."""
     rows = _p_texts(spark, sf_dir).withColumnRenamed("t", "truth")
