@@ -407,16 +407,19 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     repeated = stored(found.groupBy("_h").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), "anchors")
     any_hot = bool(repeated.where(F.col("_n") > hot).limit(1).count())
 
-    def listed(which: DataFrame) -> DataFrame:
+    # the anchors' places are found once, for frequent and other anchors together
+    top = Places(least).top
+    own = found.join(repeated.select("_h", (F.col("_n") > hot).alias("_hot")).hint("merge"), "_h")
+    own = own.select("_id", F.shiftright("_p", top).alias("_t"), F.col("_p").bitwiseAND((1 << top) - 1).alias("_p"), "_hot")
+    own = stored(own.groupBy("_id", "_t").agg(F.collect_list(F.when(~F.col("_hot"), F.col("_p"))).alias("_cold"), F.collect_list(F.when(F.col("_hot"), F.col("_p"))).alias("_frequent")), "places")
+
+    def listed(which: str) -> DataFrame:
         """Texts with the places of those anchors; all joins of the texts share one exchange."""
-        top = Places(least).top
-        own = found.join(which.select("_h").hint("merge"), "_h", "left_semi").select("_id", F.shiftright("_p", top).alias("_t"), F.col("_p").bitwiseAND((1 << top) - 1).alias("_p"))
-        own = own.groupBy("_id", "_t").agg(F.collect_list("_p").alias("_list"))
-        return texts.join(own.hint("merge"), ["_id", "_t"], "left").where(F.col("_list").isNotNull()).select("_id", "_th", "_text", "_list")
+        return texts.join(own.select("_id", "_t", F.col(which).alias("_list")).hint("merge"), ["_id", "_t"], "left").where(F.size("_list") > 0).select("_id", "_th", "_text", "_list")
 
-    spans = _spans(_contexts(listed(repeated.where(F.col("_n") <= hot) if any_hot else repeated), least), least, anchor)
+    spans = _spans(_contexts(listed("_cold"), least), least, anchor)
     if any_hot:
-        spans = spans.unionAll(_hot_spans(listed(repeated.where(F.col("_n") > hot)), least))
+        spans = spans.unionAll(_hot_spans(listed("_frequent"), least))
     return spans
 
 
