@@ -24,6 +24,8 @@ import regex
 
 #: Pieces that a worker process remembers, and chunks.
 CACHE, CHUNK_CACHE = 300_000, 120_000
+#: Words encoded in one text.
+TOGETHER = 1000
 #: Unicode's White_Space, as the vocabulary's pattern has it.
 WS = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 CHUNK = re.compile(f" ?[^{WS}]+|[{WS}]+(?![^{WS}])|[{WS}]")
@@ -191,9 +193,31 @@ def library_chunks(path: str, kind: str) -> Chunks:
         specials = sorted((t.content for t in tok.get_added_tokens_decoder().values()), key=len, reverse=True)
         batch = getattr(tok, "encode_batch_fast", tok.encode_batch)
 
-        def encode(new: list[str]) -> tuple[np.ndarray, np.ndarray]:
-            ids = [e.ids for e in batch(new, add_special_tokens=False)]
+        vocabulary = tok.get_vocab()
+        edge = np.zeros(max(vocabulary.values()) + 1, bool)  # ids at which a word starts (byte level) or ends (words)
+        edge[[i for t, i in vocabulary.items() if (t.startswith("\u0120") if kind == "byte_level" else t.endswith("</w>"))]] = True
+        between = "" if kind == "byte_level" else " "
+
+        def alone(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            ids = [e.ids for e in batch(pieces, add_special_tokens=False)]
             return np.fromiter(chain.from_iterable(ids), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids))
 
+        def together(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            """Words of letters in one text, which costs less than a text each; cut where a word starts or ends."""
+            ids = np.array(batch([between.join(words)], add_special_tokens=False)[0].ids, np.uint32)
+            at = np.flatnonzero(edge[ids])
+            if len(at) != len(words):
+                return alone(words)
+            return ids, np.diff(at, append=len(ids)) if kind == "byte_level" else np.diff(at, prepend=-1)
+
+        def encode(new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            word = np.fromiter((c[:1] == " " and c[1:].isalpha() if kind == "byte_level" else c.isalpha() and max(c) < "\u0250" for c in new), bool, len(new))
+            order = np.concatenate([np.flatnonzero(word), np.flatnonzero(~word)])
+            words, n = [new[k] for k in order.tolist()], int(word.sum())
+            parts = [together(words[at : min(n, at + TOGETHER)]) for at in range(0, n, TOGETHER)] + [alone(words[n:])]
+            ids, lens = (np.concatenate(x) for x in zip(*parts, strict=True))
+            back = np.argsort(order)
+            return ragged(ids, (np.cumsum(lens) - lens)[back], lens[back])[0], lens[back]
+
         _OPEN[path, kind] = Chunks(encode, byte_level_pieces if kind == "byte_level" else word_pieces, kind, specials)
     return _OPEN[path, kind]
