@@ -32,6 +32,9 @@ CHUNK = re.compile(f" ?[^{WS}]+|[{WS}]+(?![^{WS}])|[{WS}]")
 #: A space before white space or at an end: such texts take the slow way.
 ODD = r" (?:[\s\x{0b}\x{85}\p{Z}]|$)"
 
+#: Texts with such characters keep their chunks as they are; runs of signs.
+INTRICATE, SIGNS = r"['\x{130}\x{250}-\x{10ffff}]", r"([^\s\x{0b}\x{85}\p{Z}\p{L}\p{N}]+)"
+
 #: Encodes distinct pieces: all their ids in one array, and how many each has.
 Encoder = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
 
@@ -126,6 +129,10 @@ class Chunks:
         if self.special_re2:
             odd |= pc.match_substring_regex(texts, self.special_re2).to_numpy(zero_copy_only=False)
         plain = texts.filter(pa.array(~odd))
+        if self.kind == "words":
+            # fewer distinct chunks: lower case, and runs of signs apart, where no contraction or composition can be
+            apart = pc.replace_substring_regex(pc.utf8_lower(plain), SIGNS, r" \1 ")
+            plain = pc.if_else(pc.match_substring_regex(plain, INTRICATE), plain, apart)
         lists = pc.split_pattern(plain, " ")
         begin = lists.offsets.to_numpy().astype(np.int64)
         coded = lists.flatten().dictionary_encode()
