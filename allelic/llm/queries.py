@@ -39,7 +39,7 @@ def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.dedup_units(table(spark, sf_dir, "documents"))
+    return substring_dedup.dedup_units(table(spark, sf_dir, "documents"), min_words=1)
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,8 +5,8 @@ runs to one space, ends trimmed) and hashed to 128 bits; digests are grouped ove
 unit the earliest ranked occurrence (smallest document id, then first in its text) stays, the others are removed with
 the line break that follows them; the removed stretches are reported as offsets into the original text.
 
-Defined results: a null text counts as empty; units of fewer than ``min_words`` words are never removed (short lines
-such as headings and sign-offs recur in clean texts by chance); a null id sorts first; rows equal in id and text are one
+Defined results: a null text counts as empty; empty units are never removed, nor are units of fewer than ``min_words``
+words parted by white space (``op6_substring_dedup`` asks for 1: every unit that isn't empty counts); a null id sorts first; rows equal in id and text are one
 document, rows of one id with different texts are ordered by a hash of the text; an empty table gives an empty result.
 
 At scale: digests are counted with a partial aggregation per task, hot digests are split by the sort-merge join, and the
@@ -35,7 +35,7 @@ def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         keyed(docs, id_col, text_col)
         .select("_id", "_th", F.posexplode(F.split("_text", BREAKS[unit])).alias("_at", "_unit"))
         .select("_id", "_th", "_at", _normal(F.col("_unit")).alias("_unit"))
-        .where(F.length("_unit") - F.length(F.translate("_unit", " ", "")) + 1 >= min_words)
+        .where((F.col("_unit") != "") & (F.length("_unit") - F.length(F.translate("_unit", " ", "")) + 1 >= min_words))
         .select("_id", "_th", "_at", F.unhex(F.md5("_unit")).alias("_digest"))
     )
     first = units.groupBy("_digest").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("_id", "_th", "_at")).alias("_first")).where("_n > 1").select("_digest", "_first")
@@ -69,6 +69,7 @@ def dedup_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
+#: Holds the bound of MIN_WORDS, which the query doesn't have: the query removes repeats of shorter units as well.
 ORACLE_SQL = f"""
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
 u AS (
