@@ -43,7 +43,7 @@ def shift_right(seq: Column, start: Column, end: Column, e: Column) -> Column:
     stated = F.when(_text(e["ref"]) != "", e["ref"]).otherwise(piece(seq, start, end))
     deletion = F.when((stated == "") | (taken == "") | (stated.substr(F.lit(1), F.lit(1)) != taken), 0).otherwise(1 + _prefix(seq.substr(start + 2, F.length(seq)), seq.substr(end + 2, F.length(seq))))
     rest = seq.substr(end + 1, F.length(seq))
-    insertion = _prefix(rest, F.repeat(e["alt"], F.least(F.length(rest), F.lit(4096))))
+    insertion = F.length(rest) - F.length(F.ltrim(rest, e["alt"]))
     one = (e["type"] == "Ins") & (start == end) & (F.length(e["alt"]) == 1)
     return F.when(_moves_as_deletion(e, start, end), deletion).when(one, insertion).otherwise(0).cast("int")
 
@@ -52,7 +52,7 @@ def shift_left(seq: Column, start: Column, end: Column, e: Column) -> Column:
     """The same towards the 5' end, over the common suffix of the sequence up to its start and up to its end."""
     before, upto = F.reverse(seq.substr(F.lit(1), start)), F.reverse(seq.substr(F.lit(1), end))
     one = (e["type"] == "Ins") & (start == end) & (F.length(e["alt"]) == 1)
-    insertion = _prefix(before, F.repeat(e["alt"], F.least(F.length(before), F.lit(4096))))
+    insertion = F.length(before) - F.length(F.ltrim(before, e["alt"]))
     return F.when(_moves_as_deletion(e, start, end), _prefix(before, upto)).when(one, insertion).otherwise(0).cast("int")
 
 
