@@ -48,14 +48,14 @@ def spliced(pieces: Column) -> Column:
 
 def translated(s: Column) -> Column:
     """One-letter residues of whole codons; reading goes on behind stops, codons that aren't upper-case ACGT give X."""
-    n = F.floor(F.length(s) / 3).cast("int")
-    place = lambda i, k: F.instr(F.lit(BASES), s.substr(i * 3 + k, F.lit(1)))
+    place = lambda codon, k: F.instr(F.lit(BASES), codon.substr(F.lit(k), F.lit(1)))
 
-    def residue(i: Column) -> Column:
-        a, b, c = place(i, 1), place(i, 2), place(i, 3)
+    def residue(codon: Column) -> Column:
+        a, b, c = place(codon, 1), place(codon, 2), place(codon, 3)
         return F.when(F.least(a, b, c) > 0, F.lit(AMINO).substr(a * 16 + b * 4 + c - 20, F.lit(1))).otherwise("X")
 
-    return F.when(n < 1, F.when(s.isNotNull(), F.lit(""))).otherwise(F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), residue), ""))
+    # cut in one pass: substr of a long text goes through it from its start
+    return F.array_join(F.transform(F.regexp_extract_all(s, F.lit("(?s)(.{3})"), 1), residue), "")
 
 
 def translated_to_stop(s: Column) -> Column:

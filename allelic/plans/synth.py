@@ -1,6 +1,7 @@
 """A deterministic reference and variants derived from the input tables, and the same in SQL.
 
 The engine reads the variants' texts; SQL computes the expected results from the fields that the texts were made of.
+SQL takes the first LONGEST letters of documents of at least SHORTEST; the engine takes all letters of every document.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 from allelic.operators.reference import Reference, splice
 
 ALPHABET, TO_BASES, LONGEST, SHORTEST = "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC", 2000, 300
+#: Letters below which the arithmetic isn't defined: positions are taken modulo the length less 100; three exons end within the sequence from 115 on.
+FOR_VARIANT, FOR_EXONS = 101, 115
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,10 +24,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def genome(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, ac, seq: the letters of each document as bases."""
-    letters = F.regexp_replace(F.lower("text"), "[^a-z]", "")
-    docs = _table(spark, sf_dir, "documents").select("doc_id", F.translate(letters, ALPHABET, TO_BASES).substr(1, LONGEST).alias("seq"))
-    return docs.where(F.length("seq") >= SHORTEST).select("doc_id", F.concat(F.lit("NC_"), F.lpad(F.col("doc_id").cast("string"), 6, "0"), F.lit(".1")).alias("ac"), "seq")
+    """doc_id, ac, seq: the letters of each document as bases; of a null text none."""
+    letters = F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), "[^a-z]", "")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.translate(letters, ALPHABET, TO_BASES).alias("seq"))
+    return docs.select("doc_id", F.concat(F.lit("NC_"), F.lpad(F.col("doc_id").cast("string"), 6, "0"), F.lit(".1")).alias("ac"), "seq")
 
 
 def _accession(prefix: str) -> Column:
@@ -32,14 +35,14 @@ def _accession(prefix: str) -> Column:
 
 
 def transcripts(genomes: DataFrame) -> DataFrame:
-    """One transcript of three exons on each sequence; odd documents on the minus strand."""
+    """One transcript of three exons on each sequence that has room for them; odd documents on the minus strand."""
     size = F.expr("cast(length(seq) div 6 as int)")
     third = F.expr("cast(length(seq) div 3 as int)")
     strand = F.when(F.col("doc_id") % 2 == 0, 1).otherwise(-1)
     exon = lambda k: F.struct((20 + third * k).cast("int").alias("start0"), (20 + third * k + size - 1).cast("int").alias("end0"), strand.alias("strand"))
     exons = F.array(*[exon(k) for k in range(3)])
     start = (10 + F.col("doc_id") % 3).cast("int")
-    return genomes.select(
+    return genomes.where(F.length("seq") >= FOR_EXONS).select(
         _accession("NM_").alias("ac"), F.col("ac").alias("reference"), F.concat(F.lit("GENE"), F.expr("doc_id div 4").cast("string")).alias("gene"), strand.alias("strand"),
         start.alias("cds_start"), (start + 3 * F.expr("cast((3 * cast(length(seq) div 6 as int) - 25) div 3 as int)") - 1).cast("int").alias("cds_end"),
         F.when(strand == 1, exons).otherwise(F.reverse(exons)).alias("exons"), _accession("NP_").alias("protein"), F.lit(21).alias("tx_start"), (20 + third * 2 + size).cast("int").alias("tx_end"), F.col("doc_id"),
@@ -68,10 +71,10 @@ def reference(spark: SparkSession, sf_dir: str) -> Reference:
 
 
 def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A genomic variant of each line item whose document has a sequence: l_orderkey, l_linenumber, l_partkey, ac, seq, pos0, len, kind, alt, hgvs."""
+    """A genomic variant of each line item whose document has a sequence with room for one: l_orderkey, l_linenumber, l_partkey, ac, seq, pos0, len, kind, alt, hgvs."""
     docs = _table(spark, sf_dir, "documents").agg(F.count(F.lit(1)).alias("_docs"))
     items = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").crossJoin(F.broadcast(docs))  # one row
-    rows = items.withColumn("_doc", F.col("l_partkey") % F.col("_docs")).join(genome(spark, sf_dir), F.col("_doc") == F.col("doc_id"))
+    rows = items.withColumn("_doc", F.col("l_partkey") % F.col("_docs")).join(genome(spark, sf_dir).where(F.length("seq") >= FOR_VARIANT), F.col("_doc") == F.col("doc_id"))
     pos = ((F.col("l_orderkey") * 31 + F.col("l_partkey") * 7 + F.col("l_linenumber")) % (F.length("seq") - 100)).cast("int")
     rows = rows.withColumn("pos0", pos).withColumn("len", (1 + F.col("l_linenumber") % 4).cast("int")).withColumn("kind", (F.col("l_linenumber") % 7).cast("int"))
     rows = rows.withColumn("ref", F.col("seq").substr(F.col("pos0") + 1, F.col("len")))
