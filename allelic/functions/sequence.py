@@ -90,7 +90,7 @@ def residues(text: Column) -> Column:
     by_name = F.transform(F.regexp_extract_all(F.lower(text), F.lit(f"({three})"), 1), lambda x: table[x])
     return (
         F.when(text == "", F.array().cast("array<string>"))
-        .when(F.lower(text).rlike(f"^(?:{three})+$"), by_name)
+        .when(F.lower(text).rlike(f"^(?:{three})++$"), by_name)
         .when(text.rlike(f"^[{''.join([*NAMES, *OTHERS])}*]+$"), F.filter(F.split(text, ""), lambda c: c != ""))
     )
 

@@ -65,7 +65,7 @@ _NAMES_SQL = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in (sequence.NAMES | {
 @query(_with(f"SELECT ac, array_to_string(list_transform(string_split(p, ''), lambda c: coalesce({_NAMES_SQL}[c], 'Xaa')), '') AS named, len(p) AS n_residues FROM (SELECT ac, substring({_translate_sql('seq')}, 1, 60) AS p FROM genome)"))
 def q_residue_names(spark, sf_dir):
     """Names of codes, and codes of names again."""
-    rows = synth.genome(spark, sf_dir).select("ac", sequence.translated(F.col("seq")).substr(1, 60).alias("p"))
+    rows = synth.genome(spark, sf_dir).select("ac", sequence.translated(F.col("seq")).alias("p"))
     rows = rows.select("ac", sequence.named_all(F.col("p")).alias("named"))
     return rows.select("ac", "named", F.size(sequence.residues(F.col("named"))).cast("long").alias("n_residues"))
 
