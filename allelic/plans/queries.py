@@ -204,7 +204,7 @@ def q_g_to_n(spark, sf_dir):
   FROM (SELECT *, unnest(range(0, tx_len, 7)) AS n FROM tx)"""))
 def q_n_to_c(spark, sf_dir):
     rows = synth.transcripts(synth.genome(spark, sf_dir)).join(synth.genome(spark, sf_dir).select(F.col("ac").alias("reference"), F.length("seq").alias("size")), "reference")
-    rows = rows.withColumn("n", F.explode(F.sequence(F.lit(0), (3 * F.expr("size div 6") - 1).cast("int"), F.lit(7)))).withColumn("c", coordinates.n_to_c(F.col("n"), F.col("cds_start"), F.col("cds_end")))
+    rows = rows.withColumn("n", F.explode(F.sequence(F.lit(0), (3 * F.expr("size div 6") - 1).cast("int")))).withColumn("c", coordinates.n_to_c(F.col("n"), F.col("cds_start"), F.col("cds_end")))
     back = coordinates.c_to_n(F.col("c.base0"), F.col("c.anchor"), F.col("cds_start"), F.col("cds_end"))
     return rows.select(F.col("ac").alias("tx_ac"), "n", F.col("c.base0").alias("base0"), F.col("c.anchor").alias("anchor"), back.alias("back"))
 
@@ -214,7 +214,7 @@ def q_n_to_c(spark, sf_dir):
 def q_n_to_g(spark, sf_dir):
     g = synth.genome(spark, sf_dir)
     rows = synth.transcripts(g).join(g.select(F.col("ac").alias("reference"), F.length("seq").alias("size")), "reference")
-    rows = rows.withColumn("n", F.explode(F.sequence(F.lit(0), (3 * F.expr("size div 6") - 1).cast("int"), F.lit(7))))
+    rows = rows.withColumn("n", F.explode(F.sequence(F.lit(0), (3 * F.expr("size div 6") - 1).cast("int"))))
     return rows.select(F.col("ac").alias("tx_ac"), "n", mapping.n_to_g(F.col("exons"), F.col("n"), F.lit(0)).alias("g"))
 
 
@@ -246,13 +246,13 @@ def q_region_overlap_counts(spark, sf_dir):
   CASE WHEN strand = 1 THEN b || '>' || translate(b, 'ACGT', 'CGTA') ELSE translate(b, 'ACGT', 'TGCA') || '>' || translate(translate(b, 'ACGT', 'CGTA'), 'ACGT', 'TGCA') END AS genomic
   FROM (SELECT *, n // sz AS k, n % sz AS i, substring(tx_seq, n + 1, 1) AS b FROM (SELECT *, CAST(unnest(range(cds_start, cds_end, 11)) AS INTEGER) AS n FROM txs))"""))
 def q_c_to_g(spark, sf_dir):
-    rows = with_variant(_c_substitutions(spark, sf_dir, 11), "hgvs")
+    rows = with_variant(_c_substitutions(spark, sf_dir), "hgvs")
     return mapping.c_to_g(rows, synth.reference(spark, sf_dir)).select(F.col("variant.ac").alias("tx_ac"), format_variant(F.col("genomic")).alias("genomic"))
 
 
-def _c_substitutions(spark, sf_dir, step):
+def _c_substitutions(spark, sf_dir):
     r = synth.reference(spark, sf_dir)
-    rows = r.transcripts.join(r.spliced, ["ac", "reference"]).withColumn("n", F.explode(F.sequence("cds_start", F.col("cds_end") - 1, F.lit(step))))
+    rows = r.transcripts.join(r.spliced, ["ac", "reference"]).withColumn("n", F.explode(F.sequence("cds_start", "cds_end")))
     b = F.col("tx_seq").substr(F.col("n") + 1, F.lit(1))
     return rows.withColumn("hgvs", F.concat("ac", F.lit(":c."), (F.col("n") - F.col("cds_start") + 1).cast("string"), b, F.lit(">"), F.translate(b, "ACGT", "CGTA")))
 
