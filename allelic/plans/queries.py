@@ -98,8 +98,7 @@ def q_strip_affixes(spark, sf_dir):
 
 @query(_with("SELECT l_orderkey, l_linenumber, l_partkey, reverse(translate(alt, 'ACGT', 'TGCA')) AS alt_rc FROM v WHERE kind IN (0, 2, 5)"))
 def q_complement_edit(spark, sf_dir):
-    rows = _parsed(spark, sf_dir).where("kind in (0, 2, 5)")
-    return rows.select(*KEY, sequence.reverse_complement(F.col("variant.edit.alt")).alias("alt_rc"))
+    return _parsed(spark, sf_dir).select(*KEY, sequence.reverse_complement(F.col("variant.edit.alt")).alias("alt_rc"))
 
 
 # parsing and formatting
@@ -228,7 +227,7 @@ FROM (SELECT m.*, t.tx_ac, t.cds_end, t.cds_start, t.strand, w.alt, substring(w.
 
 @query(_with(_G_TO_C_TEXT))
 def q_g_to_c(spark, sf_dir):
-    rows = _parsed(spark, sf_dir).where("kind = 0")
+    rows = _parsed(spark, sf_dir)
     tx = F.concat(F.lit("NM_"), F.substring("ac", 4, 100))
     return mapping.g_to_c(rows, synth.reference(spark, sf_dir), tx).select(*KEY, format_variant(F.col("coding")).alias("coding"))
 
@@ -333,7 +332,7 @@ def q_normalize(spark, sf_dir):
   CAST(e + k AS INTEGER) AS u_end FROM ({_SHIFT}) WHERE kind IN (0, 1, 3, 4)"""))
 def q_unambiguous_range(spark, sf_dir):
     v = F.col("variant")
-    rows = _parsed(spark, sf_dir).where("kind in (0, 1, 3, 4)").withColumn("r", normalize.genomic_range(v))
+    rows = _parsed(spark, sf_dir).withColumn("r", normalize.genomic_range(v))
     return rows.withColumn("u", normalize.unambiguous_range(F.col("seq"), F.col("r.start"), F.col("r.end"), v["edit"])).select(*KEY, F.col("u.start").alias("u_start"), F.col("u.end").alias("u_end"))
 
 
@@ -361,14 +360,14 @@ def q_validate_reference(spark, sf_dir):
   WHEN 1 THEN CAST(s + k AS VARCHAR) || ':' || substring(seq, s + k + 1, len) || ':' WHEN 2 THEN CAST(pos0 + k AS VARCHAR) || '::' || alt ELSE CAST(e + k AS VARCHAR) || '::' || substring(seq, s + k + 1, len) END AS spdi
   FROM ({_SHIFT}) WHERE kind IN (0, 1, 2, 3)"""))
 def q_spdi(spark, sf_dir):
-    return normalize.to_spdi(_parsed(spark, sf_dir).where("kind in (0, 1, 2, 3)"), synth.reference(spark, sf_dir)).select(*KEY, "spdi")
+    return normalize.to_spdi(_parsed(spark, sf_dir), synth.reference(spark, sf_dir)).select(*KEY, "spdi")
 
 
 @query(_with(f"""SELECT l_orderkey, l_linenumber, l_partkey, ac || ':' || CAST(s - w AS VARCHAR) || ':' || substring(seq, s - w + 1, e + k - s + w) || ':' ||
   CASE WHEN kind = 1 THEN substring(seq, s - w + 1, e + k - s + w - len) ELSE substring(seq, s - w + 1, s - w + k + w + len - (s - w)) || substring(seq, s + k + 1, len) END AS spdi
   FROM (SELECT *, {_lcp('reverse(substring(seq, 1, s))', 'reverse(substring(seq, 1, e))')} AS w FROM ({_SHIFT}) WHERE kind IN (1, 3))"""))
 def q_spdi_unambiguous(spark, sf_dir):
-    return normalize.to_spdi(_parsed(spark, sf_dir).where("kind in (1, 3)"), synth.reference(spark, sf_dir), unambiguous=True).select(*KEY, "spdi")
+    return normalize.to_spdi(_parsed(spark, sf_dir), synth.reference(spark, sf_dir), unambiguous=True).select(*KEY, "spdi")
 
 
 # lookups and texts
