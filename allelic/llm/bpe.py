@@ -17,16 +17,17 @@ import hashlib
 import heapq
 import json
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from allelic.llm.chunks import CACHE, Chunks, byte_level_pieces, ragged
+from allelic.llm.chunks import CACHE, Chunks, byte_level_pieces, larger, ragged
 from allelic.llm.common import bounded_batches, trimmed
 
-#: Words of more bytes are merged exactly at once.
+#: Words of more bytes are walked one by one when tokens are proposed, and exact merging of them keeps a heap; the results are the same.
 LONG = 256
 
 
@@ -129,7 +130,13 @@ class ByteBPE:
         return ok
 
     def propose(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Greedy longest matches of all words at once, a byte of each a step: the word and the token, in order."""
+        """Greedy longest matches of all words, the word and the token, in order; short words advance together, a byte of each a step."""
+        long = [i for i, w in enumerate(words) if len(w) > LONG]
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        if long:
+            walks = [self._walk(words[i]) for i in long]
+            found.append((np.repeat(np.array(long, np.int64), [len(x) for x in walks]), np.array(list(chain.from_iterable(walks)), np.int32)))
+            words = [b"" if len(w) > LONG else w for w in words]
         data = np.frombuffer(b"".join(words), np.uint8)
         lens = np.fromiter(map(len, words), np.int64, len(words))
         end = np.cumsum(lens)
@@ -137,7 +144,6 @@ class ByteBPE:
         at = (end - lens)[word]
         end = end[word]
         row, best, upto = np.full(len(word), self.row[1]), np.full(len(word), -1, np.int32), at.copy()
-        found: list[tuple[np.ndarray, np.ndarray]] = []
         while len(word):
             child = self.step[row, data[at]]
             token = self.token[child]
@@ -155,6 +161,19 @@ class ByteBPE:
         order = np.argsort(owner, kind="stable")
         return owner[order], token[order].astype(np.int64)
 
+    def _walk(self, word: bytes) -> list[int]:
+        """Greedy longest matches of one word."""
+        out, at = [], 0
+        while at < len(word):
+            node, k, best, upto = 1, at, -1, at + 1
+            while k < len(word) and self.row[node] >= 0 and (node := int(self.step[self.row[node], word[k]])):
+                k += 1
+                if self.token[node] >= 0:
+                    best, upto = int(self.token[node]), k
+            out.append(best)
+            at = upto
+        return out
+
     def merge(self, word: bytes) -> list[int]:
         """Exact merging: lowest rank first, leftmost first."""
         ids = [self.id_of[word[i : i + 1]] for i in range(len(word))]
@@ -203,8 +222,8 @@ class ByteBPE:
 
     def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words, one after the other, and how many each has."""
-        failing = np.fromiter((len(w) > LONG for w in words), bool, len(words))
-        owner, flat = self.propose([b"" if f else w for f, w in zip(failing.tolist(), words, strict=True)] if failing.any() else words)
+        failing = np.zeros(len(words), bool)
+        owner, flat = self.propose(words)
         failing[owner[~self.sound[flat]]] = True
         inside = owner[1:] == owner[:-1]
         keys, back = np.unique(flat[:-1][inside] * self.size + flat[1:][inside], return_inverse=True)
@@ -251,9 +270,10 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, chunks = coder(path)
-        for batch in batches:
+        for batch in larger(batches, 1):
             ids, begin = chunks.gather(*chunks.texts(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(ids.astype(np.int32)))], names=["doc_id", "ids"])
+        chunks.clear()
 
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").alias("_text")).mapInArrow(trimmed(run), "doc_id long, ids array<int>")
 
@@ -278,7 +298,7 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, chunks = coder(path)
         sha = lambda s: hashlib.sha256(s).hexdigest()
-        for batch in batches:
+        for batch in larger(batches, 1):
             slots, bounds = chunks.texts(batch.column(1))
             ids, begin = chunks.gather(slots, bounds)
             decoded = bpe.decode(ids, begin)
@@ -289,5 +309,6 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                 [batch.column(0), pa.array(np.diff(begin)), pa.array(names, pa.string()), pa.array([sha(x.encode()) for x in decoded], pa.string()), pa.array(same, pa.bool_())],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip"],
             )
+        chunks.clear()
 
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").alias("_text")).mapInArrow(trimmed(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean")

@@ -1,12 +1,13 @@
 """Token ids of whole texts through the distinct chunks that they consist of.
 
 A chunk is a stretch of text at whose ends every tokenization of the vocabulary at hand has a boundary, so its ids do
-not depend on its surroundings. Texts are cut into chunks and these, once each, into the pieces of the vocabulary's
-pattern; each distinct piece is encoded once by the encoder given, and the ids of a text are gathered from its chunks'. The cache of a worker process is of bounded size.
+not depend on its surroundings. Texts are cut into chunks in arrays; each distinct chunk is cut, once, into the pieces
+of the vocabulary's pattern (most are one piece), which the encoder given encodes, and the ids of a text are gathered
+from its chunks'. The cache of a worker process is of bounded size in entries and in bytes, and is emptied at a task's end.
 
-* ``byte_level``: a chunk starts at a space that a non-space character follows; the pattern of byte-level vocabularies
-  ends a token before such a space, whatever stands left of it.
-* ``words``: white space is dropped by the vocabulary; a chunk lies between two spaces.
+* ``byte_level``: a chunk starts at a space that a non-space character follows, at a line break, and at and behind a run
+  of signs; the pattern of byte-level vocabularies ends a piece at each of these, whatever stands left of it.
+* ``words``: white space is dropped by the vocabulary; a chunk lies between two spaces or runs of signs.
 
 Special tokens are chunks of their own.
 """
@@ -14,7 +15,7 @@ Special tokens are chunks of their own.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -22,18 +23,22 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
-#: Pieces that a worker process remembers, and chunks.
-CACHE, CHUNK_CACHE = 300_000, 120_000
+#: Chunks that a worker process remembers, and their ids and letters together.
+CACHE, CACHE_BYTES = 500_000, 1 << 26
+#: Bytes of texts that are looked up at once.
+TOGETHER_BYTES = 1 << 23
 #: Words encoded in one text.
 TOGETHER = 1000
 #: Unicode's White_Space, as the vocabulary's pattern has it.
 WS = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 CHUNK = re.compile(f" ?[^{WS}]+|[{WS}]+(?![^{WS}])|[{WS}]")
-#: A space before white space or at an end: such texts take the slow way.
-ODD = r" (?:[\s\x{0b}\x{85}\p{Z}]|$)"
+#: Parts chunks while a text is cut in arrays.
+MARK = "\x01"
+#: Texts in which white space meets white space (but for two line breaks, or one and a space), ends the text, or is another than space and line break, and texts with the mark: they are cut one by one.
+ODD = r"[\x01\t\r\x{0b}\x{0c}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]| (?:[ \n]|$)|\n\n[ \n]|\n$"
 
-#: Texts with such characters keep their chunks as they are; runs of signs.
-INTRICATE, SIGNS = r"['\x{130}\x{250}-\x{10ffff}]", r"([^\s\x{0b}\x{85}\p{Z}\p{L}\p{N}]+)"
+#: Texts with such characters keep signs and letters together; runs of signs.
+QUOTE, INTRICATE, SIGNS = "'", r"['\x{130}\x{17f}\x{250}-\x{10ffff}]", r"([^\s\x{0b}\x{85}\p{Z}\p{L}\p{N}]+)"
 
 #: Encodes distinct pieces: all their ids in one array, and how many each has.
 Encoder = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
@@ -44,7 +49,7 @@ class Store:
 
     def __init__(self):
         self.slot: dict[str, int] = {}
-        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.ids, self.used, self.letters = np.zeros(1 << 16, np.uint32), 0, 0
         self.starts, self.lens, self.n = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
 
     def add(self, new: list[str], ids: np.ndarray, lens: np.ndarray) -> None:
@@ -57,17 +62,10 @@ class Store:
         self.starts[self.n : self.n + len(new)] = self.used + np.cumsum(lens) - lens
         self.lens[self.n : self.n + len(new)] = lens
         self.slot.update(zip(new, range(self.n, self.n + len(new)), strict=True))
-        self.used, self.n = self.used + total, self.n + len(new)
+        self.used, self.n, self.letters = self.used + total, self.n + len(new), self.letters + sum(map(len, new))
 
-    def of(self, keys: list[str], make: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """Slots of the keys; ``make`` gives ids and lengths of those not there."""
-        get = self.slot.get
-        out = np.fromiter([get(c, -1) for c in keys], np.int64, len(keys))
-        if (missing := np.flatnonzero(out < 0)).size:
-            new = list(dict.fromkeys([keys[i] for i in missing]))
-            self.add(new, *make(new))
-            out[missing] = [self.slot[keys[i]] for i in missing]
-        return out
+    def full(self) -> bool:
+        return self.n > CACHE or 4 * self.used + self.letters > CACHE_BYTES
 
 
 class Chunks:
@@ -81,26 +79,40 @@ class Chunks:
         self.clear()
 
     def clear(self) -> None:
-        self.chunks, self.pieces = Store(), Store()
+        self.store = Store()
         self.decimal: list[str] = []
 
-    @property
-    def n(self) -> int:
-        return self.chunks.n
-
-    def _make(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        parts = [[c] if c in self.specials else self.split(c) for c in new]
-        counts = np.fromiter(map(len, parts), np.int64, len(parts))
-        slots = self.pieces.of([p for x in parts for p in x], self.encode)
-        ids, ends = ragged(self.pieces.ids, self.pieces.starts[slots], self.pieces.lens[slots])
-        ends = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
+    def _add(self, new: list[str], ids: np.ndarray, lens: np.ndarray) -> None:
         if self.keep_text:
-            numbers, bounds = list(map(str, ids.tolist())), ends.tolist()
-            self.decimal.extend([",".join(numbers[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)])
-        return ids, np.diff(ends)
+            numbers, ends = list(map(str, ids.tolist())), np.cumsum(lens).tolist()
+            self.decimal.extend([",".join(numbers[a:b]) for a, b in zip([0, *ends], ends, strict=False)])
+        self.store.add(new, ids, lens)
 
     def slots(self, chunks: list[str]) -> np.ndarray:
-        return self.chunks.of(chunks, self._make)
+        """Numbers of the chunks; those that are new are encoded, of several pieces through their pieces."""
+        get = self.store.slot.get
+        out = np.fromiter([get(c, -1) for c in chunks], np.int64, len(chunks))
+        if (missing := np.flatnonzero(out < 0)).size:
+            whole, parted, cut = [], [], []
+            for c in dict.fromkeys([chunks[i] for i in missing]):
+                parts = (c,) if c in self.specials else self.split(c)
+                if len(parts) == 1 and parts[0] == c:
+                    whole.append(c)
+                else:
+                    parted.append(c)
+                    cut.append(parts)
+            slot = self.store.slot
+            whole += [p for p in dict.fromkeys(chain.from_iterable(cut)) if p not in slot]
+            whole = list(dict.fromkeys(whole))
+            if whole:
+                self._add(whole, *self.encode(whole))
+            if parted:
+                own = np.fromiter([slot[p] for p in chain.from_iterable(cut)], np.int64)
+                ids, ends = ragged(self.store.ids, self.store.starts[own], self.store.lens[own])
+                ends = np.concatenate([[0], ends])[np.cumsum([0, *map(len, cut)])]
+                self._add(parted, ids, np.diff(ends))
+            out[missing] = [slot[chunks[i]] for i in missing]
+        return out
 
     def _cut(self, text: str) -> list[str]:
         if self.special is None:
@@ -116,49 +128,68 @@ class Chunks:
             out += [part] if k % 2 else CHUNK.findall(part) if self.kind == "byte_level" else part.split(" ")
         return out or [""]
 
+    def _marked(self, texts: pa.Array) -> pa.Array:
+        """Texts with marks between their chunks; empty chunks may arise, which have no ids."""
+        intricate = pc.match_substring(texts, QUOTE) if self.kind == "byte_level" else pc.match_substring_regex(texts, INTRICATE)
+        if self.kind == "words":
+            # fewer distinct chunks: lower case, and runs of signs apart, where no contraction or composition can be
+            apart = pc.replace_substring_regex(pc.utf8_lower(texts), SIGNS, r" \1 ")
+            return pc.replace_substring(pc.if_else(intricate, texts, apart), " ", MARK)
+        apart = pc.replace_substring_regex(texts, SIGNS, MARK + r"\1" + MARK)
+        out = pc.replace_substring(pc.if_else(intricate, texts, apart), "\n", MARK + "\n" + MARK)
+        return pc.replace_substring(pc.replace_substring(out, " ", MARK + " "), MARK + " " + MARK, MARK + " ")
+
     def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the chunks of all texts, and where each text's begin (one more than texts)."""
-        if self.pieces.n > CACHE:
+        if self.store.full():
             self.clear()
-        elif self.chunks.n > CHUNK_CACHE:
-            self.chunks, self.decimal = Store(), []
         texts = texts.fill_null("").cast(pa.large_string())
-        odd = np.zeros(len(texts), bool)
-        if self.kind == "byte_level":
-            odd |= pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False)
+        odd = pc.match_substring_regex(texts, ODD if self.kind == "byte_level" else MARK).to_numpy(zero_copy_only=False)
         if self.special_re2:
             odd |= pc.match_substring_regex(texts, self.special_re2).to_numpy(zero_copy_only=False)
-        plain = texts.filter(pa.array(~odd))
-        if self.kind == "words":
-            # fewer distinct chunks: lower case, and runs of signs apart, where no contraction or composition can be
-            apart = pc.replace_substring_regex(pc.utf8_lower(plain), SIGNS, r" \1 ")
-            plain = pc.if_else(pc.match_substring_regex(plain, INTRICATE), plain, apart)
-        lists = pc.split_pattern(plain, " ")
+        lists = pc.split_pattern(self._marked(texts.filter(pa.array(~odd))), MARK)
         begin = lists.offsets.to_numpy().astype(np.int64)
+        begin = begin - begin[0]
         coded = lists.flatten().dictionary_encode()
-        words, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        if self.kind == "byte_level":
-            flat = self.slots([" " + w for w in words])[at] if len(words) else np.zeros(0, np.int64)
-            first = begin[:-1] - begin[0]
-            if len(first):
-                flat[first] = self.slots([words[i] for i in at[first]])
-        else:
-            flat = self.slots(words)[at] if len(words) else np.zeros(0, np.int64)
+        flat = self.slots(coded.dictionary.to_pylist())[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64)
         if not odd.any():
-            return flat, begin - begin[0]
+            return flat, begin
         parts: list = [None] * len(texts)
         for k, row in enumerate(np.flatnonzero(~odd)):
-            parts[row] = flat[begin[k] - begin[0] : begin[k + 1] - begin[0]]
+            parts[row] = flat[begin[k] : begin[k + 1]]
         for row in np.flatnonzero(odd):
             parts[row] = self.slots(self._cut(texts[int(row)].as_py()))
         return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
 
     def gather(self, slots: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and where each text's begin."""
-        ids, ends = ragged(self.chunks.ids, self.chunks.starts[slots], self.chunks.lens[slots])
+        ids, ends = ragged(self.store.ids, self.store.starts[slots], self.store.lens[slots])
         return ids, np.concatenate([[0], ends])[begin]
 
 
+def larger(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together, or cut, to about TOGETHER_BYTES of column ``text``: chunks are looked up once for each."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy())
+        at = 0
+        while at < len(batch):
+            upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TOGETHER_BYTES - size, side="right")))
+            held.append(batch.slice(at, upto - at))
+            size += int(ends[upto - 1] - (ends[at - 1] if at else 0))
+            at = upto
+            if size >= TOGETHER_BYTES or at < len(batch):
+                yield _one(held)
+                held, size = [], 0
+    if held:
+        yield _one(held)
+
+
+def _one(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return batches[0] if len(batches) == 1 else pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
+
+
 #: The split patterns of the two kinds of vocabulary.
 BYTE_LEVEL = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 WORDS = regex.compile(r"(?i:'s|'t|'re|'ve|'m|'ll|'d)|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
@@ -169,8 +200,8 @@ def byte_level_pieces(chunk: str) -> list[str]:
 
 
 def word_pieces(chunk: str) -> list[str]:
-    """The vocabulary normalises to lower case before it splits; below U+0250 (but for one letter) that changes no split."""
-    if chunk and (max(chunk) >= "\u0250" or "\u0130" in chunk):
+    """The vocabulary normalises to lower case before it splits; below U+0250 (but for two letters) that changes no split."""
+    if chunk and (max(chunk) >= "\u0250" or "\u0130" in chunk or "\u017f" in chunk):
         return [chunk]
     chunk = chunk.lower()
     return [chunk] if chunk.isalpha() else WORDS.findall(chunk)

@@ -27,12 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from allelic.llm.chunks import library_chunks
+from allelic.llm.chunks import larger, library_chunks
 from allelic.llm.common import bounded_batches, id_back, keyed, stored, trimmed
 
 LENGTH, GRAIN, FILL = 2048, 8, 0.97
-#: Rows of a lookup that may be broadcast.
-SMALL = 200_000
 
 
 def knapsack(values: np.ndarray, sizes: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
@@ -141,11 +139,12 @@ def token_counts(docs: DataFrame, tokenizer: str, end_id: int, length: int, id_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks = library_chunks(tokenizer, "words")
-        for batch in batches:
+        for batch in larger(batches, 2):
             ids, begin = chunks.gather(*chunks.texts(batch.column(2)))
             begin = begin.tolist()
             crcs = [[zlib.crc32(own[k : k + length]) for k in range(0, len(own), length)] for own in (np.append(ids[a:b], end_id).astype("<u4") for a, b in zip(begin, begin[1:], strict=False))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(begin) + 1), pa.array(crcs, pa.list_(pa.int64()))], names=["_id", "_th", "_n", "_crcs"])
+        chunks.clear()
 
     return keyed(docs, id_col, text_col).mapInArrow(trimmed(run), "_id long, _th long, _n long, _crcs array<long>")
 
@@ -266,14 +265,13 @@ def _stream(left: DataFrame, totals: dict[int, int], length: int, sequences: int
 def _checked(docs: DataFrame, cut: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
     """Checksums of pieces cut inside a remainder: their documents are encoded again."""
     jobs = cut.groupBy("_id", "_th").agg(F.collect_list(F.struct("_n", "_start", "_length", "_sequence", "_offset")).alias("_jobs"))
-    small = cut.count() <= SMALL
     texts = keyed(docs, id_col, text_col)
     # rows that repeat are encoded for the first only
-    joined = texts.join(F.broadcast(jobs) if small else jobs.hint("merge"), ["_id", "_th"]).groupBy("_id", "_th").agg(F.first("_text").alias("_text"), F.first("_jobs").alias("_jobs"))
+    joined = texts.join(jobs.hint("merge"), ["_id", "_th"]).groupBy("_id", "_th").agg(F.first("_text").alias("_text"), F.first("_jobs").alias("_jobs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks = library_chunks(tokenizer, "words")
-        for batch in batches:
+        for batch in larger(batches, 2):
             ids, begin = chunks.gather(*chunks.texts(batch.column(2)))
             out = []
             for k, jobs_ in enumerate(batch.column(3).to_pylist()):
@@ -281,5 +279,6 @@ def _checked(docs: DataFrame, cut: DataFrame, tokenizer: str, end_id: int, id_co
                 out += [(batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), j["_n"], j["_start"], j["_length"], zlib.crc32(own[j["_start"] : j["_start"] + j["_length"]]), j["_sequence"], j["_offset"]) for j in jobs_]
             names = ["_id", "_th", "_n", "_start", "_length", "_crc", "_sequence", "_offset"]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*out, strict=True) if out else [[]] * 8)], names=names)
+        chunks.clear()
 
     return joined.mapInArrow(trimmed(run), "_id long, _th long, _n long, _start long, _length long, _crc long, _sequence long, _offset long")

@@ -25,7 +25,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from allelic.llm.chunks import library_chunks
+from allelic.llm.chunks import larger, library_chunks
 from allelic.llm.common import bounded_batches, id_back, keyed, trimmed
 
 SEQ_LEN = 2048
@@ -129,15 +129,14 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2,
 
         part, out, chunks = TaskContext.get().partitionId(), None, library_chunks(tokenizer, "byte_level")
         name = f"tokens-{part:06d}"
-        for batch in batches:
-            if not len(batch):
-                continue
+        for batch in larger(batches, 1):
             if out is None:
                 fs, path = pafs.FileSystem.from_uri(folder)
                 out = TokenWriter(fs, path, name, seq_len, kind)
             ids, begin = chunks.gather(*chunks.texts(batch.column(1)))
             ids = np.insert(ids, begin[1:], end_id)
             out.add(batch.column(0), ids, np.diff(begin) + 1)
+        chunks.clear()
         if out is not None:
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([name]), pa.array([out.documents]), pa.array([out.total])], names=["part", "name", "documents", "ids"])
