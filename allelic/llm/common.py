@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 #: Stands for a null id; sorts before every other id.
 NULL_ID = -(2**63)
-#: Rows of whole texts handed to Python at once.
-BATCH_ROWS = 1024
+#: Rows and bytes of whole texts handed to Python at once.
+BATCH_ROWS, BATCH_BYTES = 1024, 1 << 24
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,9 +46,18 @@ def stored(df: DataFrame, what: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Keeps the Arrow batches of whole texts small; Spark's default of 10,000 rows has no bound in bytes."""
+    """Keeps the Arrow batches of whole texts small, in rows and in bytes; bounds set lower stay."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    if _bytes_of(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) > BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def _bytes_of(size: str) -> float:
+    """Of a size as Spark's settings give it; without bound where it isn't read."""
+    digits = size.lower().rstrip("bkmg")
+    power = {"k": 10, "m": 20, "g": 30}.get(size.lower()[len(digits) :][:1], 0)
+    return int(digits) << power if digits.isdigit() else float("inf")
 
 
 def key_of(id_col: str | Column) -> Column:

@@ -77,7 +77,7 @@ def test_line_dedup(docs):
 
 def test_substring_dedup(spark):
     rows = {r["doc_id"]: r for r in substring_dedup.dedup_units(docs_of(spark, [(1, PASSAGE), (2, "a\n" + PASSAGE.upper() + " \nb"), (3, None), (4, "b")])).collect()}
-    assert rows[2]["text"] == "a\nb" and rows[2]["removed_spans"] == f"2-{len(PASSAGE) + 3}" and rows[1]["n_removed"] == rows[3]["n_removed"] == rows[4]["n_removed"] == 0
+    assert rows[2]["text"] == "a\nb" and rows[2]["removed_spans"] == f"2-{len(PASSAGE) + 4}" and rows[1]["n_removed"] == rows[3]["n_removed"] == rows[4]["n_removed"] == 0
 
 
 def test_ngram_join(docs):
