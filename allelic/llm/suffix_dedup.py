@@ -14,8 +14,10 @@ Equal strings are brought together, then told apart by a Burrows-Wheeler transfo
    stops; what no border parts shares ``least`` bytes, and all but the earliest window of such a group are marked.
 4. Marked windows merge into spans, which are cut out.
 
-Anchors with more than HOT occurrences (a passage that a large share of all documents holds) do not go to one block:
-the hashes of their windows are grouped in the whole cluster instead, with partial aggregation.
+Contexts of anchors with more than HOT occurrences (of a passage that a large share of all documents holds) are cut into
+parts of PART windows by their distance from the anchor. The windows of a part share ``least`` - PART + 1 bytes, and parts
+are grouped by these instead of the anchor: what surrounds the passage in each document parts the groups, and what is left
+of a group differs in so few bytes that merging equal parts in each task bounds it. The transform settles them like the others.
 
 Defined results: a null text counts as empty; windows do not cross documents; texts of fewer than ``least`` bytes stay;
 a null id sorts first; rows equal in id and text are one document (neither is earlier); rows of one id with different
@@ -30,7 +32,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,8 +40,8 @@ from allelic.llm.common import bounded_batches, id_back, keyed, row_with, stored
 LEAST = 100
 #: Bytes of an anchor.
 ANCHOR = 20
-#: Occurrences up to which an anchor's contexts go to one block.
-HOT = 8192
+#: Occurrences up to which an anchor's contexts are grouped by the anchor; windows of a part of the contexts of others.
+HOT, PART = 1024, 3
 #: Windows hashed at once; bytes of a block of contexts; bytes of contexts a task holds before it sends them.
 SLICE, BLOCK, HELD = 1 << 22, 1 << 20, 1 << 25
 _BYTE = np.random.default_rng(3).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -143,48 +144,69 @@ def _anchor_rows(texts: DataFrame, least: int, k: int) -> DataFrame:
     return texts.select("_id", "_th", "_text").mapInArrow(trimmed(run), "_h long, _id long, _p long")
 
 
-CONTEXT = "_id long, _th long, _p long, _bytes binary"
+CONTEXT = "_id long, _th long, _p long, _wide boolean, _bytes binary"
 SPAN = "_id long, _th long, _from long, _to long"
 
 
-def _contexts(listed: DataFrame, least: int) -> DataFrame:
-    """Contexts of the listed anchors. Of equal ones of a task the earliest is sent; the others are repeated for sure and come without bytes."""
+def _contexts(listed: DataFrame, least: int, part: int) -> DataFrame:
+    """Contexts of the listed anchors, those of frequent anchors in parts. Of equal ones of a task the earliest is sent; the others are repeated for sure and come without bytes, as stretches of windows."""
     places = Places(least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first: dict[tuple, tuple] = {}
-        held, out = 0, []
-
-        def packed(own: tuple, shift: int, windows: int) -> int:
-            return (own[2] + shift) << (2 * places.bits) | shift << places.bits | windows
+        whole: tuple[dict, dict] = ({}, {})  # by frequency of the anchor: (windows ahead of it, bytes) -> id, hash, first window
+        sure: list[tuple] = []  # id, hash, first and last window
+        held = 0
+
+        def earliest(first: dict, key: tuple, own: tuple) -> bool:
+            """Keeps the earlier of equal contexts; whether the key is new."""
+            had = first.setdefault(key, own)
+            if had is own:
+                return True
+            if own != had:
+                if own < had:
+                    first[key], own = own, had
+                i, t, a = own
+                z = a + len(key[1]) - least
+                if sure and sure[-1][:2] == (i, t) and sure[-1][2] <= a <= sure[-1][3] + 1 and z - sure[-1][2] <= places.mask:
+                    sure[-1] = (i, t, sure[-1][2], max(z, sure[-1][3]))
+                else:
+                    sure.append((i, t, a, z))
+            return False
+
+        def parts() -> dict:
+            found: dict[tuple, tuple] = {}
+            for (shift, data), (i, t, a) in whole[1].items():
+                at, n = 0, len(data) - least + 1
+                while at < n:
+                    upto = min(n, at + (shift - at) % part + 1)  # to the next multiple of ``part`` windows ahead of the anchor
+                    earliest(found, (shift - at, data[at : upto - 1 + least]), (i, t, a + at))
+                    at = upto
+            return found
 
         def flush() -> Iterator[pa.RecordBatch]:
-            rows = out + [(*o[:2], packed(o, shift, len(data) - least), data) for (shift, data), o in first.items()]
-            out.clear()
-            first.clear()
+            rows = []
+            for wide, first in ((False, whole[0]), (True, parts())):
+                rows += [(i, t, (a + shift) << (2 * places.bits) | shift << places.bits | (len(data) - least), wide, data) for (shift, data), (i, t, a) in first.items()]
+            rows += [(i, t, a << (2 * places.bits) | (z - a), False, None) for i, t, a, z in sure]
+            for x in (*whole, sure):
+                x.clear()
             for at in range(0, len(rows), 4096):
                 cols = list(zip(*rows[at : at + 4096], strict=True))
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.binary())], names=["_id", "_th", "_p", "_bytes"])
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["_id", "_th", "_p", "_wide", "_bytes"])
 
         for batch in batches:
-            lists = batch.column(3)
-            offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy()
-            for row, (i, t, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+            lists = [(c.offsets.to_numpy(), c.values.to_numpy()) for c in (batch.column(3), batch.column(4))]
+            for row, (i, t, text) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)):
                 data = text.encode()
-                for shift, s, e in zip(*(x.tolist() for x in places.unpack(values[offsets[row] : offsets[row + 1]])), strict=True):
-                    part = data[s : e + least]
-                    if len(part) < e + least - s:
-                        continue  # of another text of this id
-                    key, own = (shift, part), (i, t, s)
-                    had = first.get(key)
-                    if had is None:
-                        first[key] = own
-                        held += len(part) + 200
-                    elif own != had:
-                        if own < had:
-                            first[key], own = own, had
-                        out.append((*own[:2], packed(own, shift, e - s), None))
-                        held += 100
+                for first, (offsets, values) in zip(whole, lists, strict=True):
+                    for shift, s, e in zip(*(x.tolist() for x in places.unpack(np.sort(values[offsets[row] : offsets[row + 1]]))), strict=True):
+                        own = data[s : e + least]
+                        # shorter ones are of another text of this id
+                        if len(own) == e + least - s and earliest(first, (shift, own), (i, t, s)):
+                            held += len(own) + 200
+                        else:
+                            held += 20
             if held > HELD:
                 yield from flush()
                 held = 0
@@ -284,8 +306,8 @@ def later_windows(contexts: list[tuple[tuple[int, int, int], bytes]], least: int
     return [(*contexts[owner[a]][0][:2], int(first[owner[a]] + shift[a]), int(first[owner[a]] + shift[b] + least)) for a, b in zip(edge.tolist(), last.tolist(), strict=True) if late[a]]
 
 
-def _spans(contexts: DataFrame, least: int, k: int) -> DataFrame:
-    """Spans of repeated windows, out of contexts grouped by anchor."""
+def _spans(contexts: DataFrame, least: int, k: int, part: int) -> DataFrame:
+    """Spans of repeated windows, out of contexts grouped by anchor, or by what the windows of a part share."""
     places = Places(least)
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
@@ -337,63 +359,13 @@ def _spans(contexts: DataFrame, least: int, k: int) -> DataFrame:
             yield batch_of(out)
 
     shift = F.shiftright("_p", places.bits).bitwiseAND(places.mask)
-    anchor = F.when(F.col("_bytes").isNotNull(), F.xxhash64(F.col("_bytes").substr((shift + 1).cast("int"), F.lit(k)))).otherwise(F.xxhash64("_id", "_p"))
-    # the hash of the anchor is computed on both sides of the exchange, not sent
+    shared = F.when(F.col("_wide"), F.col("_bytes").substr((shift % part + 1).cast("int"), F.lit(least - part + 1))).otherwise(F.col("_bytes").substr((shift + 1).cast("int"), F.lit(k)))
+    anchor = F.when(F.col("_bytes").isNotNull(), F.xxhash64("_wide", F.floor(shift / part) * F.col("_wide").cast("int"), shared)).otherwise(F.xxhash64("_id", "_p"))
+    # the hash is computed on both sides of the exchange, not sent
     grouped = contexts.repartition(anchor).select(anchor.alias("_g"), "_id", "_th", "_p", "_bytes").sortWithinPartitions("_g")
     return grouped.mapInArrow(trimmed(run), SPAN)
 
 
-def _hot_spans(listed: DataFrame, least: int) -> DataFrame:
-    """Spans of repeated windows of anchors with very many occurrences: hashes of windows are grouped in the whole cluster.
-
-    Of equal windows of a task the earliest is sent, the others are repeated for sure; so a window that a third of all
-    documents share arrives as one row a task.
-    """
-    places = Places(least)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first: dict[bytes, tuple] = {}
-        sure: list[tuple] = []
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            rows = [(None, *x) for x in sure] + [(w, *x, x[2] + least) for w, x in first.items()]
-            sure.clear()
-            first.clear()
-            for at in range(0, len(rows), 8192):
-                cols = list(zip(*rows[at : at + 8192], strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.binary()), *(pa.array(c, pa.int64()) for c in cols[1:])], names=["_w", "_id", "_th", "_from", "_to"])
-
-        def repeats(i: int, t: int, p: int) -> None:
-            if sure and sure[-1][:2] == (i, t) and sure[-1][2] <= p <= sure[-1][3]:
-                sure[-1] = (i, t, sure[-1][2], max(sure[-1][3], p + least))
-            else:
-                sure.append((i, t, p, p + least))
-
-        for batch in batches:
-            for i, t, text, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                data = text.encode()
-                _, firsts, lasts = places.unpack(np.sort(np.array(found, np.int64)))
-                for a, b in zip(firsts.tolist(), lasts.tolist(), strict=True):
-                    for p in range(a, min(b, len(data) - least) + 1):
-                        w, own = xxhash.xxh3_128_digest(data[p : p + least]), (i, t, p)
-                        had = first.get(w)
-                        if had is None:
-                            first[w] = own
-                        elif own != had:
-                            if own < had:
-                                first[w], own = own, had
-                            repeats(*own)
-            if len(first) + len(sure) > 100_000:
-                yield from flush()
-        yield from flush()
-
-    rows = stored(listed.mapInArrow(trimmed(run), "_w binary, _id long, _th long, _from long, _to long"), "windows")
-    windows = rows.where(F.col("_w").isNotNull())
-    first = windows.groupBy("_w").agg(F.min(F.struct("_id", "_th", "_from")).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_w", "_first")
-    later = windows.join(first.hint("merge"), "_w").where(F.struct("_id", "_th", "_from") > F.col("_first"))
-    return later.select("_id", "_th", "_from", "_to").unionAll(rows.where(F.col("_w").isNull()).select("_id", "_th", "_from", "_to"))
-
-
 def _tagged(docs: DataFrame, id_col: str, text_col: str, carry: bool = False) -> DataFrame:
     return keyed(docs, id_col, text_col, carry).withColumn("_t", _tag(F.col("_th")))
 
@@ -405,22 +377,15 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     anchor = min(anchor, least)
     found = _anchor_rows(texts, least, anchor)
     repeated = stored(found.groupBy("_h").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), "anchors")
-    any_hot = bool(repeated.where(F.col("_n") > hot).limit(1).count())
 
     # the anchors' places are found once, for frequent and other anchors together
     top = Places(least).top
     own = found.join(repeated.select("_h", (F.col("_n") > hot).alias("_hot")).hint("merge"), "_h")
     own = own.select("_id", F.shiftright("_p", top).alias("_t"), F.col("_p").bitwiseAND((1 << top) - 1).alias("_p"), "_hot")
-    own = stored(own.groupBy("_id", "_t").agg(F.collect_list(F.when(~F.col("_hot"), F.col("_p"))).alias("_cold"), F.collect_list(F.when(F.col("_hot"), F.col("_p"))).alias("_frequent")), "places")
-
-    def listed(which: str) -> DataFrame:
-        """Texts with the places of those anchors; all joins of the texts share one exchange."""
-        return texts.join(own.select("_id", "_t", F.col(which).alias("_list")).hint("merge"), ["_id", "_t"], "left").where(F.size("_list") > 0).select("_id", "_th", "_text", "_list")
-
-    spans = _spans(_contexts(listed("_cold"), least), least, anchor)
-    if any_hot:
-        spans = spans.unionAll(_hot_spans(listed("_frequent"), least))
-    return spans
+    own = own.groupBy("_id", "_t").agg(F.collect_list(F.when(~F.col("_hot"), F.col("_p"))).alias("_list"), F.collect_list(F.when(F.col("_hot"), F.col("_p"))).alias("_frequent"))
+    listed = texts.join(own.hint("merge"), ["_id", "_t"]).select("_id", "_th", "_text", "_list", "_frequent")
+    part = min(PART, least)
+    return _spans(_contexts(listed, least, part), least, anchor, part)
 
 
 def merged_spans(found: list | None, n: int) -> list[tuple[int, int]]:
