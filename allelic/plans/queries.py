@@ -24,7 +24,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
         if sql:
-            SQL[f.__name__] = sql if "%" not in sql[:0] else sql
+            SQL[f.__name__] = sql
         return f
 
     return add
@@ -62,7 +62,7 @@ def q_translate(spark, sf_dir):
 _NAMES_SQL = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in (sequence.NAMES | {"*": "Ter"}).items()) + "}"
 
 
-@query(_with(f"SELECT ac, array_to_string(list_transform(string_split(p, ''), lambda c: coalesce({_NAMES_SQL}[c], 'Xaa')), '') AS named, len(p) AS n_residues FROM (SELECT ac, substring({_translate_sql('seq')}, 1, 60) AS p FROM genome)"))
+@query(_with(f"SELECT ac, array_to_string(list_transform(string_split(p, ''), lambda c: coalesce({_NAMES_SQL}[c], 'Xaa')), '') AS named, len(p) AS n_residues FROM (SELECT ac, {_translate_sql('seq')} AS p FROM genome)"))
 def q_residue_names(spark, sf_dir):
     """Names of codes, and codes of names again."""
     rows = synth.genome(spark, sf_dir).select("ac", sequence.translated(F.col("seq")).alias("p"))
@@ -96,7 +96,7 @@ def q_strip_affixes(spark, sf_dir):
     return synth.variants(spark, sf_dir).withColumn("s", s).select(*KEY, F.col("s.start").alias("s_start"), F.col("s.ref").alias("s_ref"), F.col("s.alt").alias("s_alt"))
 
 
-@query(_with("SELECT l_orderkey, l_linenumber, l_partkey, reverse(translate(alt, 'ACGT', 'TGCA')) AS alt_rc FROM v WHERE kind IN (0, 2, 5)"))
+@query(_with("SELECT l_orderkey, l_linenumber, l_partkey, reverse(translate(alt, 'ACGT', 'TGCA')) AS alt_rc FROM v"))
 def q_complement_edit(spark, sf_dir):
     return _parsed(spark, sf_dir).select(*KEY, sequence.reverse_complement(F.col("variant.edit.alt")).alias("alt_rc"))
 
@@ -200,7 +200,7 @@ def q_g_to_n(spark, sf_dir):
 
 
 @query(_with("""SELECT tx_ac, CAST(n AS INTEGER) AS n, CAST(CASE WHEN n > cds_end THEN n - cds_end - 1 ELSE n - cds_start END AS INTEGER) AS base0, CASE WHEN n > cds_end THEN 'CdsEnd' ELSE 'CdsStart' END AS anchor, CAST(n AS INTEGER) AS back
-  FROM (SELECT *, unnest(range(0, tx_len, 7)) AS n FROM tx)"""))
+  FROM (SELECT *, unnest(range(0, tx_len)) AS n FROM tx)"""))
 def q_n_to_c(spark, sf_dir):
     rows = synth.transcripts(synth.genome(spark, sf_dir)).join(synth.genome(spark, sf_dir).select(F.col("ac").alias("reference"), F.length("seq").alias("size")), "reference")
     rows = rows.withColumn("n", F.explode(F.sequence(F.lit(0), (3 * F.expr("size div 6") - 1).cast("int")))).withColumn("c", coordinates.n_to_c(F.col("n"), F.col("cds_start"), F.col("cds_end")))
@@ -209,7 +209,7 @@ def q_n_to_c(spark, sf_dir):
 
 
 @query(_with("""SELECT tx_ac, CAST(n AS INTEGER) AS n, CAST(CASE WHEN strand = 1 THEN 20 + k * th + i ELSE 20 + (2 - k) * th + sz - 1 - i END AS INTEGER) AS g FROM (
-  SELECT *, n // sz AS k, n % sz AS i FROM (SELECT *, unnest(range(0, tx_len, 7)) AS n FROM tx))"""))
+  SELECT *, n // sz AS k, n % sz AS i FROM (SELECT *, unnest(range(0, tx_len)) AS n FROM tx))"""))
 def q_n_to_g(spark, sf_dir):
     g = synth.genome(spark, sf_dir)
     rows = synth.transcripts(g).join(g.select(F.col("ac").alias("reference"), F.length("seq").alias("size")), "reference")
@@ -217,12 +217,24 @@ def q_n_to_g(spark, sf_dir):
     return rows.select(F.col("ac").alias("tx_ac"), "n", mapping.n_to_g(F.col("exons"), F.col("n"), F.lit(0)).alias("g"))
 
 
+_CODING_PLACE = """CASE WHEN n > cds_end THEN '*' || CAST(n - cds_end AS VARCHAR) ELSE CAST(CASE WHEN n - cds_start >= 0 THEN n - cds_start + 1 ELSE n - cds_start END AS VARCHAR) END
+  || CASE WHEN o > 0 THEN '+' || CAST(o AS VARCHAR) WHEN o < 0 THEN CAST(o AS VARCHAR) ELSE '' END"""
+
+#: Both positions of every kind: those of a range are mapped each on its own, sequences are turned on the minus strand.
 _G_TO_C_TEXT = f"""
-SELECT l_orderkey, l_linenumber, l_partkey, tx_ac || ':c.' || CASE WHEN n > cds_end THEN '*' || CAST(n - cds_end AS VARCHAR) ELSE CAST(CASE WHEN n - cds_start >= 0 THEN n - cds_start + 1 ELSE n - cds_start END AS VARCHAR) END
-  || CASE WHEN o > 0 THEN '+' || CAST(o AS VARCHAR) WHEN o < 0 THEN CAST(o AS VARCHAR) ELSE '' END
-  || CASE WHEN strand = 1 THEN r1 || '>' || alt ELSE translate(r1, 'ACGT', 'TGCA') || '>' || translate(alt, 'ACGT', 'TGCA') END AS coding
-FROM (SELECT m.*, t.tx_ac, t.cds_end, t.cds_start, t.strand, w.alt, substring(w.ref, 1, 1) AS r1 FROM ({_G_TO_N}) m
-  JOIN (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, doc_id, alt, ref, kind FROM v) w USING (l_orderkey, l_linenumber, l_partkey) JOIN tx t USING (doc_id) WHERE w.kind = 0)"""
+SELECT l_orderkey, l_linenumber, l_partkey, tx_ac || ':c.' || place || CASE kind WHEN 0 THEN turned(substring(ref, 1, 1)) || '>' || turned(alt) WHEN 1 THEN 'del' WHEN 2 THEN 'ins' || turned(alt) WHEN 3 THEN 'dup' WHEN 4 THEN 'inv'
+  WHEN 5 THEN 'delins' || turned(alt) ELSE turned(ref) || '[3]' END AS coding
+FROM (SELECT rid, string_agg(place, '_' ORDER BY which) AS place FROM (
+  SELECT rid, which, {_CODING_PLACE} AS place FROM (
+    SELECT *, row_number() OVER (PARTITION BY rid, which ORDER BY inside DESC, d, x) AS r FROM (
+      SELECT *, CASE WHEN g BETWEEN s AND e THEN 1 ELSE 0 END AS inside, least(abs(g - s), abs(g - e)) AS d,
+        CASE WHEN g BETWEEN s AND e THEN x * sz + CASE WHEN strand = 1 THEN g - s ELSE e - g END WHEN g < s THEN x * sz ELSE x * sz + sz - 1 END AS n,
+        CASE WHEN g BETWEEN s AND e THEN 0 WHEN strand = 1 THEN CASE WHEN g < s THEN g - s ELSE g - e END ELSE CASE WHEN g < s THEN s - g ELSE e - g END END AS o
+      FROM (SELECT *, 20 + CASE WHEN strand = 1 THEN x ELSE 2 - x END * th AS s, 20 + CASE WHEN strand = 1 THEN x ELSE 2 - x END * th + sz - 1 AS e
+        FROM ends JOIN (SELECT doc_id, strand, sz, th, cds_start, cds_end FROM tx) USING (doc_id), (SELECT unnest([0, 1, 2]) AS x)))) WHERE r = 1) GROUP BY rid)
+JOIN numbered USING (rid) JOIN (SELECT doc_id, tx_ac, strand FROM tx) USING (doc_id)""".replace("turned(substring(ref, 1, 1))", "CASE WHEN strand = 1 THEN substring(ref, 1, 1) ELSE translate(substring(ref, 1, 1), 'ACGT', 'TGCA') END").replace("turned(alt)", "CASE WHEN strand = 1 THEN alt ELSE reverse(translate(alt, 'ACGT', 'TGCA')) END").replace("turned(ref)", "CASE WHEN strand = 1 THEN ref ELSE reverse(translate(ref, 'ACGT', 'TGCA')) END")
+_G_TO_C_TEXT = f""", numbered AS MATERIALIZED (SELECT row_number() OVER () AS rid, l_orderkey, l_linenumber, l_partkey, doc_id, pos0, len, kind, ref, alt FROM v),
+ends AS (SELECT rid, doc_id, 0 AS which, pos0 AS g FROM numbered UNION ALL SELECT rid, doc_id, 1, CASE WHEN kind = 2 THEN pos0 + 1 ELSE pos0 + len - 1 END FROM numbered WHERE kind = 2 OR len > 1 AND kind <> 0) {_G_TO_C_TEXT}"""
 
 
 @query(_with(_G_TO_C_TEXT))
@@ -243,7 +255,7 @@ def q_region_overlap_counts(spark, sf_dir):
 
 @query(_with("""SELECT tx_ac, ac || ':g.' || CAST(CASE WHEN strand = 1 THEN 21 + k * th + i ELSE 20 + (2 - k) * th + sz - i END AS VARCHAR) ||
   CASE WHEN strand = 1 THEN b || '>' || translate(b, 'ACGT', 'CGTA') ELSE translate(b, 'ACGT', 'TGCA') || '>' || translate(translate(b, 'ACGT', 'CGTA'), 'ACGT', 'TGCA') END AS genomic
-  FROM (SELECT *, n // sz AS k, n % sz AS i, substring(tx_seq, n + 1, 1) AS b FROM (SELECT *, CAST(unnest(range(cds_start, cds_end, 11)) AS INTEGER) AS n FROM txs))"""))
+  FROM (SELECT *, n // sz AS k, n % sz AS i, substring(tx_seq, n + 1, 1) AS b FROM (SELECT *, CAST(unnest(range(cds_start, cds_end + 1)) AS INTEGER) AS n FROM txs))"""))
 def q_c_to_g(spark, sf_dir):
     rows = with_variant(_c_substitutions(spark, sf_dir), "hgvs")
     return mapping.c_to_g(rows, synth.reference(spark, sf_dir)).select(F.col("variant.ac").alias("tx_ac"), format_variant(F.col("genomic")).alias("genomic"))
@@ -328,8 +340,11 @@ def q_normalize(spark, sf_dir):
     return normalize.normalize(_parsed(spark, sf_dir), synth.reference(spark, sf_dir)).select(*KEY, F.col("normal.start.base").alias("first"), F.col("normal.edit.ref").alias("ref"))
 
 
-@query(_with(f"""SELECT l_orderkey, l_linenumber, l_partkey, CAST(CASE WHEN kind IN (1, 3) THEN s - {_lcp('reverse(substring(seq, 1, s))', 'reverse(substring(seq, 1, e))')} ELSE s END AS INTEGER) AS u_start,
-  CAST(e + k AS INTEGER) AS u_end FROM ({_SHIFT}) WHERE kind IN (0, 1, 3, 4)"""))
+_LEFT = f"""CASE WHEN kind IN (1, 3, 5) THEN {_lcp('reverse(substring(seq, 1, s))', 'reverse(substring(seq, 1, e))')}
+  WHEN kind = 2 AND length(alt) = 1 THEN s - length(rtrim(substring(seq, 1, s), alt)) ELSE 0 END"""
+
+
+@query(_with(f"SELECT l_orderkey, l_linenumber, l_partkey, CAST(s - {_LEFT} AS INTEGER) AS u_start, CAST(e + k AS INTEGER) AS u_end FROM ({_SHIFT})"))
 def q_unambiguous_range(spark, sf_dir):
     v = F.col("variant")
     rows = _parsed(spark, sf_dir).withColumn("r", normalize.genomic_range(v))
@@ -356,16 +371,29 @@ def q_validate_reference(spark, sf_dir):
     return rows.select(*KEY, normalize.states_reference(v, F.col("seq"), F.col("r.start") + 1, F.col("r.end") + 1).alias("valid"))
 
 
-@query(_with(f"""SELECT l_orderkey, l_linenumber, l_partkey, ac || ':' || CASE kind WHEN 0 THEN CAST(pos0 AS VARCHAR) || ':' || substring(ref, 1, 1) || ':' || alt
-  WHEN 1 THEN CAST(s + k AS VARCHAR) || ':' || substring(seq, s + k + 1, len) || ':' WHEN 2 THEN CAST(pos0 + k AS VARCHAR) || '::' || alt ELSE CAST(e + k AS VARCHAR) || '::' || substring(seq, s + k + 1, len) END AS spdi
-  FROM ({_SHIFT}) WHERE kind IN (0, 1, 2, 3)"""))
+#: Without the common prefix, then without the common suffix.
+_MINIMAL = f"""
+SELECT *, CAST(pos0 + k + p AS VARCHAR) || ':' || substring(r, 1, length(r) - x) || ':' || substring(a, 1, length(a) - x) AS minimal FROM (
+  SELECT *, {_lcp('reverse(r)', 'reverse(a)')} AS x FROM (
+    SELECT * REPLACE (substring(r, p + 1) AS r, substring(a, p + 1) AS a) FROM (
+      SELECT *, {_lcp('r', 'a')} AS p FROM (
+        SELECT *, CASE kind WHEN 0 THEN substring(ref, 1, 1) WHEN 5 THEN substring(seq, s + k + 1, len) ELSE ref END AS r,
+          CASE kind WHEN 4 THEN reverse(translate(ref, 'ACGT', 'TGCA')) WHEN 6 THEN repeat(ref, 3) ELSE alt END AS a FROM ({_SHIFT})))))"""
+
+
+@query(_with(f"""SELECT l_orderkey, l_linenumber, l_partkey, ac || ':' || CASE kind
+  WHEN 1 THEN CAST(s + k AS VARCHAR) || ':' || substring(seq, s + k + 1, len) || ':' WHEN 2 THEN CAST(pos0 + k AS VARCHAR) || '::' || alt WHEN 3 THEN CAST(e + k AS VARCHAR) || '::' || substring(seq, s + k + 1, len) ELSE minimal END AS spdi
+  FROM ({_MINIMAL})"""))
 def q_spdi(spark, sf_dir):
     return normalize.to_spdi(_parsed(spark, sf_dir), synth.reference(spark, sf_dir)).select(*KEY, "spdi")
 
 
-@query(_with(f"""SELECT l_orderkey, l_linenumber, l_partkey, ac || ':' || CAST(s - w AS VARCHAR) || ':' || substring(seq, s - w + 1, e + k - s + w) || ':' ||
-  CASE WHEN kind = 1 THEN substring(seq, s - w + 1, e + k - s + w - len) ELSE substring(seq, s - w + 1, s - w + k + w + len - (s - w)) || substring(seq, s + k + 1, len) END AS spdi
-  FROM (SELECT *, {_lcp('reverse(substring(seq, 1, s))', 'reverse(substring(seq, 1, e))')} AS w FROM ({_SHIFT}) WHERE kind IN (1, 3))"""))
+#: An insertion replaces the base in front of it.
+@query(_with(f"""SELECT l_orderkey, l_linenumber, l_partkey, ac || ':' || CASE
+  WHEN kind IN (1, 3, 5) THEN CAST(s - w AS VARCHAR) || ':' || substring(seq, s - w + 1, e + k - s + w) || ':' || substring(seq, s - w + 1, k + w) || CASE kind WHEN 1 THEN '' WHEN 5 THEN alt ELSE repeat(substring(seq, s + k + 1, len), 2) END
+  WHEN kind = 2 THEN CAST(pos0 + k AS VARCHAR) || ':' || substring(seq, pos0 + k + 1, 1) || ':' || alt
+  ELSE CAST(pos0 AS VARCHAR) || ':' || CASE kind WHEN 0 THEN substring(ref, 1, 1) || ':' || alt WHEN 4 THEN ref || ':' || reverse(translate(ref, 'ACGT', 'TGCA')) ELSE ref || ':' || repeat(ref, 3) END END AS spdi
+  FROM (SELECT *, {_LEFT} AS w FROM ({_SHIFT}))"""))
 def q_spdi_unambiguous(spark, sf_dir):
     return normalize.to_spdi(_parsed(spark, sf_dir), synth.reference(spark, sf_dir), unambiguous=True).select(*KEY, "spdi")
 

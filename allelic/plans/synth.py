@@ -1,7 +1,7 @@
 """A deterministic reference and variants derived from the input tables, and the same in SQL.
 
 The engine reads the variants' texts; SQL computes the expected results from the fields that the texts were made of.
-SQL takes the first LONGEST letters of documents of at least SHORTEST; the engine takes all letters of every document.
+Both take all letters of every document.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from allelic.operators.reference import Reference, splice
 
-ALPHABET, TO_BASES, LONGEST, SHORTEST = "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC", 2000, 300
+ALPHABET, TO_BASES = "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC"
 #: Letters below which the arithmetic isn't defined: positions are taken modulo the length less 100; three exons end within the sequence from 115 on.
 FOR_VARIANT, FOR_EXONS = 101, 115
 
@@ -96,15 +96,15 @@ def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = f"""
 genome AS (
   SELECT doc_id, 'NC_' || lpad(CAST(doc_id AS VARCHAR), 6, '0') || '.1' AS ac, seq FROM (
-    SELECT doc_id, substring(translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), '{ALPHABET}', '{TO_BASES}'), 1, {LONGEST}) AS seq FROM documents
-  ) WHERE length(seq) >= {SHORTEST}
+    SELECT doc_id, translate(regexp_replace(lower(coalesce(text, '')), '[^a-z]', '', 'g'), '{ALPHABET}', '{TO_BASES}') AS seq FROM documents
+  )
 ), tx AS (
   SELECT *, CAST(cds_start + 3 * ((3 * sz - 25) // 3) - 1 AS INTEGER) AS cds_end, 3 * sz AS tx_len,
     substring(seq, 21, sz) || substring(seq, 21 + th, sz) || substring(seq, 21 + 2 * th, sz) AS plus
   FROM (
     SELECT doc_id, 'NM_' || lpad(CAST(doc_id AS VARCHAR), 6, '0') || '.1' AS tx_ac, 'NP_' || lpad(CAST(doc_id AS VARCHAR), 6, '0') || '.1' AS protein, ac, seq,
       'GENE' || CAST(doc_id // 4 AS VARCHAR) AS gene, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE -1 END AS strand,
-      CAST(length(seq) // 6 AS INTEGER) AS sz, CAST(length(seq) // 3 AS INTEGER) AS th, CAST(10 + doc_id % 3 AS INTEGER) AS cds_start FROM genome)
+      CAST(length(seq) // 6 AS INTEGER) AS sz, CAST(length(seq) // 3 AS INTEGER) AS th, CAST(10 + doc_id % 3 AS INTEGER) AS cds_start FROM genome WHERE length(seq) >= {FOR_EXONS})
 ), txs AS (
   SELECT *, CASE WHEN strand = 1 THEN plus ELSE reverse(translate(plus, 'ACGT', 'TGCA')) END AS tx_seq FROM tx
 ), v AS (
@@ -114,5 +114,5 @@ genome AS (
   FROM (SELECT *, substring(seq, pos0 + 1, len) AS ref FROM (
     SELECT l_orderkey, l_linenumber, l_partkey, g.doc_id, g.ac, g.seq, CAST((l_orderkey * 31 + l_partkey * 7 + l_linenumber) % (length(seq) - 100) AS INTEGER) AS pos0,
       CAST(1 + l_linenumber % 4 AS INTEGER) AS len, CAST(l_linenumber % 7 AS INTEGER) AS kind
-    FROM lineitem JOIN genome g ON g.doc_id = l_partkey % (SELECT count(*) FROM documents)))
+    FROM lineitem JOIN genome g ON g.doc_id = l_partkey % (SELECT count(*) FROM documents) WHERE length(g.seq) >= {FOR_VARIANT}))
 )"""
