@@ -182,7 +182,8 @@ def _offset(text: Column, coord: str) -> Column:
     return computed_once(g, built)
 
 
-def _protein(text: Column) -> Column:
+def parse_protein(text: Column) -> Column:
+    """The variant struct of a protein variant's text, null if it isn't one."""
     one = rf"((?>{STOP}|{AA3}|{AA1}))?{W}({NUM})"
     two = rf"{one}(?:{W}_{W}{one})?"
     counted = rf"(?:\[{W}({NUM}){W}\]|\({W}({NUM}){W}_{W}({NUM}){W}\))"
@@ -243,7 +244,7 @@ def _variant(coord: str, x: list[Column], start: Column, end: Column, unsure: Co
 def parse_variant(text: Column) -> Column:
     """The variant struct of a text, null if it isn't one."""
     kind = F.regexp_extract(text, rf"{HEAD}([cgmnrp]){W}\.", 3)
-    made = {"g": _simple(text, "g"), "m": _simple(text, "m"), "c": _offset(text, "c"), "n": _offset(text, "n"), "r": _offset(text, "r"), "p": _protein(text)}
+    made = {"g": _simple(text, "g"), "m": _simple(text, "m"), "c": _offset(text, "c"), "n": _offset(text, "n"), "r": _offset(text, "r"), "p": parse_protein(text)}
     return _when(*[(kind == k, v) for k, v in made.items()])
 
 

@@ -33,27 +33,27 @@ def exact_match(a: Column, truth: Column) -> Column:
 
 
 def fuzzy_match(a: Column, truth: Column) -> Column:
-    """Equal, or both with Ter, fs or =; errors never match."""
+    """Equal, or both with Ter, fs or =; errors and nulls never match."""
     x, y = (F.translate(F.element_at(F.split(c, ":"), -1), "()", "") for c in (a, truth))
     both = lambda t: F.contains(x, F.lit(t)) & F.contains(y, F.lit(t))
-    return F.when(a.isNull() | a.startswith("ERR:"), F.lit(False)).otherwise((x == y) | both("Ter") | both("fs") | both("="))
+    return F.when(a.isNull() | truth.isNull() | a.startswith("ERR:"), F.lit(False)).otherwise((x == y) | both("Ter") | both("fs") | both("="))
 
 
 def edit_kind(s: Column) -> Column:
     """Kind of a nucleotide edit by the marks in its text; the first that is there counts."""
     out = F.lit("Unknown")
-    for mark, kind in ((">", "Substitution"), ("[", "Repeat"), ("ins", "Insertion"), ("del", "Deletion"), ("delins", "Delins"), ("dup", "Duplication")):
+    for mark, kind in ((">", "subst"), ("[", "repeat"), ("ins", "ins"), ("del", "del"), ("delins", "delins"), ("dup", "dup")):
         out = F.when(F.contains(s, F.lit(mark)), kind).otherwise(out)
     return out
 
 
 def spdi_difference(ours: Column, truth: Column) -> Column:
-    """The first part of two position-deletion-insertion texts that differs; or why they can't be compared."""
+    """Why a position-deletion-insertion text isn't the true one: its error, or the first part that differs."""
     a, b = F.split(ours, ":"), F.split(truth, ":")
-    out = F.lit("Match")
-    for i, name in reversed(list(enumerate(("Accession", "Position", "Deletion", "Insertion")))):
-        out = F.when(F.get(a, F.lit(i)) != F.get(b, F.lit(i)), f"{name} mismatch").otherwise(out)
-    return F.when(ours.startswith("ERR"), "Error").when(ours == "PANIC", "Panic").when((F.size(a) != 4) | (F.size(b) != 4), "Malformed").otherwise(out)
+    out = F.lit("Other")
+    for i, name in reversed(list(enumerate(("Accession Mismatch", "Position Mismatch", "Reference Seq Mismatch", "Alternate Seq Mismatch")))):
+        out = F.when(F.get(a, F.lit(i)) != F.get(b, F.lit(i)), name).otherwise(out)
+    return F.when(ours.startswith("ERR:"), F.concat(F.lit("Error: "), F.get(a, F.lit(1)))).when(ours == "PANIC", "Panic").when((F.size(a) != 4) | (F.size(b) != 4), "Malformed SPDI").otherwise(out)
 
 
 def identifier_type(s: Column) -> Column:

@@ -110,7 +110,9 @@ def unified(a: list[tuple], b: list[tuple]) -> bool:
 
 def protein_level(protein: str, a: dict, b: dict) -> str:
     """Level of two protein variants whose texts differ."""
-    a, b = ({**v, "edit": v["edit"], "start": v.get("start"), "end": v.get("end")} for v in (a, b))
+    # numbers of a batch with nulls arrive as floats
+    place = lambda p: {**p, "base": int(p["base"])} if p is not None and p["base"] == p["base"] else None
+    a, b = ({**v, "edit": v["edit"], "start": place(v.get("start")), "end": place(v.get("end"))} for v in (a, b))
     for x, y in ((a, b), (b, a)):
         if x["start"] is None and y["start"] is not None and x["edit"]["type"] == "Special" and x["edit"]["value"] == "=":
             x["start"], x["end"] = y["start"], y["end"]

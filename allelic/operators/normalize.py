@@ -183,8 +183,36 @@ def to_spdi(df: DataFrame, reference: Reference, variant: str = "variant", to: s
     out = n_to_g_variant(c_to_g(out, reference, variant="_c", to="_gc"), reference, variant="_n", to="_gn")
     out = out.withColumn("_g", F.coalesce(F.when(v["coord"] == "g", v), F.col("_gc"), F.col("_gn")))
     out = with_sequence(out, reference, F.col("_g")["ac"], "_seq").withColumn("_g", F.when(F.col("_g.start").isNotNull(), normalize_genomic(F.col("_g"), F.col("_seq"))))
-    out = out.withColumn(to, unambiguous_spdi(F.col("_g"), F.col("_seq")) if unambiguous else genomic_spdi(F.col("_g"), F.col("_seq")))
+    made = unambiguous_spdi(F.col("_g"), F.col("_seq")) if unambiguous else genomic_spdi(F.col("_g"), F.col("_seq"))
+    out = out.withColumn(to, F.when(F.col("_seq").isNotNull(), made))
     why = F.when(~v["coord"].isin("g", "c", "n"), error("UnsupportedOperation", "Unsupported operation: SPDI only for genomic/coding/non-coding")).otherwise(
-        F.coalesce("_gc_error", "_gn_error", error("UnsupportedOperation", "Unsupported operation: no SPDI for this edit"))
+        F.coalesce(
+            "_gc_error", "_gn_error", F.when(F.col("_g").isNotNull() & F.col("_seq").isNull(), error("DataProviderError", "Data provider error: no such sequence")),
+            error("UnsupportedOperation", "Unsupported operation: no SPDI for this edit"),
+        )
     )
     return out.withColumn(f"{to}_error", F.when(v.isNotNull() & F.col(to).isNull(), why)).drop("_c", "_n", "_gc", "_gn", "_g", "_seq", "_gc_error", "_gn_error")
+
+
+def spdi_equivalent(ours: Column, truth: Column, seq: Column, around: int = 50) -> Column:
+    """Whether two texts change the sequence in the same way: both are applied to the window that covers them and ``around`` bases on each side. False for different accessions and texts that can't be read, null without a sequence."""
+    a, b = F.split(ours, ":"), F.split(truth, ":")
+    part = lambda x, k: F.get(x, F.lit(k))
+    at = lambda x: part(x, 1).try_cast("int")
+    low = F.greatest(F.least(at(a), at(b)) - around, F.lit(0))
+    high = F.greatest(at(a) + F.length(part(a, 2)), at(b) + F.length(part(b, 2))) + around
+
+    def same(w: Column) -> Column:
+        applied = lambda x: F.concat(piece(w["bases"], F.lit(0), at(x) - w["low"]), part(x, 3), w["bases"].substr(at(x) - w["low"] + F.length(part(x, 2)) + 1, F.length(w["bases"])))
+        return applied(a) == applied(b)
+
+    readable = (F.size(a) == 4) & (F.size(b) == 4) & at(a).isNotNull() & at(b).isNotNull() & (part(a, 0) == part(b, 0))
+    return F.when(~F.coalesce(readable, F.lit(False)), False).when(seq.isNotNull(), computed_once(F.struct(piece(seq, low, high).alias("bases"), low.alias("low")), same))
+
+
+def spdi_differences(df: DataFrame, reference: Reference, ours: str = "ours_spdi", truth: str = "spdi") -> DataFrame:
+    """mismatches, equivalent, real: one row of counts over pairs of texts that differ; absent texts and errors don't count."""
+    told = lambda c: (F.coalesce(F.col(c), F.lit("")) != "") & ~F.col(c).startswith("ERR:")
+    rows = with_sequence(df.where(told(ours) & told(truth) & (F.col(ours) != F.col(truth))), reference, F.substring_index(F.col(truth), ":", 1), "_seq")
+    same = F.coalesce(spdi_equivalent(F.col(ours), F.col(truth), F.col("_seq")), F.lit(False))
+    return rows.agg(F.count(F.lit(1)).alias("mismatches"), F.count_if(same).alias("equivalent"), F.count_if(~same).alias("real"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from allelic.functions import coordinates, sequence, text
 from allelic.functions.format import format_variant
 from allelic.functions.parse import with_variant
-from allelic.operators import consequence, mapping, normalize, reports
+from allelic.operators import consequence, equivalence, mapping, normalize, reports, validate
 from allelic.operators import reference as ref
 from allelic.plans import synth
 
@@ -224,15 +224,14 @@ _CODING_PLACE = """CASE WHEN n > cds_end THEN '*' || CAST(n - cds_end AS VARCHAR
 _G_TO_C_TEXT = f"""
 SELECT l_orderkey, l_linenumber, l_partkey, tx_ac || ':c.' || place || CASE kind WHEN 0 THEN turned(substring(ref, 1, 1)) || '>' || turned(alt) WHEN 1 THEN 'del' WHEN 2 THEN 'ins' || turned(alt) WHEN 3 THEN 'dup' WHEN 4 THEN 'inv'
   WHEN 5 THEN 'delins' || turned(alt) ELSE turned(ref) || '[3]' END AS coding
-FROM (SELECT rid, string_agg(place, '_' ORDER BY which) AS place FROM (
+FROM numbered LEFT JOIN (SELECT rid, string_agg(place, '_' ORDER BY which) AS place FROM (
   SELECT rid, which, {_CODING_PLACE} AS place FROM (
     SELECT *, row_number() OVER (PARTITION BY rid, which ORDER BY inside DESC, d, x) AS r FROM (
       SELECT *, CASE WHEN g BETWEEN s AND e THEN 1 ELSE 0 END AS inside, least(abs(g - s), abs(g - e)) AS d,
         CASE WHEN g BETWEEN s AND e THEN x * sz + CASE WHEN strand = 1 THEN g - s ELSE e - g END WHEN g < s THEN x * sz ELSE x * sz + sz - 1 END AS n,
         CASE WHEN g BETWEEN s AND e THEN 0 WHEN strand = 1 THEN CASE WHEN g < s THEN g - s ELSE g - e END ELSE CASE WHEN g < s THEN s - g ELSE e - g END END AS o
       FROM (SELECT *, 20 + CASE WHEN strand = 1 THEN x ELSE 2 - x END * th AS s, 20 + CASE WHEN strand = 1 THEN x ELSE 2 - x END * th + sz - 1 AS e
-        FROM ends JOIN (SELECT doc_id, strand, sz, th, cds_start, cds_end FROM tx) USING (doc_id), (SELECT unnest([0, 1, 2]) AS x)))) WHERE r = 1) GROUP BY rid)
-JOIN numbered USING (rid) JOIN (SELECT doc_id, tx_ac, strand FROM tx) USING (doc_id)""".replace("turned(substring(ref, 1, 1))", "CASE WHEN strand = 1 THEN substring(ref, 1, 1) ELSE translate(substring(ref, 1, 1), 'ACGT', 'TGCA') END").replace("turned(alt)", "CASE WHEN strand = 1 THEN alt ELSE reverse(translate(alt, 'ACGT', 'TGCA')) END").replace("turned(ref)", "CASE WHEN strand = 1 THEN ref ELSE reverse(translate(ref, 'ACGT', 'TGCA')) END")
+        FROM ends JOIN (SELECT doc_id, strand, sz, th, cds_start, cds_end FROM tx) USING (doc_id), (SELECT unnest([0, 1, 2]) AS x)))) WHERE r = 1) GROUP BY rid) USING (rid) LEFT JOIN (SELECT doc_id, tx_ac, strand FROM tx) USING (doc_id)""".replace("turned(substring(ref, 1, 1))", "CASE WHEN strand = 1 THEN substring(ref, 1, 1) ELSE translate(substring(ref, 1, 1), 'ACGT', 'TGCA') END").replace("turned(alt)", "CASE WHEN strand = 1 THEN alt ELSE reverse(translate(alt, 'ACGT', 'TGCA')) END").replace("turned(ref)", "CASE WHEN strand = 1 THEN ref ELSE reverse(translate(ref, 'ACGT', 'TGCA')) END")
 _G_TO_C_TEXT = f""", numbered AS MATERIALIZED (SELECT row_number() OVER () AS rid, l_orderkey, l_linenumber, l_partkey, doc_id, pos0, len, kind, ref, alt FROM v),
 ends AS (SELECT rid, doc_id, 0 AS which, pos0 AS g FROM numbered UNION ALL SELECT rid, doc_id, 1, CASE WHEN kind = 2 THEN pos0 + 1 ELSE pos0 + len - 1 END FROM numbered WHERE kind = 2 OR len > 1 AND kind <> 0) {_G_TO_C_TEXT}"""
 
@@ -440,42 +439,188 @@ def _p_texts(spark, sf_dir):
 
 
 def _validated(spark, sf_dir):
-    """Truth, ours and theirs: protein texts by orders, some of them wrong."""
-    rows = _p_texts(spark, sf_dir).withColumnRenamed("t", "truth")
-    k = F.col("o_orderkey")
-    ours = F.when(k % 7 == 0, "ERR:Parse").when(k % 5 == 0, F.replace("truth", F.lit("Ter"), F.lit("del"))).when(k % 3 == 0, F.replace("truth", F.lit("Ter"), F.lit("*"))).otherwise(F.col("truth"))
-    theirs = F.when(k % 4 == 0, F.lit(None)).otherwise(F.col("truth"))
-    return rows.withColumn("ours", ours).withColumn("theirs", theirs)
-
-
-_CLEAN = "replace(translate(string_split({0}, ':')[-1], '()', ''), 'Ter', '*')"
-_VALIDATED = f"""v AS (SELECT *, CASE WHEN ours LIKE 'ERR%' THEN false ELSE {_CLEAN.format('ours')} = {_CLEAN.format('truth')} END AS a, CASE WHEN theirs IS NULL THEN false ELSE {_CLEAN.format('theirs')} = {_CLEAN.format('truth')} END AS b FROM (
-  SELECT o_orderkey, truth, CASE WHEN o_orderkey % 7 = 0 THEN 'ERR:Parse' WHEN o_orderkey % 5 = 0 THEN replace(truth, 'Ter', 'del') WHEN o_orderkey % 3 = 0 THEN replace(truth, 'Ter', '*') ELSE truth END AS ours,
-    CASE WHEN o_orderkey % 4 <> 0 THEN truth END AS theirs FROM (SELECT o_orderkey, {_P_TEXT} AS truth FROM orders)))"""
+    """Validated rows of orders: the truth, ours and theirs, some of them wrong or errors."""
+    k, b = F.col("o_orderkey"), (1 + F.col("o_custkey") % 900).cast("string")
+    rows = _p_texts(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey"), "o_orderkey").withColumnRenamed("t", "variant_prot")
+    plain = F.element_at(F.split("variant_prot", ":"), -1)
+    ours = F.when(k % 11 == 0, "ERR:RefMismatch: x").when(k % 11 == 1, "ERR:Validate: y").when(k % 11 == 2, "ERR:Parse: z").when(k % 11 == 3, F.replace(plain, F.lit("Ter"), F.lit("del"))).when(k % 11 == 4, F.replace(plain, F.lit("fs"), F.lit("ins"))).when(k % 11 == 5, "p.(Met1Ter?)").when(k % 11 == 6, "ERR:Transcript NM_1 not found").otherwise(plain)
+    theirs = F.when(k % 4 == 0, "ERR:other").when(k % 4 == 1, F.replace(plain, F.lit("="), F.lit("Ala"))).otherwise(plain)
+    m = k % 7
+    edit = F.when(m == 0, "dup").when(m == 1, "delinsAG").when(m == 2, "del").when(m == 3, "insT").when(m == 4, "A[3]").when(m == 5, "A>G").otherwise("=")
+    spdi = F.concat(F.lit("NC_1.1:"), b, F.when(k % 5 == 0, ":del:ins").when(k % 5 == 1, ":dup:A").otherwise(":A:G"))
+    n = k % 9
+    ours_spdi = (
+        F.when(n == 0, "ERR:Unsupported operation: no such edit").when(n == 1, "ERR:Other:foo").when(n == 2, "PANIC").when(n == 3, "bad:1").when(n == 4, F.concat(F.lit("NC_2.1:"), b, F.lit(":A:G")))
+        .when(n == 5, F.concat(F.lit("NC_1.1:1"), b, F.lit(":A:G"))).when(n == 6, F.concat(F.lit("NC_1.1:"), b, F.lit(":T:G"))).when(n == 7, F.concat(spdi, F.lit("G"))).otherwise(spdi)
+    )
+    rows = rows.select("o_orderkey", F.concat(F.lit("NM_1.1:c."), b, edit).alias("variant_nuc"), "variant_prot", spdi.alias("spdi"), ours.alias("ours_p"), theirs.alias("theirs_p"), ours_spdi.alias("ours_spdi"))
+    return rows.withColumn("theirs_spdi", F.when(k % 4 == 0, F.col("spdi")).when(k % 4 == 1, F.col("ours_spdi")).when(k % 4 == 2, "ERR:z").otherwise("NC_9.1:1:A:G"))
+
+
+_VALIDATED = f"""
+t AS (SELECT *, string_split(variant_prot, ':')[-1] AS plain FROM (SELECT o_orderkey, o_orderkey AS k, CAST(1 + o_custkey % 900 AS VARCHAR) AS b, {_P_TEXT} AS variant_prot FROM orders)),
+s AS (SELECT *, 'NC_1.1:' || b || CASE k % 5 WHEN 0 THEN ':del:ins' WHEN 1 THEN ':dup:A' ELSE ':A:G' END AS spdi FROM t),
+r AS (SELECT o_orderkey, k, variant_prot, spdi, 'NM_1.1:c.' || b || CASE k % 7 WHEN 0 THEN 'dup' WHEN 1 THEN 'delinsAG' WHEN 2 THEN 'del' WHEN 3 THEN 'insT' WHEN 4 THEN 'A[3]' WHEN 5 THEN 'A>G' ELSE '=' END AS variant_nuc,
+  CASE k % 11 WHEN 0 THEN 'ERR:RefMismatch: x' WHEN 1 THEN 'ERR:Validate: y' WHEN 2 THEN 'ERR:Parse: z' WHEN 3 THEN replace(plain, 'Ter', 'del') WHEN 4 THEN replace(plain, 'fs', 'ins') WHEN 5 THEN 'p.(Met1Ter?)' WHEN 6 THEN 'ERR:Transcript NM_1 not found' ELSE plain END AS ours_p,
+  CASE k % 4 WHEN 0 THEN 'ERR:other' WHEN 1 THEN replace(plain, '=', 'Ala') ELSE plain END AS theirs_p,
+  CASE k % 9 WHEN 0 THEN 'ERR:Unsupported operation: no such edit' WHEN 1 THEN 'ERR:Other:foo' WHEN 2 THEN 'PANIC' WHEN 3 THEN 'bad:1' WHEN 4 THEN 'NC_2.1:' || b || ':A:G' WHEN 5 THEN 'NC_1.1:1' || b || ':A:G' WHEN 6 THEN 'NC_1.1:' || b || ':T:G' WHEN 7 THEN spdi || 'G' ELSE spdi END AS ours_spdi FROM s),
+w AS (SELECT *, CASE k % 4 WHEN 0 THEN spdi WHEN 1 THEN ours_spdi WHEN 2 THEN 'ERR:z' ELSE 'NC_9.1:1:A:G' END AS theirs_spdi,
+  replace(translate(plain_ours, '()', ''), 'Ter', '*') AS c_ours, replace(translate(string_split(theirs_p, ':')[-1], '()', ''), 'Ter', '*') AS c_theirs, replace(translate(string_split(variant_prot, ':')[-1], '()', ''), 'Ter', '*') AS c_truth FROM (SELECT *, string_split(ours_p, ':')[-1] AS plain_ours FROM r)),
+v AS (SELECT *, ours_p NOT LIKE 'ERR%' AND c_ours = c_truth AS a, theirs_p NOT LIKE 'ERR%' AND c_theirs = c_truth AS b,
+  ours_p LIKE 'ERR:%' OR NOT (c_ours = c_truth OR contains(ours_p, 'Ter') AND contains(variant_prot, 'Ter') OR contains(ours_p, 'fs') AND contains(variant_prot, 'fs') OR contains(ours_p, '=') AND contains(variant_prot, '=')) AS wrong_p, ours_spdi <> spdi AS wrong_s FROM w)"""
 
 
 @query(f"""WITH {_VALIDATED} SELECT count(*) AS total, CAST(sum(a::int) AS BIGINT) AS ours_ok, CAST(sum(b::int) AS BIGINT) AS theirs_ok, round(100.0 * sum(a::int) / count(*), 2) AS ours_pct, round(100.0 * sum(b::int) / count(*), 2) AS theirs_pct, sum(a::int) >= sum(b::int) AS ours_leads FROM v""")
 def q_accuracy(spark, sf_dir):
-    return reports.accuracy(_validated(spark, sf_dir), "ours", "theirs", "truth")
+    return reports.accuracy(_validated(spark, sf_dir), "ours_p", "theirs_p", "variant_prot")
 
 
 @query(f"WITH {_VALIDATED} SELECT CASE WHEN a AND b THEN 'both' WHEN a THEN 'ours_only' WHEN b THEN 'theirs_only' ELSE 'neither' END AS outcome, count(*) AS n FROM v GROUP BY 1")
 def q_contingency(spark, sf_dir):
-    match = lambda c: text.exact_match(F.col(c), F.col("truth"))
-    return reports.contingency(_validated(spark, sf_dir), match("ours"), match("theirs"))
+    match = lambda c: text.exact_match(F.col(c), F.col("variant_prot"))
+    return reports.contingency(_validated(spark, sf_dir), match("ours_p"), match("theirs_p"))
+
+
+@query(f"WITH {_VALIDATED} SELECT CASE WHEN ours_spdi = spdi AND theirs_spdi = spdi THEN 'both' WHEN ours_spdi = spdi THEN 'ours_only' WHEN theirs_spdi = spdi THEN 'theirs_only' ELSE 'neither' END AS outcome, count(*) AS n FROM v GROUP BY 1")
+def q_contingency_spdi(spark, sf_dir):
+    return reports.contingency(_validated(spark, sf_dir), F.col("ours_spdi") == F.col("spdi"), F.col("theirs_spdi") == F.col("spdi"))
 
 
-@query(f"""WITH {_VALIDATED}, c AS (SELECT CASE WHEN a THEN 'Match' WHEN ours = 'ERR:Parse' THEN 'Parse error' WHEN (truth LIKE '%Ter%') <> (ours LIKE '%Ter%') THEN 'Stop mismatch' ELSE 'Other mismatch' END AS category FROM v)
-SELECT category, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM c), 2) AS share FROM c GROUP BY category""")
+_CATEGORY_SQL = """CASE WHEN ours_p LIKE 'ERR:RefMismatch%' THEN 'RefSeq Data Mismatch' WHEN ours_p LIKE 'ERR:Validate%' THEN 'Coordinate Out of Bounds' WHEN ours_p LIKE 'ERR:Parse%' THEN 'Parsing Error'
+  WHEN wrong_p AND wrong_s THEN CASE WHEN contains(variant_prot, 'Ter') AND NOT contains(ours_p, 'Ter') THEN 'Protein: Stop Codon Logic' WHEN contains(variant_prot, 'fs') AND NOT contains(ours_p, 'fs') THEN 'Protein: Frameshift Logic'
+    WHEN contains(spdi, 'del') AND contains(spdi, 'ins') THEN 'Complex Indel' ELSE 'General Mapping Failure' END
+  WHEN wrong_p THEN CASE WHEN contains(ours_p, 'Ter?') THEN 'Protein: Uncertain Stop' ELSE 'Protein: Translation/Formatting' END
+  WHEN wrong_s THEN CASE WHEN contains(spdi, 'dup') OR contains(variant_nuc, 'dup') THEN 'Genomic: Duplication Shifting' ELSE 'Genomic: Normalization/Projection' END ELSE 'Unknown' END"""
+
+
+@query(f"WITH {_VALIDATED}, c AS (SELECT {_CATEGORY_SQL} AS category FROM v) SELECT category, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM c), 2) AS share FROM c GROUP BY category")
 def q_failure_categories(spark, sf_dir):
-    return reports.categories(_validated(spark, sf_dir), reports.failure_category(F.lit(""), F.col("ours"), F.col("truth")))
+    rows = _validated(spark, sf_dir)
+    return reports.categories(rows, reports.failure_category(rows))
 
 
-@query(f"""WITH {_VALIDATED} SELECT * FROM (SELECT o_orderkey, ours, CASE WHEN a THEN 'Match' WHEN ours = 'ERR:Parse' THEN 'Parse error' WHEN (truth LIKE '%Ter%') <> (ours LIKE '%Ter%') THEN 'Stop mismatch' ELSE 'Other mismatch' END AS category FROM v)
-QUALIFY row_number() OVER (PARTITION BY category ORDER BY o_orderkey) <= 100""")
+@query(f"WITH {_VALIDATED} SELECT * FROM (SELECT o_orderkey, ours_p, {_CATEGORY_SQL} AS category FROM v) QUALIFY row_number() OVER (PARTITION BY category ORDER BY o_orderkey) <= 100")
 def q_samples_per_category(spark, sf_dir):
-    rows = reports.samples(_validated(spark, sf_dir), reports.failure_category(F.lit(""), F.col("ours"), F.col("truth")), ["o_orderkey"])
-    return rows.select("o_orderkey", "ours", "category")
+    rows = _validated(spark, sf_dir)
+    return reports.samples(rows, reports.failure_category(rows), ["o_orderkey"]).select("o_orderkey", "ours_p", "category")
+
+
+@query(f"WITH {_VALIDATED} SELECT o_orderkey, ours_p, ours_spdi FROM v WHERE wrong_p OR wrong_s")
+def q_disagreements(spark, sf_dir):
+    return reports.disagreements(_validated(spark, sf_dir)).select("o_orderkey", "ours_p", "ours_spdi")
+
+
+@query(f"""WITH {_VALIDATED}, m AS (SELECT *, string_split(ours_spdi, ':') AS x, string_split(spdi, ':') AS y FROM v WHERE wrong_s)
+SELECT CASE WHEN ours_spdi LIKE 'ERR:%' THEN 'Error: ' || x[2] WHEN ours_spdi = 'PANIC' THEN 'Panic' WHEN len(x) <> 4 OR len(y) <> 4 THEN 'Malformed SPDI' WHEN x[1] <> y[1] THEN 'Accession Mismatch' WHEN x[2] <> y[2] THEN 'Position Mismatch'
+  WHEN x[3] <> y[3] THEN 'Reference Seq Mismatch' WHEN x[4] <> y[4] THEN 'Alternate Seq Mismatch' ELSE 'Other' END AS category,
+  CASE WHEN theirs_spdi = spdi THEN 'Matched ClinVar' WHEN theirs_spdi = ours_spdi THEN 'Shared Mismatch' WHEN theirs_spdi LIKE 'ERR:%' THEN 'Error' ELSE 'Unique Mismatch' END AS behaviour, count(*) AS n FROM m GROUP BY 1, 2""")
+def q_spdi_mismatches(spark, sf_dir):
+    return reports.spdi_mismatches(_validated(spark, sf_dir))
+
+
+_KIND_SQL = "CASE WHEN contains(variant_nuc, 'dup') THEN 'dup' WHEN contains(variant_nuc, 'delins') THEN 'delins' WHEN contains(variant_nuc, 'del') THEN 'del' WHEN contains(variant_nuc, 'ins') THEN 'ins' WHEN contains(variant_nuc, '[') THEN 'repeat' WHEN contains(variant_nuc, '>') THEN 'subst' ELSE 'Unknown' END"
+
+
+@query(f"""WITH {_VALIDATED}, m AS (SELECT * FROM v WHERE wrong_s) SELECT reason, count(*) AS n FROM (
+  SELECT CASE WHEN ours_spdi LIKE 'ERR:Unsupported operation: %' THEN substring(ours_spdi, 28) WHEN ours_spdi LIKE 'ERR:%' THEN 'Other ERR: ' || string_split(ours_spdi, ':')[2] ELSE 'Real Mismatch' END AS reason FROM m
+  UNION ALL SELECT 'Mismatch: ' || {_KIND_SQL} FROM m WHERE ours_spdi NOT LIKE 'ERR:%') GROUP BY reason""")
+def q_spdi_reasons(spark, sf_dir):
+    return reports.spdi_reasons(_validated(spark, sf_dir))
+
+
+@query(f"""WITH {_VALIDATED} SELECT CASE WHEN theirs_spdi = spdi THEN 'Matched ClinVar' WHEN theirs_spdi LIKE 'ERR:%' THEN 'Error' ELSE 'Unique Mismatch' END AS behaviour, count(*) AS n FROM v WHERE ours_spdi LIKE 'ERR:Unsupported operation%' GROUP BY 1""")
+def q_unsupported(spark, sf_dir):
+    return reports.unsupported(_validated(spark, sf_dir))
+
+
+_LEVELS = """l AS (SELECT *, CASE WHEN k % 13 = 0 THEN 'Analogous' WHEN k % 13 = 1 THEN 'Identity' WHEN k % 13 = 2 THEN 'Different' END AS level_truth, CASE WHEN k % 17 = 0 THEN 'Identity' WHEN k % 17 = 1 THEN 'Different' END AS level_theirs, k % 2 = 0 AS consistent,
+  regexp_replace(c_ours, '^p\\.[A-Z][a-z]{2}[0-9]+=$', 'p.=') AS s_ours, regexp_replace(c_theirs, '^p\\.[A-Z][a-z]{2}[0-9]+=$', 'p.=') AS s_theirs, regexp_replace(c_truth, '^p\\.[A-Z][a-z]{2}[0-9]+=$', 'p.=') AS s_truth FROM v)"""
+_CLASS_SQL = """CASE WHEN s_ours = s_truth THEN 'ClinVar Match ' || sure WHEN level_truth IN ('Identity', 'Analogous') THEN 'Biological Equivalence (' || level_truth || ') ' || sure || ' - ClinVar'
+  WHEN s_ours = s_theirs THEN 'Parity Match (Not Analogous to GT)' WHEN level_theirs IN ('Identity', 'Analogous') THEN 'Biological Equivalence (' || level_theirs || ') - Parity'
+  WHEN ours_p LIKE 'ERR:%' AND contains(ours_p, 'Transcript') AND contains(ours_p, 'not found') THEN 'Provider Error (Missing Transcript)' WHEN ours_p LIKE 'ERR:%' AND contains(ours_p, 'TranscriptMismatch') THEN 'Error: Reference sequence mismatch'
+  WHEN ours_p LIKE 'ERR:%' THEN 'Error: ' || ltrim(plain_ours) WHEN contains(ours_p, 'fs') OR contains(variant_prot, 'fs') THEN 'Frameshift Difference' WHEN contains(ours_p, 'delins') OR contains(variant_prot, 'delins') THEN 'AA Mismatch (delins)'
+  WHEN contains(variant_nuc, '[') OR contains(variant_nuc, 'dup') THEN 'Repeat/Duplication Mismatch' WHEN contains(ours_p, '*') OR contains(variant_prot, '*') THEN 'Nonsense Notation Mismatch' ELSE 'Other Mismatch' END"""
+
+
+@query(f"""WITH {_VALIDATED}, {_LEVELS}, c AS (SELECT {_CLASS_SQL} AS category FROM (SELECT *, CASE WHEN consistent THEN '(Consistent)' ELSE '(Inconsistent)' END AS sure FROM l)),
+g AS (SELECT category, count(*) AS n, contains(category, 'ClinVar') AS success FROM c GROUP BY category)
+SELECT category, n, success, round(100.0 * n / CASE WHEN success THEN sum(n) OVER () ELSE sum(n) OVER (PARTITION BY success) END, 2) AS share FROM g""")
+def q_classification(spark, sf_dir):
+    k = F.col("o_orderkey")
+    rows = _validated(spark, sf_dir).withColumn("level_truth", F.when(k % 13 == 0, "Analogous").when(k % 13 == 1, "Identity").when(k % 13 == 2, "Different"))
+    rows = rows.withColumn("level_theirs", F.when(k % 17 == 0, "Identity").when(k % 17 == 1, "Different")).withColumn("consistent", k % 2 == 0)
+    return reports.class_counts(rows, reports.classification())
+
+
+@query(f"""WITH {_VALIDATED}, {_LEVELS}, e AS (SELECT *, CASE WHEN ours_p LIKE 'ERR:%' THEN ours_p ELSE c_ours END AS x, CASE WHEN theirs_p LIKE 'ERR:%' THEN theirs_p ELSE c_theirs END AS y FROM l)
+SELECT count(*) AS total, count(*) FILTER (x = c_truth) AS ours_identity, count(*) FILTER (x <> c_truth AND ours_p NOT LIKE 'ERR%' AND level_truth IN ('Identity', 'Analogous')) AS ours_analogous,
+  count(*) FILTER (y = c_truth) AS theirs_identity, count(*) FILTER (y <> c_truth AND theirs_p NOT LIKE 'ERR%' AND level_theirs IN ('Identity', 'Analogous')) AS theirs_analogous FROM e""")
+def q_identity_counts(spark, sf_dir):
+    k = F.col("o_orderkey")
+    rows = _validated(spark, sf_dir).withColumn("ours_level", F.when(k % 13 == 0, "Analogous").when(k % 13 == 1, "Identity").when(k % 13 == 2, "Different"))
+    return reports.identity_counts(rows.withColumn("theirs_level", F.when(k % 17 == 0, "Identity").when(k % 17 == 1, "Different")))
+
+
+def _deletions(spark, sf_dir):
+    """SPDI texts of a deletion and of the same one base further on."""
+    at, n, seq = F.col("pos0"), F.col("len"), F.col("seq")
+    told = lambda p: F.concat_ws(":", "ac", p.cast("string"), seq.substr(p + 1, n), F.lit(""))
+    return synth.variants(spark, sf_dir).select(*KEY, told(at).alias("spdi"), told(at + 1).alias("ours_spdi"))
+
+
+@query(_with("SELECT count(*) AS mismatches, count(*) FILTER (substring(seq, 1, pos0) || substring(seq, pos0 + len + 1) = substring(seq, 1, pos0 + 1) || substring(seq, pos0 + len + 2)) AS equivalent, count(*) FILTER (substring(seq, 1, pos0) || substring(seq, pos0 + len + 1) <> substring(seq, 1, pos0 + 1) || substring(seq, pos0 + len + 2)) AS real FROM v"))
+def q_spdi_differences(spark, sf_dir):
+    """Deletions compared with those one base on, by carrying both out."""
+    return normalize.spdi_differences(_deletions(spark, sf_dir), synth.reference(spark, sf_dir))
+
+
+@query(_with("""SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN kind NOT IN (1, 3) THEN 'Identity' WHEN substring(seq, pos0 + 1, 1) = substring(seq, pos0 + len + 1, 1) THEN 'Analogous' ELSE 'Different' END AS level FROM v"""))
+def q_equiv_gg(spark, sf_dir):
+    """Genomic deletions and duplications against the same one base on, other variants against themselves."""
+    rows = synth.variants(spark, sf_dir)
+    span = F.concat((F.col("pos0") + 2).cast("string"), F.when(F.col("len") > 1, F.concat(F.lit("_"), (F.col("pos0") + F.col("len") + 1).cast("string"))).otherwise(""))
+    other = F.when(F.col("kind") == 1, F.concat("ac", F.lit(":g."), span, F.lit("del"))).when(F.col("kind") == 3, F.concat("ac", F.lit(":g."), span, F.lit("dup"))).otherwise(F.col("hgvs"))
+    rows = with_variant(with_variant(rows.select(*KEY, "hgvs", other.alias("other")), "hgvs", "a"), "other", "b")
+    return equivalence.equivalence_level(rows, synth.reference(spark, sf_dir)).select(*KEY, "level")
+
+
+#: Published pairs of protein variants with their levels.
+LEVELS = [("NP_1.1:p.Ala201_Val202insGlyProGlyAla", "NP_1.1:p.Gly198_Ala201dup", "Analogous"), ("MOCK:p.(Lys2=)", "MOCK:p.Lys2=", "Identity"), ("MOCK:p.Lys2Asn", "MOCK:p.Lys2Ter", "Different")]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{x}', '{y}', '{level}')" for x, y, level in [*[(k, f"MOCK:{v}", "Identity") for k, v in EXPECTED.items()], *LEVELS]) + ") t(a_text, b_text, level)")
+def q_equiv_cp(spark, sf_dir):
+    """Coding variants against their published consequences, and pairs of protein variants."""
+    pairs = [*[(k, f"MOCK:{v}") for k, v in EXPECTED.items()], *[(x, y) for x, y, _ in LEVELS]]
+    rows = with_variant(with_variant(spark.createDataFrame(pairs, "a_text string, b_text string"), "a_text", "a"), "b_text", "b")
+    return equivalence.equivalence_level(rows, toy_reference(spark)).select("a_text", "b_text", "level")
+
+
+def _coding_job(spark, sf_dir):
+    """A coding substitution for each order, and a true protein text that few of them give."""
+    r = synth.reference(spark, sf_dir)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").agg(F.count(F.lit(1)).alias("_docs"))
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey").crossJoin(F.broadcast(docs))  # one row
+    tx = r.transcripts.join(r.spliced, ["ac", "reference"])
+    rows = rows.join(tx, F.col("o_custkey") % F.col("_docs") == F.col("doc_id"))
+    i = ((F.col("o_orderkey") * 7 + F.col("o_custkey")) % (F.col("cds_end") - F.col("cds_start") + 1)).cast("int")
+    rows = rows.withColumn("_i", i)
+    b = F.col("tx_seq").substr(F.col("cds_start") + F.col("_i") + 1, F.lit(1))
+    nuc = F.concat("ac", F.lit(":c."), (F.col("_i") + 1).cast("string"), b, F.lit(">"), F.translate(b, "ACGT", "CGTA"))
+    return rows.select("o_orderkey", nuc.alias("variant_nuc"), F.concat("protein", F.lit(":p.Lys"), (F.expr("_i div 3") + 1).cast("string"), F.lit("Asn")).alias("variant_prot"))
+
+
+@query(_with(f"""SELECT o_orderkey, variant_nuc, told AS ours_p, ac || ':' || CAST(g AS VARCHAR) || ':' || CASE WHEN strand = 1 THEN b || ':' || x ELSE translate(b, 'ACGT', 'TGCA') || ':' || translate(x, 'ACGT', 'TGCA') END AS ours_spdi,
+  CASE WHEN told = 'p.(Lys' || CAST(j + 1 AS VARCHAR) || 'Asn)' THEN 'Identity' ELSE 'Different' END AS equivalence_level FROM (
+  SELECT *, 'p.(' || names[ra] || CAST(j + 1 AS VARCHAR) || CASE WHEN ra = aa THEN '=' WHEN aa = '*' THEN 'Ter' WHEN ra = '*' THEN names[aa] || 'extTer' || CASE WHEN instr(rest, '*') > 0 THEN CAST(instr(rest, '*') AS VARCHAR) ELSE '?' END ELSE names[aa] END || ')' AS told FROM (
+    SELECT *, code[substring(tx_seq, cds_start + 3 * j + 1, 3)] AS ra, code[substring(altered, 3 * j + 1, 3)] AS aa, {_translate_sql('substring(altered, 3 * j + 4)')} AS rest FROM (
+      SELECT *, i // 3 AS j, substring(tx_seq, cds_start + 1, i) || x || substring(tx_seq, cds_start + i + 2) AS altered, tx_ac || ':c.' || CAST(i + 1 AS VARCHAR) || b || '>' || x AS variant_nuc,
+        CASE WHEN strand = 1 THEN 20 + (n // sz) * th + n % sz ELSE 20 + (2 - n // sz) * th + sz - 1 - n % sz END AS g, {_CODON_SQL} AS code, {_NAMES_SQL} AS names FROM (
+        SELECT *, translate(b, 'ACGT', 'CGTA') AS x FROM (SELECT *, cds_start + i AS n, substring(tx_seq, cds_start + i + 1, 1) AS b FROM (
+          SELECT o_orderkey, t.*, CAST((o_orderkey * 7 + o_custkey) % (cds_end - cds_start + 1) AS INTEGER) AS i FROM orders JOIN txs t ON t.doc_id = o_custkey % (SELECT count(*) FROM documents)))))))"""))
+def q_validate(spark, sf_dir):
+    """The batch job: consequence, SPDI and level of coding substitutions."""
+    return validate.validate(_coding_job(spark, sf_dir), synth.reference(spark, sf_dir)).select("o_orderkey", "variant_nuc", "ours_p", "ours_spdi", "equivalence_level")
 
 
 def queries() -> dict[str, Query]:

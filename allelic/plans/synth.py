@@ -6,13 +6,11 @@ Both take all letters of every document.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from allelic.operators.reference import Reference, splice
+from allelic.sources.stage import stored
 
 ALPHABET, TO_BASES = "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC"
 #: Letters below which the arithmetic isn't defined: positions are taken modulo the length less 100; three exons end within the sequence from 115 on.
@@ -49,25 +47,22 @@ def transcripts(genomes: DataFrame) -> DataFrame:
     )
 
 
-_STORED: dict[tuple, str] = {}
+_STORED: dict[tuple, DataFrame] = {}
 
 
-def stored(spark: SparkSession, df: DataFrame, *key: str) -> DataFrame:
-    """``df`` written once a session to the folder that driver and executors share, and read from there: annotation is built once and looked up often."""
-    key = (spark.sparkContext.applicationId, *key)
+def once(df: DataFrame, *key: str) -> DataFrame:
+    """``df`` stored once a session: annotation is built once and looked up often."""
+    key = (df.sparkSession.sparkContext.applicationId, *key)
     if key not in _STORED:
-        place = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='allelic-')}"
-        path = f"{place.rstrip('/')}/reference-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        _STORED[key] = path
-    return spark.read.schema(df.schema).parquet(_STORED[key])
+        _STORED[key] = stored(df, "reference")
+    return _STORED[key]
 
 
 def reference(spark: SparkSession, sf_dir: str) -> Reference:
     g = genome(spark, sf_dir)
-    sequences = stored(spark, g.select("ac", "seq"), sf_dir, "sequences")
-    models = stored(spark, transcripts(g), sf_dir, "transcripts")
-    return Reference(sequences, models, stored(spark, splice(models, sequences), sf_dir, "spliced"))
+    sequences = once(g.select("ac", "seq"), sf_dir, "sequences")
+    models = once(transcripts(g), sf_dir, "transcripts")
+    return Reference(sequences, models, once(splice(models, sequences), sf_dir, "spliced"))
 
 
 def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
