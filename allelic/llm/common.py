@@ -23,9 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: ``spark.checkpoint.dir``, or an own one where that is unset (tests)."""
+    """The folder that the driver and all executors share: ``spark.checkpoint.dir``, or an own one where that is unset, in local mode only (tests)."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         place = f"file://{tempfile.mkdtemp(prefix='allelic-')}"
         spark.conf.set("spark.checkpoint.dir", place)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -34,14 +36,20 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, what: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; what is written there goes when the driver's process ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    # deletion at the end is asked for a path that is there
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(place)
+    system.deleteOnExit(place)
+    return path
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:
     """``df`` written to the shared folder and read again; cuts the lineage and survives lost executors."""
     path = scratch_path(df.sparkSession, what)
-    df.write.parquet(path)
+    df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

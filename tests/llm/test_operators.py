@@ -152,6 +152,35 @@ def test_packing(spark, docs):
     assert all(zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes()) == r["ids_crc32"] for r in rows if r["doc_id"] == 5)
 
 
+def test_packing_places_every_id_once(spark):
+    """Pieces tile their documents with the library's ids; ends of 2048 and powers of two, ties and repeated lengths."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer = pytest.importorskip("tokenizers").Tokenizer.from_file(path)
+    texts = [(i, " ".join(["the"] * n)) for i, n in enumerate([0, 1, 63, 64, 62, 127, 128, 30, 30, 30, 15, 7, 3, 500])] + [(20, None), (21, " ".join(WORDS))]
+    rows = packing.pack(docs_of(spark, texts), path, length=64, grain=2).collect()
+    pieces, filled = {}, {}
+    for r in rows:
+        pieces.setdefault(r["doc_id"], []).append(r)
+        filled.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for i, t in texts:
+        ids = np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
+        at = 0
+        for r in sorted(pieces[i], key=lambda r: r["start"]):
+            assert (r["start"], r["doc_tokens"]) == (at, len(ids)) and r["ids_crc32"] == zlib.crc32(ids[at : at + r["length"]].tobytes())
+            at += r["length"]
+        assert at == len(ids)
+    sizes = []
+    for parts in filled.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        sizes.append(at)
+    assert max(sizes) <= 64
+    padding = sum(64 - n for n in sizes if n & (n - 1))
+    assert padding <= 0.05 * sum(sizes)
+
+
 def vectors_of(spark):
     rng = np.random.default_rng(1)
     rows = [(i, rng.normal(size=8).tolist(), 0) for i in range(300)] + [(301, None, 0), (302, [None] * 8, 0), (303, [float("nan")] * 8, 0), (304, [0.0] * 8, 0), (305, [1.0] * 3, 0)]
