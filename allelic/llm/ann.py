@@ -173,4 +173,5 @@ def _kernel(k: int, books: dict[int, np.ndarray], shortlist: int):
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE, shortlist: int = SHORTLIST) -> DataFrame:
     """query_id, rank (from 1), vec_id, score (cosine): for each row of ``queries`` the k nearest rows of ``vectors`` found."""
     index, books = build_index(vectors, id_col, vector_col, sample)
-    return merged(partial_lists(index, nonzero(valid_vectors(queries, id_col, vector_col)), _kernel(k, books, shortlist), "double"), k)
+    asked = nonzero(valid_vectors(queries, id_col, vector_col))
+    return merged(partial_lists(index, asked, _kernel(k, books, shortlist), "double", index.count(), queries.count()), k)

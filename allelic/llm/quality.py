@@ -163,7 +163,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     texts = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
     stats = statistics(F.col("_text"))
     names = list(stats)
-    rows = texts.join(F.broadcast(known), "_id").select("_y", *[c.alias(k) for k, c in stats.items()]).toArrow()
+    rows = texts.join(F.broadcast(known), "_id").select("_id", "_y", *[c.alias(k) for k, c in stats.items()])
+    # an id that repeats, among documents or labels, multiplies rows; the bound holds for them too
+    rows = rows.orderBy(F.xxhash64("_id"), "_id", "_y", *names).limit(sample).toArrow()
     x = np.column_stack([rows.column(k).to_numpy() for k in names]) if rows.num_rows else np.zeros((0, len(names)))
     order = np.lexsort((*x.T, rows.column("_y").to_numpy()))  # the order of arrival must not matter
     return fit_rules(x[order], rows.column("_y").to_numpy()[order], names)

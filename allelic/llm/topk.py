@@ -3,7 +3,7 @@
 Components are scaled and floored to integers. A tile of queries times a tile of a shard is one matrix product (in
 doubles, which is exact while the sums stay under 2**53; beyond that, Python integers); each tile gives a partial
 selection that joins the shard's top list of a query, and the lists of all shards are merged in two rounds. Every pair
-of a query and a row is scored; memory holds one tile and one list per query.
+of a query and a row is scored; memory holds a block of queries with a list each and one batch of a shard.
 
 Defined results: vectors that are null, empty, or hold null or non-finite components take no part; vectors of another
 dimension than the query's are no candidates of it; rows with the query's id are its own row; a query id that repeats
@@ -55,7 +55,7 @@ def _kernel(k: int, scale: float):
 
 def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 256.0) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for each row of ``queries`` the k rows of ``vectors`` of the highest integer inner product."""
-    lists = partial_lists(valid_vectors(vectors, id_col, vector_col), valid_vectors(queries, id_col, vector_col), _kernel(k, scale), "long")
+    lists = partial_lists(valid_vectors(vectors, id_col, vector_col), valid_vectors(queries, id_col, vector_col), _kernel(k, scale), "long", vectors.count(), queries.count())
     return merged(lists, k).select("query_id", "rank", "vec_id", F.col("score").cast("long").alias("score"))
 
 

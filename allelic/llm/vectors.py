@@ -1,4 +1,9 @@
-"""What both searches share: valid vectors, blocks of queries, top lists and their merging."""
+"""What both searches share: valid vectors, tiles of queries and shards, top lists and their merging.
+
+Queries are dealt into blocks by hash, vectors into shards by turns. Each pair of a block and a shard is a tile, one
+partition of its own: the block's queries come first in it, the shard's vectors stream past them. Nothing goes through
+the driver; a task holds one block of queries, their lists and one batch of vectors.
+"""
 
 from __future__ import annotations
 
@@ -11,8 +16,8 @@ from pyspark.sql import functions as F
 
 from allelic.llm.common import id_back, key_of, trimmed
 
-#: Queries sent to the executors at once; of 64 doubles each, 16 MB.
-QUERY_BLOCK = 32768
+#: Queries of a block (of 64 doubles each, 32 MB) and vectors of a shard.
+QUERY_BLOCK, SHARD = 65_536, 262_144
 #: Queries and vectors of one matrix product.
 QUERY_TILE, VECTOR_TILE = 512, 4096
 #: Lists merged in the first round of the merge: one per query and residue of the shard's number.
@@ -45,21 +50,18 @@ def matrices(batch: pa.RecordBatch | pa.Table, id_at: str = "_id", v_at: str = "
             yield ids[part], flat[offsets[part][:, None] + np.arange(d)]
 
 
-def query_blocks(queries: DataFrame) -> Iterator[dict[int, tuple[np.ndarray, np.ndarray]]]:
-    """The queries (_id, _v), QUERY_BLOCK at most at a time (about, by hash): dimension -> ids, matrix. Repeated ids count once."""
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    for b in range(blocks):
-        part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("_id"), F.lit(blocks)) == b)
-        by: dict[int, list] = {}
-        for ids, m in matrices(part.toArrow()):
+def block_of(batches: list[pa.RecordBatch]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """The queries of a tile: dimension -> ids, matrix; ids ascending."""
+    by: dict[int, list] = {}
+    for batch in batches:
+        for ids, m in matrices(batch):
             by.setdefault(m.shape[1], []).append((ids, m))
-        found, seen = {}, set()
-        for d, parts in sorted(by.items()):
-            ids, m = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-            order = np.lexsort((*m.T[::-1], ids))
-            keep = [i for i in order if not (ids[i] in seen or seen.add(ids[i]))]
-            found[d] = ids[keep], m[keep]
-        yield found
+    found = {}
+    for d, parts in sorted(by.items()):
+        ids, m = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        order = np.argsort(ids, kind="stable")
+        found[d] = ids[order], m[order]
+    return found
 
 
 class TopLists:
@@ -107,25 +109,49 @@ class TopLists:
         return query_ids[r], self.ids[r, c], self.scores[r, c]
 
 
-def partial_lists(vectors: DataFrame, queries: DataFrame, kernel: Callable, kind: str) -> DataFrame:
-    """_q, _c, _s, _shard: top lists of each partition of ``vectors``. kernel(block): makes, on an executor, a function from batches to (query ids, candidate ids, scores).
+def tiles(vectors: DataFrame, queries: DataFrame, rows: int, asked: int) -> tuple[DataFrame, int]:
+    """Rows of ``queries`` and ``vectors`` (_id, _v, ...) with _vector (false: a query), a partition for each pair of block and shard, queries first; and the number of blocks.
 
-    One scan of the vectors for each block of queries; a block is of bounded size, so it can be broadcast.
+    A query id that repeats counts once, with its least vector. Vectors take their shards by turns, so rows that repeat are
+    spread; ``vectors`` must be read from a table, where each attempt of a task meets its rows in the same order.
     """
-    spark, schema, lists = vectors.sparkSession, f"_q long, _c long, _s {kind}, _shard int", None
-    for block in query_blocks(queries):
-        sent = spark.sparkContext.broadcast(block)
-
-        def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            from pyspark import TaskContext
-
-            shard = TaskContext.get().partitionId()
-            for q, c, s in kernel(sent.value)(batches):
-                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(c), pa.array(s), pa.array(np.full(len(q), shard, np.int32))], names=["_q", "_c", "_s", "_shard"])
-
-        part = vectors.mapInArrow(trimmed(scan), schema)
-        lists = part if lists is None else lists.unionAll(part)
-    return lists
+    blocks = max(1, -(-asked // QUERY_BLOCK))
+    shards = max(1, -(-rows // SHARD), -(-vectors.sparkSession.sparkContext.defaultParallelism // blocks))
+    one = queries.groupBy("_id").agg(F.min(F.struct(F.size("_v").alias("_n"), "_v")).alias("_least")).select("_id", "_least._v")
+    block = F.pmod(F.xxhash64("_id"), F.lit(blocks)).cast("int")
+    asked_rows = one.withColumn("_block", block).withColumn("_shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    shard = F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int")
+    dealt = vectors.withColumn("_shard", shard).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    both = dealt.withColumn("_vector", F.lit(True)).unionByName(asked_rows.withColumn("_vector", F.lit(False)), allowMissingColumns=True)
+    tile = F.col("_shard") * blocks + F.col("_block")
+    return both.repartitionById(blocks * shards, tile).sortWithinPartitions("_vector").drop("_block", "_shard"), blocks
+
+
+def partial_lists(vectors: DataFrame, queries: DataFrame, kernel: Callable, kind: str, rows: int, asked: int) -> DataFrame:
+    """_q, _c, _s, _shard: top lists of each tile. kernel(block) makes a function from batches of vectors to (query ids, candidate ids, scores); rows and asked: how many vectors and queries there are at most."""
+    dealt, blocks = tiles(vectors, queries, rows, asked)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        shard, own = TaskContext.get().partitionId() // blocks, []
+
+        def candidates(first: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            yield first
+            yield from batches
+
+        for batch in batches:
+            of_vectors = batch.column(batch.schema.get_field_index("_vector"))
+            n = batch.num_rows - (of_vectors.true_count if batch.num_rows else 0)
+            if n:
+                own.append(batch.slice(0, n))
+            if n < batch.num_rows:
+                if own:
+                    for q, c, s in kernel(block_of(own))(candidates(batch.slice(n))):
+                        yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(c), pa.array(s), pa.array(np.full(len(q), shard, np.int32))], names=["_q", "_c", "_s", "_shard"])
+                return
+
+    return dealt.mapInArrow(trimmed(scan), f"_q long, _c long, _s {kind}, _shard int")
 
 
 def merged(lists: DataFrame, k: int, score: Column | None = None) -> DataFrame:

@@ -202,6 +202,54 @@ def test_searches(spark):
     assert all(abs(r["score"] - cos(valid[r["query_id"]], valid[r["vec_id"]])) < 1e-12 for r in near)
 
 
+@pytest.mark.parametrize("sizes", [(65_536, 262_144), (2, 50)])
+def test_search_in_tiles(spark, monkeypatch, sizes):
+    """Several blocks of queries and shards, query ids that repeat: as by brute force."""
+    from allelic.llm import vectors
+
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", sizes[0])
+    monkeypatch.setattr(vectors, "SHARD", sizes[1])
+    frame, valid = vectors_of(spark)
+    queries = frame.where("vec_id % 50 = 0")
+    whole = {i: np.floor(256 * v).astype(np.int64) for i, v in valid.items()}
+    want = [(q, k + 1, c, -s) for q in valid if q % 50 == 0 for k, (s, c) in enumerate(sorted((-int(whole[q] @ whole[c]), c) for c in whole if c != q)[:5])]
+    assert sorted(map(tuple, topk.exact_top_k(frame, queries.unionAll(queries)).collect())) == sorted(want)
+
+
+def test_codes_rank(spark):
+    """Few of many candidates are scored exactly, so the codes alone must find the nearest."""
+    rng = np.random.default_rng(3)
+    m = rng.normal(size=(4000, 16))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "vec_id long, embedding array<double>").coalesce(1)
+    u = m / np.sqrt((m * m).sum(1, keepdims=True))
+    found = {(r["query_id"], r["vec_id"]) for r in ann.nearest(frame, frame.where("vec_id % 200 = 0"), shortlist=40).collect()}
+    hits = 0
+    for q in range(0, 4000, 200):
+        s = u @ u[q]
+        s[q] = -2
+        hits += sum((q, c) in found for c in np.argsort(-s)[:5].tolist())
+    assert hits >= 0.9 * 5 * 20
+
+
+def test_compiled_rules_score_as_the_model(spark):
+    """The one column expression gives what the model computes in numpy on the same statistics; nulls and empty texts get a score."""
+    good = [(i, " ".join(WORDS[i : i + 60])) for i in range(150)]
+    bad = [(1000 + i, " ".join(["SHOUT!!"] * (20 + i % 30))) for i in range(60)]
+    docs = docs_of(spark, [*good, *bad, (None, None), (5000, "")])
+    labels = spark.createDataFrame([(i, 1, 0) for i, _ in good] + [(i, 0, 0) for i, _ in bad] + [(3, None, 0), (7, 2, 0)], "doc_id long, quality int, toxic int")
+    model = quality.fit(docs, labels)
+    rows = quality.score_documents(docs, model).collect()
+    stats = quality.statistics(F.col("text"))
+    names = list(stats)
+    plain = docs.select("doc_id", *[c.cast("double").alias(k) for k, c in stats.items()]).collect()
+    scores = model.scores(np.array([[r[k] for k in names] for r in plain]), names)
+    key = lambda p: (p[0] is not None, p[0] or 0)
+    want = sorted(zip([r["doc_id"] for r in plain], scores.tolist(), strict=True), key=key)
+    got = sorted([(r["doc_id"], r["score"]) for r in rows], key=key)
+    assert model.rules and all(a[0] == b[0] and abs(a[1] - b[1]) < 1e-9 for a, b in zip(got, want, strict=True))
+    assert len(rows) == 212 and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in rows)
+
+
 def test_quality(spark):
     good = [(i, " ".join(WORDS[i : i + 60])) for i in range(150)]
     bad = [(1000 + i, " ".join(["SHOUT!!"] * 40)) for i in range(60)]
@@ -214,6 +262,18 @@ def test_quality(spark):
     assert quality.fit(docs, labels.where("false")).scores(np.zeros((1, 1)), ["x"])[0] == 0.5
 
 
+def test_quality_fit_is_bounded(spark, monkeypatch):
+    """Repeated ids don't widen the sample; null, other and repeated labels are allowed; no labels, no documents."""
+    texts = docs_of(spark, [(i % 5 * 7 + 1, f"{'word ' * (i % 9)}{i}") for i in range(400)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(1, 0), (8, None), (15, 5)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "fit_rules", lambda x, y, names: seen.append(len(y)) or quality.RuleModel(0.0))
+    quality.fit(texts, labels, sample=20)
+    quality.fit(texts.limit(0), labels)
+    quality.fit(texts, labels.limit(0))
+    assert 0 < seen[0] <= 20 and seen[1:] == [0, 0]
+
+
 def test_empty_tables(spark):
     none = docs_of(spark, [])
     word, byte = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
