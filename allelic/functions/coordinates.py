@@ -64,8 +64,8 @@ def cigar_length(ops: Column, kinds: str) -> Column:
 MAP_REF, MAP_TARGET = "=MXIN", "=MXD"
 
 
-def cigar_map(ops: Column, pos: Column, at_end: bool = False, backwards: bool = False) -> Column:
-    """struct(pos, offset, op) of a position on the other side; null beyond the alignment.
+def cigar_map(ops: Column, pos: Column, at_end: bool = False, backwards: bool = False, strict: bool = True) -> Column:
+    """struct(pos, offset, op) of a position on the other side; null beyond the alignment, or without ``strict`` by its first or last operation.
 
     An intron (N) is split between its neighbours, by the nearer; in an operation that only one side has, the mapped
     position is the last before it, or with ``at_end`` the first behind it.
@@ -80,14 +80,19 @@ def cigar_map(ops: Column, pos: Column, at_end: bool = False, backwards: bool =
             F.concat(s["all"], F.array(F.struct(s["a"].alias("a"), (s["a"] + step(o, own)).alias("b"), s["x"].alias("x"), o["op"].alias("op"), o["len"].alias("len")))).alias("all"),
         ),
     )
-    inside = lambda m: (pos >= m["a"]) & (pos < m["b"])
-    hit = F.coalesce(F.get(F.filter(marks["all"], inside), F.lit(0)), F.get(F.filter(marks["all"], lambda m: (pos == m["b"]) & (m["b"] == marks["a"])), F.lit(-0)))
-    return F.transform(F.array(hit), lambda m: F.when(m.isNotNull(), _mapped(m, pos, at_end, backwards)))[0]
 
+    def found(m: Column) -> Column:
+        # the operation that the position is in; its last one from the end on
+        hit = F.coalesce(F.get(F.filter(m["all"], lambda x: pos < x["b"]), F.lit(0)), F.get(m["all"], F.size(m["all"]) - 1))
+        return F.when((pos >= 0) & (pos <= m["a"]), hit) if strict else hit
 
-def _mapped(m: Column, pos: Column, at_end: bool, backwards: bool) -> Column:
+    hit = F.transform(F.array(marks), found)
+    return F.transform(hit, lambda m: F.when(m.isNotNull(), _mapped(m, pos, at_end)))[0]
+
+
+def _mapped(m: Column, pos: Column, at_end: bool) -> Column:
     into = pos - m["a"]
-    one_sided = m["op"] == ("D" if backwards else "I")
+    one_sided = m["op"].isin("D", "I")
     near = into < m["len"] - into
     place = (
         F.when(m["op"].isin("=", "M", "X"), m["x"] + into)

@@ -53,8 +53,8 @@ def format_na_edit(e: Column) -> Column:
     )
 
 
-def format_aa_edit(e: Column) -> Column:
-    """Of protein variants: deletions, duplications and insertions don't tell the residues that they replace."""
+def format_aa_edit(e: Column, full: bool = False) -> Column:
+    """Of protein variants: deletions and their kind don't tell the residues that they replace, but with ``full``."""
     kind, alt, term = e["type"], _name_of_code(e["alt"]), _name_of_code(e["term"])
     length = _or_empty(e["length"])
     ref, raw = e["ref"], e["alt"]
@@ -62,8 +62,9 @@ def format_aa_edit(e: Column) -> Column:
         F.when(raw.isNull(), F.lit("del")).when(ref.isNull(), F.concat(F.lit("delins"), F.when(raw == "*", "Ter").otherwise(raw))).when(ref == raw, "=")
         .when(ref == "", F.concat(F.lit("ins"), raw)).when(raw == "", F.concat(F.lit("del"), ref)).otherwise(F.concat(F.lit("del"), ref, F.lit("ins"), raw))
     )
+    gone = F.concat(F.lit("del"), _or_empty(ref) if full else F.lit(""))
     return (
-        F.when(kind == "Subst", alt).when(kind == "Del", "del").when(kind == "Ins", F.concat(F.lit("ins"), raw)).when(kind == "DelIns", F.concat(F.lit("delins"), raw)).when(kind == "Dup", "dup")
+        F.when(kind == "Subst", alt).when(kind == "Del", gone).when(kind == "Ins", F.concat(F.lit("ins"), raw)).when(kind == "DelIns", F.concat(gone, F.lit("ins"), raw)).when(kind == "Dup", "dup")
         .when(kind == "Identity", "=").when(kind == "RefAlt", both)
         .when(kind == "Fs", F.concat(F.when(raw == "", "fs").otherwise(F.concat(alt, F.lit("fs"), _or_empty(term))), length))
         .when(kind == "Ext", F.concat(_or_empty(alt), F.lit("ext"), _or_empty(term), length))

@@ -51,6 +51,17 @@ def n_to_g(exons: Column, n: Column, offset: Column) -> Column:
     return F.aggregate(exons, start, step, lambda s: s["g"])
 
 
+def n_to_g_extended(exons: Column, n: Column, offset: Column) -> Column:
+    """The same without bounds: before the first and behind the last exon the count goes on along the strand."""
+    first, last = F.get(exons, F.lit(0)), F.get(exons, F.size(exons) - 1)
+    total = F.aggregate(exons, F.lit(0), lambda s, e: (s + e["end0"] - e["start0"] + 1).cast("int"))
+    off = F.coalesce(offset, F.lit(0))
+    over = n - total + 1
+    before = F.when(first["strand"] == 1, first["start0"] + n + off).otherwise(first["end0"] - n - off)
+    behind = F.when(last["strand"] == 1, last["end0"] + over + off).otherwise(last["start0"] - over - off)
+    return F.when(n < 0, before).when(n >= total, behind).otherwise(n_to_g(exons, n, offset)).cast("int")
+
+
 def exon_offsets(transcripts: DataFrame) -> DataFrame:
     """ac, reference, ord, start0, end0, ahead: exons with the number of transcript bases ahead of each."""
     from pyspark.sql import Window

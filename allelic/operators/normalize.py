@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from allelic.functions.coordinates import c_to_n, index_of_transcript
 from allelic.functions.parse import computed_once
 from allelic.functions.sequence import common_prefix, piece, reverse_complement, stripped
-from allelic.operators.mapping import c_to_g, n_to_g_variant
+from allelic.operators.mapping import c_to_g, n_to_g_extended, n_to_g_variant
 from allelic.operators.reference import Reference, error, with_sequence, with_transcript
 
 #: Bases compared at first; only longer repeats are compared in full.
@@ -194,6 +194,47 @@ def to_spdi(df: DataFrame, reference: Reference, variant: str = "variant", to: s
     return out.withColumn(f"{to}_error", F.when(v.isNotNull() & F.col(to).isNull(), why)).drop("_c", "_n", "_gc", "_gn", "_g", "_seq", "_gc_error", "_gn_error")
 
 
+def raw_spdi(df: DataFrame, reference: Reference, variant: str = "variant", to: str = "spdi") -> DataFrame:
+    """Adds the text of a variant as it is stored: nothing is shifted, and nothing turned on the minus strand.
+
+    Of c, n and r variants the stated position counts as a transcript index, whatever its anchor, and goes to the
+    reference with its offset, beyond the exons as well; g and m variants stay where they are, p variants get an error.
+    """
+    v = F.col(variant)
+    on_transcript = v["coord"].isin("c", "n", "r")
+    out = with_transcript(df.withColumn("_tx_ac", F.when(on_transcript, v["ac"])), reference, F.col("_tx_ac"))
+    place = lambda p: F.when(on_transcript, n_to_g_extended(F.col("tx")["exons"], index_of_transcript(v[p]["base"]), v[p]["offset"])).otherwise(v[p]["base"] - 1)
+    out = out.withColumn("_a", place("start")).withColumn("_b", F.coalesce(F.when(v["end"].isNotNull(), place("end")), F.col("_a")))
+    low, high = F.least("_a", "_b"), F.greatest("_a", "_b")
+    stays = v["coord"].isin("g", "m")
+    at = lambda p, g: v[p].withField("base", (g + 1).cast("int"))
+    moved = v.withField("ac", F.when(stays, v["ac"]).otherwise(F.col("tx")["reference"])).withField("start", at("start", F.when(stays, F.col("_a")).otherwise(low)))
+    moved = moved.withField("end", F.when(v["end"].isNotNull(), at("end", F.when(stays, F.col("_b")).otherwise(high))))
+    known = v["start"].isNotNull() & (stays | F.col("tx").isNotNull())
+    out = with_sequence(out.withColumn("_g", F.when(known, moved)), reference, F.col("_g")["ac"], "_seq")
+    why = (
+        F.when(v["start"].isNull(), error("ValidationError", "Validation error: SPDI requires a position"))
+        .when(~(stays | on_transcript), error("UnsupportedOperation", "Unsupported operation: SPDI not supported for protein variants"))
+        .when(on_transcript & F.col("tx").isNull(), error("DataProviderError", "Data provider error: no such transcript"))
+        .when(F.col("_seq").isNull(), error("DataProviderError", "Data provider error: no such sequence"))
+        .otherwise(error("UnsupportedOperation", "Unsupported operation: no SPDI for this edit"))
+    )
+    out = out.withColumn(to, F.when(F.col("_seq").isNotNull(), genomic_spdi(F.col("_g"), F.col("_seq"))))
+    return out.withColumn(f"{to}_error", F.when(v.isNotNull() & F.col(to).isNull(), why)).drop("_tx_ac", "tx", "_a", "_b", "_g", "_seq")
+
+
+def baseline_spdi(v: Column, seq: Column) -> Column:
+    """The text that a comparison gives to genomic variants of another library: an absent or counted reference is read over the interval, insertions stand at their first flanking base.
+
+    Edits without an alternative (dup, inv) give ``ERR:SPDI``, those without a reference of their own ``UnsupportedType``.
+    """
+    e, first = v["edit"], v["start"]["base"]
+    stated = F.when(~_text(e["ref"]).rlike("^[0-9]*$"), e["ref"]).otherwise(piece(seq, first - 1, F.coalesce(v["end"]["base"], first)))
+    ins = e["type"] == "Ins"
+    written = _written(v["ac"], F.when(ins, first).otherwise(first - 1), stated, _text(e["alt"]))
+    return F.when(v["start"].isNull() | e["type"].isin("Dup", "Inv"), "ERR:SPDI").when(e["type"].isin("RefAlt", "Del", "Ins"), written).otherwise("UnsupportedType")
+
+
 def spdi_equivalent(ours: Column, truth: Column, seq: Column, around: int = 50) -> Column:
     """Whether two texts change the sequence in the same way: both are applied to the window that covers them and ``around`` bases on each side. False for different accessions and texts that can't be read, null without a sequence."""
     a, b = F.split(ours, ":"), F.split(truth, ":")

@@ -623,9 +623,16 @@ def q_validate(spark, sf_dir):
     return validate.validate(_coding_job(spark, sf_dir), synth.reference(spark, sf_dir)).select("o_orderkey", "variant_nuc", "ours_p", "ours_spdi", "equivalence_level")
 
 
+def _all() -> None:
+    """The queries of the other modules add themselves."""
+    from allelic.plans import edit_queries, file_queries  # noqa: F401
+
+
 def queries() -> dict[str, Query]:
+    _all()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _all()
     return dict(SQL)
