@@ -5,8 +5,9 @@
 2. Bands: as many rows a band as a bounded number of hashes allows at the target recall (``banding``).
 3. Representatives are shuffled on their band hashes. Within a bucket, pairs whose sketches agree too little are put
    aside (the bound is more than six standard deviations under the threshold's mean), the rest are linked to a forest.
-4. Each component of these forests is gathered with its texts, and every pair in it whose sketches agree is verified on
-   the full sets. A task gives each document its number of links and a forest of them, never the pairs.
+4. The sketches of each component of these forests are compared in blocks. A text is sent only to those pairs of blocks
+   where its sketch agrees with another; there each such pair is verified on the full sets. A task gives each document
+   its number of links and a forest of them, never the pairs.
 
 Buckets and components of more than BLOCK members are dealt into blocks, and each pair of blocks is a group of its own:
 none is cut short and no group is larger than two blocks.
@@ -219,6 +220,34 @@ def _edges(out: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["_a", "_at", "_z", "_zt"])
 
 
+def _agreeing_members(near: DataFrame, least: float) -> DataFrame:
+    """The members of each pair of blocks whose sketches agree with another's in it; without texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        for group in groups(batches, 4):
+            sketches = np.frombuffer(b"".join(r[7] for r in group), np.uint8).reshape(len(group), -1)
+            pairs = agreeing(sketches, np.array([r[4] == r[2] for r in group]), least)
+            out += [group[k] for k in np.unique(pairs).tolist()]
+            if len(out) > 10_000:
+                yield _members_batch(out)
+                out = []
+        if out:
+            yield _members_batch(out)
+
+    rows = in_blocks(near, "_root", "_members").select("_root._id", "_root._th", "_i", "_j", "_b", F.col("_node._id").alias("_nid"), F.col("_node._th").alias("_nth"), "_sketch", "_size")
+    return rows.mapInArrow(trimmed(run), ", ".join(f"{k} {t}" for k, t in _MEMBER.items()))
+
+
+#: A member of a component in a pair of blocks (_i, _j; its own: _b).
+_MEMBER = {"_rid": "long", "_rth": "long", "_i": "int", "_j": "int", "_b": "int", "_id": "long", "_th": "long", "_sketch": "binary", "_size": "long"}
+
+
+def _members_batch(out: list[tuple]) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, t in zip(zip(*out, strict=True), _MEMBER.values(), strict=True)], names=list(_MEMBER))
+
+
 def _verified(members: DataFrame, threshold: float, least: float, n: int) -> DataFrame:
     """_id, _th, _links (similar texts), _rows (their rows), _rid and _rth (a smaller text linked with, or itself): of each text and pair of blocks with links."""
 
@@ -241,7 +270,8 @@ def _verified(members: DataFrame, threshold: float, least: float, n: int) -> Dat
             ids, ths = np.array([r[5] for r in group], np.int64), np.array([r[6] for r in group], np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in (ids[keep], ths[keep], links[keep], rows[keep].astype(np.int64), ids[root[keep]], ths[root[keep]])], names=["_id", "_th", "_links", "_rows", "_rid", "_rth"])
 
-    rows = in_blocks(members, "_root", "_members").select("_root._id", "_root._th", "_i", "_j", "_b", F.col("_node._id").alias("_nid"), F.col("_node._th").alias("_nth"), "_sketch", "_size", "_text")
+    group = ["_rid", "_rth", "_i", "_j"]
+    rows = members.repartition(*group).sortWithinPartitions(*group).select(*_MEMBER, "_text")
     return rows.mapInArrow(trimmed(run), "_id long, _th long, _links long, _rows long, _rid long, _rth long")
 
 
@@ -264,8 +294,8 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     near = near.select(F.col("node").alias("_node"), F.col("root").alias("_root")).unionAll(near.select(F.col("root").alias("_node"), F.col("root").alias("_root")).distinct())
     sizes = near.groupBy("_root").agg(F.count(F.lit(1)).alias("_members"))
     near = near.join(sizes.hint("merge"), "_root").join(reps.select("_node", "_size", "_sketch").hint("merge"), "_node")
-    near = near.select("_root", "_members", "_node", "_size", "_sketch", F.col("_node._id").alias("_id"), F.col("_node._th").alias("_th"))
-    members = keyed(docs, id_col, text_col).join(near.hint("merge"), ["_id", "_th"])
+    near = near.select("_root", "_members", "_node", "_size", "_sketch")
+    members = keyed(docs, id_col, text_col).join(_agreeing_members(near, least).hint("merge"), ["_id", "_th"])
     found = stored(_verified(members, threshold, least, n), "links")
     links = found.groupBy("_id", "_th").agg(F.sum("_links").alias("_links"), F.sum("_rows").alias("_rows"))
     merged = components(found.select(node.alias("u"), F.struct(F.col("_rid").alias("_id"), F.col("_rth").alias("_th")).alias("v")))
@@ -289,7 +319,8 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """``docs`` with one row of each class, its first document's; the columns stay."""
     kept = similar_classes(docs, id_col, text_col).where(F.struct("_id", "_th") == F.col("_class")).select("_id", "_th").distinct()
     rows = keyed(docs, id_col, text_col, carry=True).select("_id", "_th", "_row").join(kept.hint("merge"), ["_id", "_th"], "left_semi")
-    return rows.groupBy("_id", "_th").agg(F.first("_row").alias("_row")).select(*row_with(docs, {}))
+    # of rows equal in id and text the one with the least hash stays, whatever their order
+    return rows.groupBy("_id", "_th").agg(F.min_by("_row", F.xxhash64(F.to_json("_row"))).alias("_row")).select(*row_with(docs, {}))
 
 
 #: On the words of a whole table, every pair that shares an n-gram; for small tables.

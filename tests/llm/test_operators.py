@@ -106,6 +106,14 @@ def test_ngram_join_in_blocks(spark, monkeypatch):
     assert {r["doc_id"]: r["n_links"] for r in rows} == links and {r["class_id"] for r in rows} == {0}
 
 
+def test_ngram_join_keeps_one_row(spark):
+    """Rows equal in id and text but not in other columns: the same one stays, in any order."""
+    rows = docs_of(spark, [(1, "a b c d e f g")]).unionAll(docs_of(spark, [(1, "a b c d e f g")]).withColumn("source", F.lit("t"))).unionAll(docs_of(spark, [(2, None)]))
+    forth = ngram_join.keep_first(rows).collect()
+    assert sorted(map(repr, forth)) == sorted(map(repr, ngram_join.keep_first(rows.orderBy(F.col("source").desc())).collect())) and len(forth) == 2
+    assert ngram_join.keep_first(docs_of(spark, [])).count() == 0
+
+
 def test_banding():
     bands, rows = ngram_join.banding()
     assert bands * rows <= 128 and 1 - (1 - 0.8**rows) ** bands >= 0.9995
