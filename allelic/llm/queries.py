@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from allelic.llm import ann, bpe, line_dedup, ngram_join, packing, quality, substring_dedup, suffix_dedup, token_output, topk
+from allelic.llm import ann, bpe, line_dedup, ngram_join, packing, quality, resampling, substring_dedup, suffix_dedup, token_output, topk
 from allelic.llm.common import scratch_path, table
 
 
@@ -61,9 +61,13 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(vectors, vectors.where("vec_id % 50 = 0"))
 
 
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_ngram_join, op3_suffix_dedup, op4_packing, op5_exact_topk, op6_substring_dedup, op7_bpe, op8_token_output, op9_line_dedup, op10_ann)}
+    return {f.__name__: f for f in (op1_quality, op2_ngram_join, op3_suffix_dedup, op4_packing, op5_exact_topk, op6_substring_dedup, op7_bpe, op8_token_output, op9_line_dedup, op10_ann, op12_resampling)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_join": ngram_join.ORACLE_SQL, "op5_exact_topk": topk.ORACLE_SQL, "op6_substring_dedup": substring_dedup.ORACLE_SQL, "op9_line_dedup": line_dedup.ORACLE_SQL}
+    return {"op2_ngram_join": ngram_join.ORACLE_SQL, "op5_exact_topk": topk.ORACLE_SQL, "op6_substring_dedup": substring_dedup.ORACLE_SQL, "op9_line_dedup": line_dedup.ORACLE_SQL, "op12_resampling": resampling.ORACLE_SQL}
