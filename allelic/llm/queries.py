@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from allelic.llm import ann, bpe, line_dedup, ngram_join, packing, quality, resampling, substring_dedup, suffix_dedup, token_output, topk
+from allelic.llm import ann, bpe, conversation_repair, line_dedup, ngram_join, packing, quality, resampling, substring_dedup, suffix_dedup, token_output, topk
 from allelic.llm.common import scratch_path, table
 
 
@@ -65,8 +65,12 @@ def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(table(spark, sf_dir, "conversations"), damage=True)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_ngram_join, op3_suffix_dedup, op4_packing, op5_exact_topk, op6_substring_dedup, op7_bpe, op8_token_output, op9_line_dedup, op10_ann, op12_resampling)}
+    return {f.__name__: f for f in (op1_quality, op2_ngram_join, op3_suffix_dedup, op4_packing, op5_exact_topk, op6_substring_dedup, op7_bpe, op8_token_output, op9_line_dedup, op10_ann, op12_resampling, op13_conversation_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
