@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from allelic.llm import ann, bpe, conversation_repair, line_dedup, ngram_join, packing, quality, resampling, substring_dedup, suffix_dedup, token_output, topk
+from allelic.llm import ann, bpe, conversation_repair, language_id, line_dedup, ngram_join, packing, quality, resampling, substring_dedup, suffix_dedup, token_output, topk
 from allelic.llm.common import scratch_path, table
 
 
@@ -61,6 +61,11 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(vectors, vectors.where("vec_id % 50 = 0"))
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.identify(docs, language_id.fit(docs))
+
+
 def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -70,7 +75,7 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_ngram_join, op3_suffix_dedup, op4_packing, op5_exact_topk, op6_substring_dedup, op7_bpe, op8_token_output, op9_line_dedup, op10_ann, op12_resampling, op13_conversation_repair)}
+    return {f.__name__: f for f in (op1_quality, op2_ngram_join, op3_suffix_dedup, op4_packing, op5_exact_topk, op6_substring_dedup, op7_bpe, op8_token_output, op9_line_dedup, op10_ann, op11_language_id, op12_resampling, op13_conversation_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
