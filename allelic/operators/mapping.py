@@ -121,7 +121,7 @@ def g_to_c_all(df: DataFrame, reference: Reference, variant: str = "variant", to
     return _coding(overlapping(rows, reference.transcripts, "_chrom", "_start", "_end"), variant, to).drop("tx", "_chrom", "_start", "_end")
 
 
-def _genomic(df: DataFrame, variant: str, to: str, coord: str) -> DataFrame:
+def _genomic(df: DataFrame, variant: str, to: str, *coords: str) -> DataFrame:
     v, tx = F.col(variant), F.col("tx")
     n = lambda p: c_to_n(index_of_transcript(v[p]["base"]), v[p]["anchor"], tx["cds_start"], tx["cds_end"])
     place = lambda p: F.when(v[p].isNotNull(), n_to_g(tx["exons"], n(p), v[p]["offset"]))
@@ -129,7 +129,7 @@ def _genomic(df: DataFrame, variant: str, to: str, coord: str) -> DataFrame:
     a, b = F.col("_a"), F.col("_b")
     position = lambda g: _struct_position(g + 1, F.lit(None), F.lit(None))
     made = _moved(v, "g", tx["reference"], position(F.when(b.isNotNull(), F.least(a, b)).otherwise(a)), F.when(b.isNotNull(), position(F.greatest(a, b))), tx["strand"])
-    ok = v.isNotNull() & (v["coord"] == coord) & a.isNotNull() & (v["end"].isNull() | b.isNotNull())
+    ok = v.isNotNull() & v["coord"].isin(*coords) & a.isNotNull() & (v["end"].isNull() | b.isNotNull())
     why = (
         F.when(tx.isNull(), error("DataProviderError", "Data provider error: no such transcript"))
         .when((v["start"]["anchor"] == "CdsStart") & tx["cds_start"].isNull(), error("ValidationError", "Validation error: Missing CDS start"))
@@ -147,3 +147,11 @@ def c_to_g(df: DataFrame, reference: Reference, on: Column | None = None, varian
 def n_to_g_variant(df: DataFrame, reference: Reference, on: Column | None = None, variant: str = "variant", to: str = "genomic") -> DataFrame:
     """The same for variants on a transcript's own numbering."""
     return _genomic(with_transcript(df, reference, F.col(variant)["ac"], on), variant, to, "n")
+
+
+def on_genome(df: DataFrame, reference: Reference, variant: str, to: str, errors: bool = False) -> DataFrame:
+    """Adds the variant on the reference sequence: genomic ones as they are, coding and transcript ones mapped, in one lookup; with ``errors`` also ``<to>_error``."""
+    v = F.col(variant)
+    out = with_transcript(df.withColumn("_cn", F.when(v["coord"].isin("c", "n"), v)), reference, F.col("_cn.ac"))
+    out = _genomic(out, "_cn", "_gcn", "c", "n").withColumn(to, F.coalesce(F.when(v["coord"] == "g", v), F.col("_gcn"))).withColumnRenamed("_gcn_error", f"{to}_error").drop("_cn", "_gcn")
+    return out if errors else out.drop(f"{to}_error")

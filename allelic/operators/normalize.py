@@ -8,12 +8,10 @@ from pyspark.sql import functions as F
 from allelic.functions.coordinates import c_to_n, index_of_transcript
 from allelic.functions.parse import computed_once
 from allelic.functions.sequence import common_prefix, piece, reverse_complement, stripped
-from allelic.operators.mapping import c_to_g, n_to_g_extended, n_to_g_variant
-from allelic.operators.reference import Reference, error, with_sequence, with_transcript
-
-#: Bases compared at first; only longer repeats are compared in full.
-NEAR = 64
-
+from allelic.operators.mapping import n_to_g_extended, on_genome
+from allelic.operators.reference import Reference, error, spliced_key, with_sequence, with_transcript
+from allelic.operators.windows import FASTER, MARGIN, NEAR, agreeing, long_windows, repeated, runs, with_bases, with_window
+from allelic.sources.stage import stored
 
 def _prefix(a: Column, b: Column) -> Column:
     near = common_prefix(a.substr(F.lit(1), F.lit(NEAR)), b.substr(F.lit(1), F.lit(NEAR)))
@@ -107,16 +105,115 @@ def normalize_transcript(v: Column, tx: Column) -> Column:
     return computed_once(transcript_range(v, tx), moved)
 
 
+#: Stands in for the transcript of variants that need none.
+NO_TRANSCRIPT = "struct<ac:string,reference:string,cds_start:int,cds_end:int>"
+#: Of ranges that are looked at together with their flanks, at most so many bases.
+SHORT = MARGIN - 2 * NEAR
+
+
+def with_shift(df: DataFrame, chunks: DataFrame, key: Column, edit: Column, start: Column, end: Column, to: str = "shift") -> DataFrame:
+    """Adds struct(own, unit, before, right, left, size) of an edit of [start, end): its bases, those with the stated first one, the base in front, how far it can move either way, and the sequence's length. Null where there is no such sequence.
+
+    The closed form of ``shift_right`` and ``shift_left`` over windows: the bases behind the range go on with its own period. Rows are stored;
+    ranges of over SHORT bases, and those that use up a flank, are looked up on their own.
+    """
+    rows = df.withColumn("_sk", key).withColumn("_se", edit).withColumn("_sa", start.cast("int")).withColumn("_sz", end.cast("int"))
+    a, z, e = F.col("_sa"), F.col("_sz"), F.col("_se")
+    long = z - F.greatest(a, F.lit(0)) > SHORT
+    # of a long range only the sequence's length is asked for here
+    rows = with_window(rows, chunks, F.when(a.isNotNull(), F.col("_sk")), a - NEAR, F.when(long, a - NEAR).otherwise(z + NEAR), "_sw")
+    w = F.col("_sw")
+    own = piece(w["bases"], F.greatest(a, F.lit(0)) - w["start"], z - w["start"])
+    ahead, behind = F.reverse(piece(w["bases"], F.lit(0), a - w["start"])), w["bases"].substr(F.greatest(z, F.lit(0)) - w["start"] + 1, F.lit(NEAR))
+    rows = rows.select("*", own.alias("_own"), ahead.alias("_ahead"), behind.alias("_behind"), long.alias("_long"))
+    rows = rows.withColumn("_moves", F.coalesce(_moves_as_deletion(e, a, z), F.lit(False))).withColumn("_one", F.coalesce((e["type"] == "Ins") & (a == z) & (F.length(e["alt"]) == 1), F.lit(False)))
+    stated = F.when(_text(e["ref"]) != "", e["ref"].substr(F.lit(1), F.lit(1))).otherwise(F.col("_own").substr(F.lit(1), F.lit(1)))
+    unit = F.when(F.col("_one"), e["alt"]).when(F.col("_moves"), F.concat(stated, F.col("_own").substr(F.lit(2), F.greatest(F.length("_own") - 1, F.lit(0)))))
+    back = F.when(F.col("_one"), e["alt"]).when(F.col("_moves"), F.col("_own"))
+    moving = F.col("_moves") | F.col("_one")
+    rows = rows.withColumn("_unit", unit).withColumn("_back", back)
+    rows = rows.withColumn("_right", F.when(moving & ~F.col("_long"), agreeing(F.col("_behind"), F.col("_unit"))).otherwise(0)).withColumn("_left", F.when(moving & ~F.col("_long"), agreeing(F.col("_ahead"), F.reverse("_back"))).otherwise(0))
+    open_ = lambda side: moving & (F.col(f"_{side}") == NEAR)
+    known = w.isNotNull()
+    rows = rows.select(
+        *df.columns, "_sk", "_se", "_sa", "_sz", "_long", "_moves", "_one", "_own", "_unit", "_back", F.col("_ahead").substr(F.lit(1), F.lit(1)).alias("_before"), "_right", "_left", w["size"].alias("_size"),
+        F.coalesce(known & F.col("_long"), F.lit(False)).alias("_far"), F.coalesce(known & open_("right"), F.lit(False)).alias("_more_right"), F.coalesce(known & open_("left"), F.lit(False)).alias("_more_left"),
+    )
+    rows = stored(rows, "shifts")
+    told = rows.agg(F.max("_far"), F.max("_more_right"), F.max("_more_left")).first()
+    if any(told):
+        rows = _looked_up(rows, chunks, *map(bool, told))
+    made = F.when(F.col("_size").isNotNull(), F.struct(F.col("_own").alias("own"), F.col("_unit").alias("unit"), F.col("_before").alias("before"), F.col("_right").cast("int").alias("right"), F.col("_left").cast("int").alias("left"), F.col("_size").alias("size")))
+    return rows.select(*df.columns, made.alias(to))
+
+
+def _looked_up(rows: DataFrame, chunks: DataFrame, far: bool, more_right: bool, more_left: bool) -> DataFrame:
+    """The rows with long ranges' bases, and with the runs of those that use up their flanks."""
+    flag = F.col("_far") | F.col("_more_right") | F.col("_more_left")
+    near, open_ = rows.where(~flag), rows.where(flag)
+    if far:
+        texts = long_windows(open_.where("_far").select(F.col("_sk").alias("key"), F.col("_sa").alias("start"), F.col("_sz").alias("end")), chunks)
+        texts = texts.select(F.col("key").alias("_sk"), F.greatest("start", F.lit(0)).alias("_from"), F.col("end").alias("_sz"), F.col("bases").alias("_text"))
+        open_ = open_.withColumn("_from", F.greatest("_sa", F.lit(0))).join(texts, ["_sk", "_from", "_sz"], "left").drop("_from")
+        e = F.col("_se")
+        open_ = open_.withColumn("_own", F.when(F.col("_far"), F.coalesce("_text", F.lit(""))).otherwise(F.col("_own"))).drop("_text")
+        stated = F.when(_text(e["ref"]) != "", e["ref"].substr(F.lit(1), F.lit(1))).otherwise(F.col("_own").substr(F.lit(1), F.lit(1)))
+        open_ = open_.withColumn("_unit", F.when(F.col("_far") & F.col("_moves"), F.concat(stated, F.expr("substring(_own, 2)"))).otherwise(F.col("_unit"))).withColumn("_back", F.when(F.col("_far") & F.col("_moves"), F.col("_own")).otherwise(F.col("_back")))
+        open_ = stored(open_, "shifts")
+    for side, at, unit in (("right", "_sz", "_unit"), ("left", "_sa", "_back")):
+        for ask, begin, width in ((F.col("_far") & F.col("_moves"), 0, NEAR), (~F.col("_far") & F.col(f"_more_{side}"), NEAR, NEAR * FASTER)):
+            asked = open_.where(ask & (F.length(unit) > 0)).select(F.col("_sk").alias("key"), F.col(at).alias("at"), F.col(unit).alias("unit"), F.lit(side == "right").alias("right"))
+            if (begin and (more_right if side == "right" else more_left)) or (not begin and far):
+                found = runs(asked, chunks, begin, width).select(F.col("key").alias("_sk"), F.col("at").alias(at), F.col("unit").alias(unit), F.col("n").alias("_n"), F.lit(True).alias("_hit"))
+                open_ = open_.withColumn("_ask", ask).join(found.withColumn("_ask", F.lit(True)), ["_sk", at, unit, "_ask"], "left")
+                open_ = open_.withColumn(f"_{side}", F.when(F.col("_hit"), F.col("_n")).otherwise(F.col(f"_{side}"))).drop("_n", "_hit", "_ask")
+    return near.unionByName(open_)
+
+
+def with_unambiguous_range(df: DataFrame, reference: Reference, variant: str = "variant", to: str = "range") -> DataFrame:
+    """Adds struct(start, end): all places that a genomic variant's edit could have. Rows are stored."""
+    v = F.col(variant)
+    rows = df.withColumn("_r", F.when((v["coord"] == "g") & v["start"].isNotNull(), genomic_range(v)))
+    rows = with_shift(rows, reference.windows, F.when(F.col("_r").isNotNull(), v["ac"]), v["edit"], F.col("_r.start"), F.col("_r.end"), "_shift")
+    a, z, s = F.col("_r.start"), F.col("_r.end"), F.col("_shift")
+    wide = changes_length(v["edit"], a, z)
+    made = F.struct((a - F.when(wide, s["left"]).otherwise(0)).cast("int").alias("start"), (z + F.when(wide, s["right"]).otherwise(0)).cast("int").alias("end"))
+    return rows.withColumn(to, F.when(s.isNotNull(), made)).drop("_r", "_shift")
+
+
+def _at(v: Column, shift: Column) -> Column:
+    """The variant moved right as far as it can; deletions and duplications state the bases there."""
+    k = F.coalesce(shift["right"], F.lit(0))
+    out = v.withField("start", v["start"].withField("base", v["start"]["base"] + k))
+    out = out.withField("end", F.when(v["end"].isNotNull(), v["end"].withField("base", v["end"]["base"] + k)))
+    return out.withField("edit", F.when(v["edit"]["type"].isin("Del", "Dup"), v["edit"].withField("ref", moved_bases(shift))).otherwise(v["edit"]))
+
+
+def moved_bases(shift: Column) -> Column:
+    """The bases of the range that an edit has after its move: those of its own period."""
+    return F.when(shift["right"] > 0, repeated(F.coalesce(shift["unit"], shift["own"]), shift["right"], F.length(shift["own"]))).otherwise(shift["own"])
+
+
+def normalized(df: DataFrame, reference: Reference, variant: str, to: str, shift: str = "_shift") -> DataFrame:
+    """Adds the variant shifted towards the 3' end, and its shift; a transcript's variant has its ranges on ``tx``. Rows are stored."""
+    v, tx = F.col(variant), F.col("tx")
+    genomic, on_tx = v["coord"] == "g", v["coord"].isin("c", "n")
+    known = v["start"].isNotNull() & (genomic | (on_tx & tx.isNotNull()))
+    ins = v["edit"]["type"] == "Ins"
+    of_tx = transcript_range(v, tx)
+    placed = F.when(genomic, genomic_range(v)).otherwise(F.struct(of_tx["start"].alias("start"), F.when(ins, of_tx["end"] - 1).otherwise(of_tx["end"]).cast("int").alias("end")))
+    rows = df.withColumn("_range", F.when(known, placed))
+    key = F.when(genomic, v["ac"]).otherwise(spliced_key(tx["ac"], tx["reference"]))
+    rows = with_shift(rows, reference.windows, F.when(known, key), v["edit"], F.col("_range.start"), F.col("_range.end"), shift)
+    s = F.col(shift)
+    return rows.withColumn(to, F.when(s.isNotNull(), computed_once(F.struct(v.alias("v"), s.alias("s")), lambda x: _at(x["v"], x["s"]))).otherwise(v)).drop("_range")
+
+
 def normalize(df: DataFrame, reference: Reference, variant: str = "variant", to: str = "normal") -> DataFrame:
     """Adds the variant shifted towards the 3' end; of genomic, coding and transcript variants with a position and a known sequence, others as they are."""
     v = F.col(variant)
-    out = with_transcript(with_sequence(df, reference, F.when(v["coord"] == "g", v["ac"]), "_seq"), reference, F.when(v["coord"].isin("c", "n"), v["ac"]), sequence=True)
-    known = v["start"].isNotNull()
-    made = (
-        F.when((v["coord"] == "g") & known & F.col("_seq").isNotNull(), normalize_genomic(v, F.col("_seq")))
-        .when(v["coord"].isin("c", "n") & known & F.col("tx").isNotNull(), normalize_transcript(v, F.col("tx"))).otherwise(v)
-    )
-    return out.withColumn(to, made).drop("_seq", "tx")
+    out = with_transcript(df, reference, F.when(v["coord"].isin("c", "n"), v["ac"]))
+    return normalized(out, reference, variant, to).drop("_shift", "tx")
 
 
 def fill_implied(v: Column, seq: Column) -> Column:
@@ -127,15 +224,30 @@ def fill_implied(v: Column, seq: Column) -> Column:
 
 def insertion_as_duplication(v: Column, seq: Column) -> Column:
     """An insertion of the very bases in front of it is their duplication (genomic ranges)."""
+    at = v["start"]["base"]
+    return as_duplication(v, piece(seq, at - F.length(v["edit"]["alt"]), at))
+
+
+def as_duplication(v: Column, before: Column) -> Column:
+    """The same by the bases in front of the insertion, as many as it has."""
     alt = v["edit"]["alt"]
     n, at = F.length(alt), v["start"]["base"]
-    same = (v["edit"]["type"] == "Ins") & v["start"].isNotNull() & (n > 0) & (at >= n) & (piece(seq, at - n, at) == alt)
+    same = (v["edit"]["type"] == "Ins") & v["start"].isNotNull() & (n > 0) & (at >= n) & (before == alt)
     dup = v.withField("start", v["start"].withField("base", (at - n + 1).cast("int")))
     dup = dup.withField("end", F.when(n > 1, v["start"].withField("base", at)))
     dup = dup.withField("edit", v["edit"].withField("type", F.lit("Dup")).withField("ref", alt).withField("alt", F.lit(None).cast("string")))
     return F.when(same, dup).otherwise(v)
 
 
+def with_canonical(df: DataFrame, reference: Reference, variant: str, to: str) -> DataFrame:
+    """Adds the genomic variant normalized, with stated bases, and as a duplication where it is one. Rows are stored."""
+    m = F.col("_m")
+    rows = normalized(df.withColumn("tx", F.lit(None).cast(NO_TRANSCRIPT)), reference, variant, "_m").drop("tx")
+    ins, at = (m["edit"]["type"] == "Ins") & F.col("_shift").isNotNull(), m["start"]["base"]
+    rows = with_bases(stored(rows, "canonical"), reference.windows, F.when(ins, m["ac"]), at - F.length(m["edit"]["alt"]), at, "_before")
+    return rows.withColumn(to, F.when(ins, computed_once(F.struct(m.alias("v"), F.col("_before").alias("b")), lambda x: as_duplication(x["v"], x["b"]))).otherwise(m)).drop("_m", "_shift", "_before")
+
+
 def states_reference(v: Column, seq: Column, start: Column, end: Column) -> Column:
     """Whether the stated bases of a substitution or replacement are those of the sequence; true where none are stated, null where the sequence is too short."""
     ref = v["edit"]["ref"]
@@ -149,9 +261,14 @@ def _written(ac: Column, pos: Column, deleted: Column, inserted: Column) -> Colu
 
 def genomic_spdi(v: Column, seq: Column) -> Column:
     """ac:position:deleted:inserted of a genomic variant as it stands; null for edits without such a form."""
+    return spdi_text(v, piece(seq, v["start"]["base"] - 1, F.coalesce(v["end"]["base"], v["start"]["base"])))
+
+
+def spdi_text(v: Column, bases: Column) -> Column:
+    """The same of a variant over those bases."""
     e = v["edit"]
     a, b = v["start"]["base"] - 1, F.coalesce(v["end"]["base"], v["start"]["base"])
-    ref = F.when(_text(e["ref"]) != "", e["ref"]).otherwise(piece(seq, a, b))
+    ref = F.when(_text(e["ref"]) != "", e["ref"]).otherwise(bases)
     minimal = lambda alt: computed_once(stripped(a, ref, alt), lambda s: _written(v["ac"], s["start"], s["ref"], s["alt"]))
     return (
         F.when(e["type"] == "RefAlt", minimal(F.when(e["ref"].isNull() & e["alt"].isNull(), ref).otherwise(_text(e["alt"])))).when(e["type"] == "Del", _written(v["ac"], a, ref, F.lit("")))
@@ -176,22 +293,42 @@ def unambiguous_spdi(v: Column, seq: Column) -> Column:
     return computed_once(genomic_range(v, insertion_at_end=False), made)
 
 
+def _wide_text(v: Column, r: Column, s: Column) -> Column:
+    """Over all places that the edit of a range could have, from its shift there."""
+    e, own = v["edit"], s["own"]
+    alt = (
+        F.when(e["type"] == "RefAlt", _text(e["alt"])).when(e["type"] == "Ins", e["alt"]).when(e["type"] == "Del", "").when(e["type"] == "Dup", F.concat(e["ref"], e["ref"]))
+        .when(e["type"] == "Repeat", F.repeat(F.coalesce(e["ref"], own), e["max"])).when(e["type"] == "Inv", reverse_complement(own))
+    )
+    wide = changes_length(e, r["start"], r["end"])
+    left, right = (F.when(wide, s[side]).otherwise(0) for side in ("left", "right"))
+    before, behind = F.reverse(repeated(F.reverse(own), F.lit(0), left)), repeated(F.coalesce(s["unit"], own), F.lit(0), right)
+    return _written(v["ac"], r["start"] - left, F.concat(before, own, behind), F.concat(before, alt, behind))
+
+
 def to_spdi(df: DataFrame, reference: Reference, variant: str = "variant", to: str = "spdi", unambiguous: bool = False) -> DataFrame:
-    """Adds the text of genomic, coding and transcript variants, mapped to the reference and normalized; others get an error."""
+    """Adds the text of genomic, coding and transcript variants, mapped to the reference and normalized; others get an error. Rows are stored."""
     v = F.col(variant)
-    out = df.withColumn("_c", F.when(v["coord"] == "c", v)).withColumn("_n", F.when(v["coord"] == "n", v))
-    out = n_to_g_variant(c_to_g(out, reference, variant="_c", to="_gc"), reference, variant="_n", to="_gn")
-    out = out.withColumn("_g", F.coalesce(F.when(v["coord"] == "g", v), F.col("_gc"), F.col("_gn")))
-    out = with_sequence(out, reference, F.col("_g")["ac"], "_seq").withColumn("_g", F.when(F.col("_g.start").isNotNull(), normalize_genomic(F.col("_g"), F.col("_seq"))))
-    made = unambiguous_spdi(F.col("_g"), F.col("_seq")) if unambiguous else genomic_spdi(F.col("_g"), F.col("_seq"))
-    out = out.withColumn(to, F.when(F.col("_seq").isNotNull(), made))
+    out = on_genome(df, reference, variant, "_g", errors=True)
+    g = F.col("_g")
+    # variants on the genome need no transcript
+    out = normalized(out.withColumn("tx", F.lit(None).cast(NO_TRANSCRIPT)), reference, "_g", "_m").drop("tx")
+    out = out.withColumn("_known", F.col("_shift").isNotNull())
+    if unambiguous:
+        out = out.withColumn("_r", F.when(F.col("_known"), genomic_range(F.col("_m"), insertion_at_end=False)))
+        out = with_shift(out.drop("_shift"), reference.windows, F.col("_m.ac"), F.col("_m.edit"), F.col("_r.start"), F.col("_r.end"), "_shift")
+        made = computed_once(F.struct(F.col("_m").alias("v"), F.col("_r").alias("r"), F.col("_shift").alias("s")), lambda x: _wide_text(x["v"], x["r"], x["s"]))
+    else:
+        made = spdi_text(F.col("_m"), moved_bases(F.col("_shift")))
+    out = out.withColumn(to, F.when(F.col("_known"), made)).drop("_m", "_shift", "_r")
     why = F.when(~v["coord"].isin("g", "c", "n"), error("UnsupportedOperation", "Unsupported operation: SPDI only for genomic/coding/non-coding")).otherwise(
         F.coalesce(
-            "_gc_error", "_gn_error", F.when(F.col("_g").isNotNull() & F.col("_seq").isNull(), error("DataProviderError", "Data provider error: no such sequence")),
+            "_g_error", F.when(g.isNotNull() & g["start"].isNull(), error("ValidationError", "Validation error: Missing genomic position")),
+            F.when(g.isNotNull() & ~F.col("_known"), error("DataProviderError", "Data provider error: no such sequence")),
             error("UnsupportedOperation", "Unsupported operation: no SPDI for this edit"),
         )
     )
-    return out.withColumn(f"{to}_error", F.when(v.isNotNull() & F.col(to).isNull(), why)).drop("_c", "_n", "_gc", "_gn", "_g", "_seq", "_gc_error", "_gn_error")
+    return out.withColumn(f"{to}_error", F.when(v.isNotNull() & F.col(to).isNull(), why)).drop("_g", "_g_error", "_known")
 
 
 def raw_spdi(df: DataFrame, reference: Reference, variant: str = "variant", to: str = "spdi") -> DataFrame:
@@ -211,7 +348,10 @@ def raw_spdi(df: DataFrame, reference: Reference, variant: str = "variant", to:
     moved = v.withField("ac", F.when(stays, v["ac"]).otherwise(F.col("tx")["reference"])).withField("start", at("start", F.when(stays, F.col("_a")).otherwise(low)))
     moved = moved.withField("end", F.when(v["end"].isNotNull(), at("end", F.when(stays, F.col("_b")).otherwise(high))))
     known = v["start"].isNotNull() & (stays | F.col("tx").isNotNull())
-    out = with_sequence(out.withColumn("_g", F.when(known, moved)), reference, F.col("_g")["ac"], "_seq")
+    out = stored(out.withColumn("_g", F.when(known, moved)), "raw")
+    first, last = F.col("_g.start.base") - 1, F.coalesce(F.col("_g.end.base"), F.col("_g.start.base"))
+    out = with_window(out, reference.windows, F.col("_g.ac"), F.greatest(first, F.lit(0)), F.greatest(first, F.lit(0)), "_seq")
+    out = with_bases(out, reference.windows, F.col("_g.ac"), first, last, "_bases")
     why = (
         F.when(v["start"].isNull(), error("ValidationError", "Validation error: SPDI requires a position"))
         .when(~(stays | on_transcript), error("UnsupportedOperation", "Unsupported operation: SPDI not supported for protein variants"))
@@ -219,8 +359,8 @@ def raw_spdi(df: DataFrame, reference: Reference, variant: str = "variant", to:
         .when(F.col("_seq").isNull(), error("DataProviderError", "Data provider error: no such sequence"))
         .otherwise(error("UnsupportedOperation", "Unsupported operation: no SPDI for this edit"))
     )
-    out = out.withColumn(to, F.when(F.col("_seq").isNotNull(), genomic_spdi(F.col("_g"), F.col("_seq"))))
-    return out.withColumn(f"{to}_error", F.when(v.isNotNull() & F.col(to).isNull(), why)).drop("_tx_ac", "tx", "_a", "_b", "_g", "_seq")
+    out = out.withColumn(to, F.when(F.col("_seq").isNotNull(), spdi_text(F.col("_g"), F.col("_bases"))))
+    return out.withColumn(f"{to}_error", F.when(v.isNotNull() & F.col(to).isNull(), why)).drop("_tx_ac", "tx", "_a", "_b", "_g", "_seq", "_bases")
 
 
 def baseline_spdi(v: Column, seq: Column) -> Column:
@@ -235,25 +375,34 @@ def baseline_spdi(v: Column, seq: Column) -> Column:
     return F.when(v["start"].isNull() | e["type"].isin("Dup", "Inv"), "ERR:SPDI").when(e["type"].isin("RefAlt", "Del", "Ins"), written).otherwise("UnsupportedType")
 
 
-def spdi_equivalent(ours: Column, truth: Column, seq: Column, around: int = 50) -> Column:
-    """Whether two texts change the sequence in the same way: both are applied to the window that covers them and ``around`` bases on each side. False for different accessions and texts that can't be read, null without a sequence."""
-    a, b = F.split(ours, ":"), F.split(truth, ":")
-    part = lambda x, k: F.get(x, F.lit(k))
+def _two_texts(ours: Column, truth: Column, around: int) -> tuple[Column, Column, Column, dict[str, Column]]:
+    """Whether two texts can be compared, the window that covers both, and their parts."""
+    part = lambda x, k: F.get(F.split(x, ":"), F.lit(k))
     at = lambda x: part(x, 1).try_cast("int")
-    low = F.greatest(F.least(at(a), at(b)) - around, F.lit(0))
-    high = F.greatest(at(a) + F.length(part(a, 2)), at(b) + F.length(part(b, 2))) + around
+    low = F.greatest(F.least(at(ours), at(truth)) - around, F.lit(0))
+    high = F.greatest(at(ours) + F.length(part(ours, 2)), at(truth) + F.length(part(truth, 2))) + around
+    readable = (F.size(F.split(ours, ":")) == 4) & (F.size(F.split(truth, ":")) == 4) & at(ours).isNotNull() & at(truth).isNotNull() & (part(ours, 0) == part(truth, 0))
+    return F.coalesce(readable, F.lit(False)), low, high, {"at": at, "part": part}
 
-    def same(w: Column) -> Column:
-        applied = lambda x: F.concat(piece(w["bases"], F.lit(0), at(x) - w["low"]), part(x, 3), w["bases"].substr(at(x) - w["low"] + F.length(part(x, 2)) + 1, F.length(w["bases"])))
-        return applied(a) == applied(b)
 
-    readable = (F.size(a) == 4) & (F.size(b) == 4) & at(a).isNotNull() & at(b).isNotNull() & (part(a, 0) == part(b, 0))
-    return F.when(~F.coalesce(readable, F.lit(False)), False).when(seq.isNotNull(), computed_once(F.struct(piece(seq, low, high).alias("bases"), low.alias("low")), same))
+def _same_after(ours: Column, truth: Column, bases: Column, low: Column, tools: dict) -> Column:
+    at, part = tools["at"], tools["part"]
+    applied = lambda x, w: F.concat(piece(w["bases"], F.lit(0), at(x) - w["low"]), part(x, 3), w["bases"].substr(at(x) - w["low"] + F.length(part(x, 2)) + 1, F.length(w["bases"])))
+    return computed_once(F.struct(bases.alias("bases"), low.alias("low")), lambda w: applied(ours, w) == applied(truth, w))
+
+
+def spdi_equivalent(ours: Column, truth: Column, seq: Column, around: int = 50) -> Column:
+    """Whether two texts change the sequence in the same way: both are applied to the window that covers them and ``around`` bases on each side. False for different accessions and texts that can't be read, null without a sequence."""
+    readable, low, high, tools = _two_texts(ours, truth, around)
+    return F.when(~readable, False).when(seq.isNotNull(), _same_after(ours, truth, piece(seq, low, high), low, tools))
 
 
 def spdi_differences(df: DataFrame, reference: Reference, ours: str = "ours_spdi", truth: str = "spdi") -> DataFrame:
     """mismatches, equivalent, real: one row of counts over pairs of texts that differ; absent texts and errors don't count."""
     told = lambda c: (F.coalesce(F.col(c), F.lit("")) != "") & ~F.col(c).startswith("ERR:")
-    rows = with_sequence(df.where(told(ours) & told(truth) & (F.col(ours) != F.col(truth))), reference, F.substring_index(F.col(truth), ":", 1), "_seq")
-    same = F.coalesce(spdi_equivalent(F.col(ours), F.col(truth), F.col("_seq")), F.lit(False))
+    readable, low, high, tools = _two_texts(F.col(ours), F.col(truth), 50)
+    rows = df.where(told(ours) & told(truth) & (F.col(ours) != F.col(truth))).select(ours, truth, readable.alias("_ok"), low.alias("_low"), high.alias("_high"))
+    rows = stored(rows.withColumn("_key", F.when(F.col("_ok"), F.substring_index(F.col(truth), ":", 1))), "texts")
+    rows = with_bases(with_window(rows, reference.windows, F.col("_key"), F.col("_low"), F.col("_low"), "_w"), reference.windows, F.col("_key"), F.col("_low"), F.col("_high"), "_bases")
+    same = F.coalesce(F.col("_w").isNotNull() & _same_after(F.col(ours), F.col(truth), F.col("_bases"), F.col("_low"), tools), F.lit(False))
     return rows.agg(F.count(F.lit(1)).alias("mismatches"), F.count_if(same).alias("equivalent"), F.count_if(~same).alias("real"))

@@ -4,6 +4,8 @@
 * transcripts: ac, reference, gene, strand, cds_start, cds_end (index of the last coding base), exons (in transcript
   order: start0 and end0 on the reference, both included, and strand), protein, tx_start and tx_end (from 1)
 * spliced: ac, reference, tx_seq
+* best: the transcripts' rows, one for each accession (see ``preferred``)
+* windows: key, part, bases, size: both kinds of sequences by chunk; spliced ones have the key ``spliced_key``
 
 All lookups are equi joins on accessions, so Catalyst broadcasts a bundle that is small and shuffles one that is not.
 Lookups that find nothing leave nulls; operators turn those into error structs.
@@ -17,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from allelic.functions.sequence import reverse_complement, spliced
+from allelic.operators.windows import chunked_windows
 
 
 @dataclass
@@ -24,10 +27,27 @@ class Reference:
     sequences: DataFrame
     transcripts: DataFrame
     spliced: DataFrame | None = None
+    windows: DataFrame | None = None
+    best: DataFrame | None = None
 
     def __post_init__(self):
         if self.spliced is None:
             self.spliced = splice(self.transcripts, self.sequences)
+        if self.windows is None:
+            self.windows = windows_of(self.sequences, self.spliced)
+        if self.best is None:
+            self.best = preferred(self.transcripts)
+
+
+def spliced_key(ac: Column, reference: Column) -> Column:
+    """Of a transcript's sequence among the chunks: a transcript has one for each sequence that it lies on."""
+    return F.concat(ac, F.lit("@"), reference)
+
+
+def windows_of(sequences: DataFrame, spliced: DataFrame) -> DataFrame:
+    """The chunks of reference sequences and of spliced ones."""
+    tx = spliced.select(spliced_key(F.col("ac"), F.col("reference")).alias("ac"), F.col("tx_seq").alias("seq"))
+    return chunked_windows(sequences.select("ac", "seq")).unionByName(chunked_windows(tx.where("seq is not null")))
 
 
 def error(kind: str, message: Column | str) -> Column:
@@ -45,18 +65,17 @@ def splice(transcripts: DataFrame, sequences: DataFrame) -> DataFrame:
 def preferred(transcripts: DataFrame) -> DataFrame:
     """One row for each accession: on the first primary chromosome (NC_0000..), else on the first reference."""
     rank = F.when(F.col("reference").startswith("NC_0000"), 0).otherwise(1)
-    best = transcripts.withColumn("_rank", rank).withColumn("_n", F.row_number().over(Window.partitionBy("ac").orderBy("_rank", "reference")))
-    return best.where("_n = 1").drop("_rank", "_n")
+    best = transcripts.groupBy("ac").agg(F.min_by(F.struct(*transcripts.columns), F.struct(rank, "reference")).alias("_best"))
+    return best.select("_best.*")
 
 
 def with_transcript(df: DataFrame, reference: Reference, ac: Column, on: Column | None = None, sequence: bool = False) -> DataFrame:
     """Adds ``tx`` (a transcript's row as a struct, null if there is none): that on the reference asked for, else the preferred one."""
-    columns = reference.transcripts.columns
-    rows = reference.transcripts
+    rows, best = reference.transcripts, reference.best
     if sequence:
-        rows = rows.join(reference.spliced, ["ac", "reference"], "left")
-        columns = rows.columns
-    best = preferred(rows).select(F.col("ac").alias("_ac"), F.struct(*columns).alias("_best"))
+        rows, best = (x.join(reference.spliced, ["ac", "reference"], "left") for x in (rows, best))
+    columns = rows.columns
+    best = best.select(F.col("ac").alias("_ac"), F.struct(*columns).alias("_best"))
     out = df.withColumn("_key", ac)
     if on is None:
         return out.join(best, F.col("_key") == F.col("_ac"), "left").withColumnRenamed("_best", "tx").drop("_key", "_ac")

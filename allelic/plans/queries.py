@@ -35,6 +35,11 @@ def _with(body: str) -> str:
 
 
 def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_variant(synth.variant_texts(spark, sf_dir), "hgvs")
+
+
+def _with_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with whole sequences, for functions of a sequence."""
     return with_variant(synth.variants(spark, sf_dir), "hgvs")
 
 
@@ -345,20 +350,19 @@ _LEFT = f"""CASE WHEN kind IN (1, 3, 5) THEN {_lcp('reverse(substring(seq, 1, s)
 
 @query(_with(f"SELECT l_orderkey, l_linenumber, l_partkey, CAST(s - {_LEFT} AS INTEGER) AS u_start, CAST(e + k AS INTEGER) AS u_end FROM ({_SHIFT})"))
 def q_unambiguous_range(spark, sf_dir):
-    v = F.col("variant")
-    rows = _parsed(spark, sf_dir).withColumn("r", normalize.genomic_range(v))
-    return rows.withColumn("u", normalize.unambiguous_range(F.col("seq"), F.col("r.start"), F.col("r.end"), v["edit"])).select(*KEY, F.col("u.start").alias("u_start"), F.col("u.end").alias("u_end"))
+    rows = normalize.with_unambiguous_range(_parsed(spark, sf_dir), synth.reference(spark, sf_dir), to="u")
+    return rows.select(*KEY, F.col("u.start").alias("u_start"), F.col("u.end").alias("u_end"))
 
 
 @query(_with("""SELECT l_orderkey, l_linenumber, l_partkey, pos0 + 1 >= len AND substring(seq, pos0 + 2 - len, len) = alt AS is_dup FROM v WHERE kind = 2"""))
 def q_ins_to_dup(spark, sf_dir):
-    rows = _parsed(spark, sf_dir).where("kind = 2")
+    rows = _with_sequences(spark, sf_dir).where("kind = 2")
     return rows.select(*KEY, (normalize.insertion_as_duplication(F.col("variant"), F.col("seq"))["edit"]["type"] == "Dup").alias("is_dup"))
 
 
 @query(_with("SELECT l_orderkey, l_linenumber, l_partkey, ref FROM v WHERE kind IN (1, 3)"))
 def q_fill_implicit(spark, sf_dir):
-    rows = _parsed(spark, sf_dir).where("kind in (1, 3)")
+    rows = _with_sequences(spark, sf_dir).where("kind in (1, 3)")
     return rows.select(*KEY, normalize.fill_implied(F.col("variant"), F.col("seq"))["edit"]["ref"].alias("ref"))
 
 
@@ -366,7 +370,7 @@ def q_fill_implicit(spark, sf_dir):
 def q_validate_reference(spark, sf_dir):
     """Stated bases against the sequence one base further on."""
     v = F.col("variant")
-    rows = _parsed(spark, sf_dir).withColumn("r", normalize.genomic_range(v))
+    rows = _with_sequences(spark, sf_dir).withColumn("r", normalize.genomic_range(v))
     return rows.select(*KEY, normalize.states_reference(v, F.col("seq"), F.col("r.start") + 1, F.col("r.end") + 1).alias("valid"))
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from allelic.operators.reference import Reference, splice
+from allelic.operators.reference import Reference, preferred, splice, windows_of
 from allelic.sources.stage import stored
 
 ALPHABET, TO_BASES = "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC"
@@ -50,9 +50,21 @@ def transcripts(genomes: DataFrame) -> DataFrame:
 _STORED: dict[tuple, DataFrame] = {}
 
 
-def once(df: DataFrame, *key: str) -> DataFrame:
-    """``df`` stored once a session: annotation is built once and looked up often."""
-    key = (df.sparkSession.sparkContext.applicationId, *key)
+def _state(spark: SparkSession, sf_dir: str) -> tuple:
+    """Size and time of change of the tables' files: what is stored for them holds as long as these stay."""
+    hadoop, out = spark._jvm.org.apache.hadoop, []
+    for name in ("documents", "lineitem"):
+        path = hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        if system.exists(path):
+            out += [(str(f.getPath()), f.getLen(), f.getModificationTime()) for f in system.listStatus(path)]
+    return tuple(out)
+
+
+def once(df: DataFrame, sf_dir: str, name: str) -> DataFrame:
+    """``df`` stored once a session and state of the tables: annotation is built once and looked up often."""
+    spark = df.sparkSession
+    key = (spark.sparkContext.applicationId, sf_dir, name, _state(spark, sf_dir))
     if key not in _STORED:
         _STORED[key] = stored(df, "reference")
     return _STORED[key]
@@ -62,7 +74,13 @@ def reference(spark: SparkSession, sf_dir: str) -> Reference:
     g = genome(spark, sf_dir)
     sequences = once(g.select("ac", "seq"), sf_dir, "sequences")
     models = once(transcripts(g), sf_dir, "transcripts")
-    return Reference(sequences, models, once(splice(models, sequences), sf_dir, "spliced"))
+    joined = once(splice(models, sequences), sf_dir, "spliced")
+    return Reference(sequences, models, joined, once(windows_of(sequences, joined), sf_dir, "windows"), once(preferred(models), sf_dir, "best"))
+
+
+def variant_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The variants as a user has them, a text each, with what they were made of but no sequence; stored once."""
+    return once(variants(spark, sf_dir).drop("seq"), sf_dir, "variants")
 
 
 def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
