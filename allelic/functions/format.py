@@ -41,6 +41,7 @@ def _repeat(e: Column) -> Column:
 
 
 def format_na_edit(e: Column) -> Column:
+    """Text of a nucleotide edit; null for null."""
     ref, alt = e["ref"], e["alt"]
     both = (
         F.when(ref.isNull() & alt.isNull(), "=").when(ref.isNull(), F.concat(F.lit("ins"), alt)).when(alt.isNull(), F.concat(F.lit("del"), ref))
@@ -49,7 +50,7 @@ def format_na_edit(e: Column) -> Column:
     kind = e["type"]
     return (
         F.when(kind == "RefAlt", both).when(kind.isin("Del", "Dup", "Inv"), F.concat(F.lower(kind), _or_empty(ref))).when(kind == "Ins", F.concat(F.lit("ins"), _or_empty(alt)))
-        .when(kind == "Repeat", _repeat(e)).when(kind == "None", "=").otherwise("unknown_na_edit")
+        .when(kind == "Repeat", _repeat(e)).when(kind == "None", "=").when(kind.isNotNull(), "unknown_na_edit")
     )
 
 
