@@ -61,20 +61,28 @@ def _key(lines: list[Column]) -> Column:
 def dedup_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """_id, _row, ``_kept`` (the remaining text), ``_n_lines``, ``_removed`` (numbers of removed lines, ascending)."""
     marked = keyed(docs, id_col, text_col, carry=True).join(covered_lines(docs, id_col, text_col, window).hint("merge"), ["_id", "_th"], "left")
-    lines = _lines(F.col("_text"))
     removed = F.array_sort(F.array_distinct(F.flatten(F.transform("_starts", lambda s: F.transform(F.sequence(F.lit(0), F.lit(window - 1)), lambda k: s + k)))))
     return marked.select(
         "_id", "_row", "_text",
         F.coalesce(removed, F.array().cast("array<int>")).alias("_removed"),
     ).select(
         "_id", "_row", "_removed",
-        F.size(lines).alias("_n_lines"),
-        F.when(F.size("_removed") == 0, F.col("_text"))
-        .otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_removed", i)), "\n"))
-        .alias("_kept"),
+        F.size(_lines(F.col("_text"))).alias("_n_lines"),
+        F.when(F.size("_removed") == 0, F.col("_text")).otherwise(_without(F.col("_text"), F.col("_removed"))).alias("_kept"),
     )
 
 
+def _without(text: Column, removed: Column) -> Column:
+    """The lines of other numbers; the numbers are parted by a hash set and each line is taken by its place, so a text's lines are gone through once."""
+
+    def kept(lines: Column) -> Column:
+        numbers = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), removed)
+        return F.array_join(F.transform(numbers, lambda i: F.get(lines, i)), "\n")
+
+    # bound to a name: the text is split once, not for each line
+    return F.transform(F.array(_lines(text)), kept)[0]
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """Per document: doc_id, n_lines, n_removed, removed_lines (comma-separated line numbers from 0), text."""
     return dedup_rows(docs, id_col, text_col, window).select(

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from allelic.llm.chunks import larger, library_chunks
 from allelic.llm.common import bounded_batches, id_back, keyed, stored, trimmed
 
-LENGTH, GRAIN, FILL = 2048, 8, 0.97
+LENGTH, GRAIN, FILL = 2048, 8, 0.9
 
 
 def knapsack(values: np.ndarray, sizes: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:

@@ -116,9 +116,18 @@ class TokenFile:
         self.source.close()
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, seq_len: int = SEQ_LEN, vocabulary: int = 50257, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Writes the files into ``folder`` (a URI that driver and executors share); returns the manifest: part, name, documents, ids."""
+def vocabulary_size(tokenizer: str) -> int:
+    """One more than the largest id of a tokenizer's file."""
+    from tokenizers import Tokenizer
+
+    return 1 + max(Tokenizer.from_file(tokenizer).get_vocab(with_added_tokens=True).values(), default=0)
+
+
+def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, seq_len: int = SEQ_LEN, vocabulary: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Writes the files into ``folder`` (a URI that driver and executors share); returns the manifest: part, name, documents, ids. ``vocabulary``: one more than the largest id; by default that of the tokenizer."""
     spark = docs.sparkSession
+    if vocabulary is None:
+        vocabulary = vocabulary_size(tokenizer)
     bounded_batches(spark)
     kind = pa.uint16() if max(vocabulary - 1, end_id) < 1 << 16 else pa.uint32()
     fs, path = pafs.FileSystem.from_uri(folder)

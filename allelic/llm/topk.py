@@ -7,13 +7,15 @@ of a query and a row is scored; memory holds a block of queries with a list each
 
 Defined results: vectors that are null, empty, or hold null or non-finite components take no part; vectors of another
 dimension than the query's are no candidates of it; rows with the query's id are its own row; a query id that repeats
-counts once; repeated rows are candidates each; ties go to the smaller id; sums beyond a long are held at its ends;
+counts once; repeated rows are candidates each; components that leave the doubles when scaled count with their exact floor; ties go to the smaller id; sums beyond a long are held at its ends;
 fewer candidates than k give fewer rows, empty tables none.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +27,18 @@ from allelic.llm.vectors import QUERY_TILE, TopLists, matrices, merged, partial_
 EXACT = 2.0**53
 
 
+def floored(m: np.ndarray, scale: float) -> np.ndarray:
+    """floor(scale * x) of each component: whole doubles, or Python integers where scaling a component leaves the doubles."""
+    with np.errstate(over="ignore"):
+        whole = np.floor(scale * m)
+    if np.isfinite(whole).all():
+        return whole
+    return np.array([[math.floor(Fraction(x) * Fraction(scale)) for x in r] for r in m.tolist()], object).reshape(m.shape)
+
+
 def integer_scores(q: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Inner products of rows of whole doubles, as longs."""
-    if np.abs(q).max(initial=0) * np.abs(v).max(initial=0) * q.shape[1] < EXACT:
+    """Inner products of rows of whole numbers (doubles, or integers of any size), as longs."""
+    if q.dtype != object and v.dtype != object and np.abs(q).max(initial=0) * np.abs(v).max(initial=0) * q.shape[1] < EXACT:
         return (q @ v.T).astype(np.int64)
     whole = np.array([[int(x) for x in r] for r in q], object) @ np.array([[int(x) for x in r] for r in v], object).T
     return np.clip(whole, -(2**63), 2**63 - 1).astype(np.int64)
@@ -37,11 +48,11 @@ def _kernel(k: int, scale: float):
     def on(block: dict):
         def run(batches: Iterator[pa.RecordBatch]):
             lists = {d: TopLists(len(ids), k, np.int64) for d, (ids, _) in block.items()}
-            whole = {d: np.floor(scale * m) for d, (_, m) in block.items()}
+            whole = {d: floored(m, scale) for d, (_, m) in block.items()}
             for batch in batches:
                 for ids, m in matrices(batch):
                     if (d := m.shape[1]) in block:
-                        m = np.floor(scale * m)
+                        m = floored(m, scale)
                         for at in range(0, len(block[d][0]), QUERY_TILE):
                             own = block[d][0][at : at + QUERY_TILE]
                             lists[d].add(at, integer_scores(whole[d][at : at + QUERY_TILE], m), ids, own[:, None] != ids[None, :])
