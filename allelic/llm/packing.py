@@ -4,7 +4,7 @@ A document of n tokens gives n // length full sequences and a remainder. Remaind
 GRAIN tokens, and their histogram is a cutting-stock problem: a pattern says how many remainders of each class share a
 sequence. A linear program over patterns minimises the sequences; new patterns come from an unbounded knapsack, solved
 by dynamic programming at the program's dual prices, until none improves it. Counts of patterns are rounded down, and
-patterns that fill less than FILL of a sequence are not used. Remainders, ranked within their class, go to the copies of
+patterns that fill less than FILL of a sequence are not used (at sf0.1 279 of 9,999 remainders are left over for that or by rounding, at sf0.01 some 240 of 1,000, nearly all by rounding). Remainders, ranked within their class, go to the copies of
 the patterns in order. Those left over (by rounding, or of unused patterns) form one stream that is cut every ``length``
 tokens; its end is cut into powers of two, which need no padding. Only these documents are cut at a place that is no
 multiple of ``length``.
@@ -62,7 +62,7 @@ def _taken(pick: np.ndarray, sizes: np.ndarray, room: int, first: int) -> np.nda
     return counts
 
 
-def cutting_stock(sizes: np.ndarray, demand: np.ndarray, room: int, gap: float = 4e-3, rounds: int = 200, smooth: float = 0.7) -> tuple[np.ndarray, np.ndarray]:
+def cutting_stock(sizes: np.ndarray, demand: np.ndarray, room: int, gap: float = 4e-3, rounds: int = 400, smooth: float = 0.7) -> tuple[np.ndarray, np.ndarray]:
     """Patterns (rows of counts by size) and how often each is used, possibly in part, to meet the demand exactly with few rooms.
 
     Column generation on a basis of one pattern for each size. Each round prices with one knapsack: the best pattern
