@@ -1,4 +1,4 @@
-"""Unification of what two protein variants leave of a protein.
+"""Unification of what two protein variants leave of a protein, a pair at a time: the plain form, which tests hold the batches of ``solver`` against.
 
 Both edits are applied to the stretch from the smaller start to the larger end. Residues that nobody states are unknown
 but named by their position, so two unknowns of one position are equal, and an unknown can be bound to a residue or to

@@ -5,6 +5,7 @@
   order: start0 and end0 on the reference, both included, and strand), protein, tx_start and tx_end (from 1)
 * spliced: ac, reference, tx_seq
 * best: the transcripts' rows, one for each accession (see ``preferred``)
+* proteins: ac, residues: what the preferred transcripts code for
 * windows: key, part, bases, size: both kinds of sequences by chunk; spliced ones have the key ``spliced_key``
 
 All lookups are equi joins on accessions, so Catalyst broadcasts a bundle that is small and shuffles one that is not.
@@ -18,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from allelic.functions.sequence import reverse_complement, spliced
+from allelic.functions.sequence import piece, reverse_complement, spliced, translated
 from allelic.operators.windows import chunked_windows
 
 
@@ -29,6 +30,7 @@ class Reference:
     spliced: DataFrame | None = None
     windows: DataFrame | None = None
     best: DataFrame | None = None
+    proteins: DataFrame | None = None
 
     def __post_init__(self):
         if self.spliced is None:
@@ -37,6 +39,8 @@ class Reference:
             self.windows = windows_of(self.sequences, self.spliced)
         if self.best is None:
             self.best = preferred(self.transcripts)
+        if self.proteins is None:
+            self.proteins = coded_proteins(self.best, self.spliced)
 
 
 def spliced_key(ac: Column, reference: Column) -> Column:
@@ -50,6 +54,13 @@ def windows_of(sequences: DataFrame, spliced: DataFrame) -> DataFrame:
     return chunked_windows(sequences.select("ac", "seq")).unionByName(chunked_windows(tx.where("seq is not null")))
 
 
+def coded_proteins(best: DataFrame, spliced: DataFrame) -> DataFrame:
+    """ac, residues of each protein: the coding region of its transcript (of several the first), translated to its end, the stop included."""
+    rows = best.where("protein is not null and cds_start is not null and cds_end is not null").join(spliced, ["ac", "reference"])
+    coding = F.upper(piece(F.col("tx_seq"), F.col("cds_start"), F.col("cds_end") + 1))
+    return rows.groupBy(F.col("protein").alias("ac")).agg(F.min_by(translated(coding), F.col("ac")).alias("residues"))
+
+
 def error(kind: str, message: Column | str) -> Column:
     """An error as a value."""
     return F.struct(F.lit(kind).alias("kind"), (F.lit(message) if isinstance(message, str) else message).alias("message"))

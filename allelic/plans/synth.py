@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from allelic.operators.reference import Reference, preferred, splice, windows_of
+from allelic.operators.reference import Reference, coded_proteins, preferred, splice, windows_of
 from allelic.sources.stage import stored
 
 ALPHABET, TO_BASES = "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC"
@@ -75,7 +75,8 @@ def reference(spark: SparkSession, sf_dir: str) -> Reference:
     sequences = once(g.select("ac", "seq"), sf_dir, "sequences")
     models = once(transcripts(g), sf_dir, "transcripts")
     joined = once(splice(models, sequences), sf_dir, "spliced")
-    return Reference(sequences, models, joined, once(windows_of(sequences, joined), sf_dir, "windows"), once(preferred(models), sf_dir, "best"))
+    best = once(preferred(models), sf_dir, "best")
+    return Reference(sequences, models, joined, once(windows_of(sequences, joined), sf_dir, "windows"), best, once(coded_proteins(best, joined), sf_dir, "proteins"))
 
 
 def variant_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
