@@ -629,7 +629,7 @@ def q_validate(spark, sf_dir):
 
 def _all() -> None:
     """The queries of the other modules add themselves."""
-    from allelic.plans import edit_queries, file_queries, pair_queries  # noqa: F401
+    from allelic.plans import consequence_queries, edit_queries, file_queries, pair_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
