@@ -4,8 +4,8 @@ Vectors are scaled to length one, so that the largest cosine is the largest inne
 quantised to one of 16 centroids (four bits). The codebooks minimise a loss that weighs the part of the residual
 parallel to the vector ETA times the orthogonal part, since only the former changes the large inner products: codes are
 chosen by coordinate descent over the subspaces, centroids by the weighted normal equations. A query turns into a table
-of 16 products per subspace; a scan sums table entries by code, and the SHORTLIST best of each tile are scored exactly
-in doubles on the original vectors. Lists of all shards are merged in two rounds.
+of 16 products per subspace; a scan of the codes alone sums table entries by code, and a shard keeps one list of the SHORTLIST best
+rows a query. The lists of all shards are narrowed to SHORTLIST rows, which meet the original vectors and are scored exactly in doubles.
 
 The codebooks are fitted on at most ``sample`` rows (smallest hashes of the id); every row is encoded and searched.
 
@@ -20,15 +20,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from allelic.llm.common import stored, trimmed
-from allelic.llm.vectors import QUERY_TILE, TopLists, matrices, merged, partial_lists, valid_vectors
+from allelic.llm.common import id_back, stored, trimmed
+from allelic.llm.vectors import QUERY_TILE, VECTOR_TILE, TopLists, matrices, narrowed, partial_lists, valid_vectors
 
 CENTROIDS, SUB = 16, 2
 SAMPLE = 20_000
-SHORTLIST = 64
+SHORTLIST = 256
 #: Inner products above this share of the vectors' lengths are those that matter; it sets the weight of the parallel part.
 THRESHOLD = 0.2
 
@@ -108,7 +108,7 @@ def nonzero(vectors: DataFrame) -> DataFrame:
 
 
 def build_index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE) -> tuple[DataFrame, dict[int, np.ndarray]]:
-    """_id, _v, _code of every valid row, written to the shared folder, and the codebooks of each dimension."""
+    """_id, _v, _code, _key (a number of the row, since ids may repeat) of every valid row, written to the shared folder, and the codebooks of each dimension."""
     rows = nonzero(valid_vectors(vectors, id_col, vector_col))
     by: dict[int, list] = {}
     for _, m in matrices(rows.orderBy(F.xxhash64("_id"), "_id").limit(sample).toArrow()):
@@ -127,41 +127,44 @@ def build_index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
                     [pa.array(ids), pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1) * d, pa.int32()), flat), pa.array([x.tobytes() for x in packed], pa.binary())], names=["_id", "_v", "_code"]
                 )
 
-    return stored(rows.mapInArrow(trimmed(code), "_id long, _v array<double>, _code binary"), "ann"), books
+    coded = rows.mapInArrow(trimmed(code), "_id long, _v array<double>, _code binary")
+    return stored(coded.withColumn("_key", F.monotonically_increasing_id()), "ann"), books
 
 
-def _kernel(k: int, books: dict[int, np.ndarray], shortlist: int):
+def decoded(packed: np.ndarray, books: np.ndarray) -> np.ndarray:
+    """The centroids that codes stand for, row by row."""
+    codes = unpack(packed, len(books))
+    return books[np.arange(len(books))[None], codes].reshape(len(codes), -1).astype(np.float32)
+
+
+def _kernel(books: dict[int, np.ndarray], shortlist: int):
+    """The ``shortlist`` rows of a shard with the highest sums of table entries, for each query of a block: one running list for the whole shard.
+
+    A query's table has 16 products a subspace, and a row's sum takes the entries that its codes name. For a tile of queries all
+    these sums together are the product of the queries and the rows' centroids, so a scan is one matrix product over 16 bytes a row.
+    """
+
     def on(block: dict):
         def run(batches: Iterator[pa.RecordBatch]):
-            lists = {d: TopLists(len(ids), k) for d, (ids, _) in block.items()}
-            tables = {d: np.einsum("qmd,mcd->mqc", _parts(unit(m)), books[d]).astype(np.float32) for d, (_, m) in block.items() if d in books}
+            lists = {d: TopLists(len(ids), shortlist) for d, (ids, _) in block.items()}
+            asked = {d: _parts(unit(m)).reshape(len(m), -1).astype(np.float32) for d, (_, m) in block.items()}
             for batch in batches:
-                codes_of = dict(zip(batch.column("_id").to_pylist(), batch.column("_code").to_pylist(), strict=True)) if len(set(batch.column("_id").to_pylist())) == len(batch) else None
-                for ids, m in matrices(batch):
-                    d = m.shape[1]
+                keys, ids, dims = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_key", "_id", "_d"))
+                for d in np.unique(dims).tolist():
                     if d not in block:
                         continue
-                    n = len(ids)
-                    codes = None
-                    if n > shortlist and d in books:
-                        if codes_of is None:  # ids repeat: the codes are made anew
-                            codes = encode(unit(m), books[d], eta(d))
-                        else:
-                            codes = unpack(np.frombuffer(b"".join(codes_of[i] for i in ids.tolist()), np.uint8).reshape(n, -1), len(books[d]))
-                    for at in range(0, len(block[d][0]), QUERY_TILE):
-                        own, q = block[d][0][at : at + QUERY_TILE], block[d][1][at : at + QUERY_TILE]
-                        if codes is None:
-                            cells = np.broadcast_to(np.arange(n), (len(q), n))
-                        else:
-                            table = tables[d][:, at : at + QUERY_TILE]
-                            guess = np.zeros((len(q), n), np.float32)
-                            for s in range(len(table)):
-                                guess += table[s][:, codes[:, s]]
-                            # equal codes: the smaller id first
-                            cells = np.argpartition(guess.astype(np.float64) - np.arange(n) * 1e-10, n - shortlist, axis=1)[:, n - shortlist :]
-                        for row in range(0, len(q), 64):
-                            part = cells[row : row + 64]
-                            lists[d].add(at + row, cosines(q[row : row + 64, None, :], m[part]), ids[part], own[row : row + 64, None] != ids[part])
+                    rows = np.flatnonzero(dims == d)
+                    if d in books:
+                        code = batch.column("_code").take(pa.array(rows))
+                        near = decoded(np.frombuffer(b"".join(code.to_pylist()), np.uint8).reshape(len(rows), -1), books[d])
+                    else:  # no codebook: the rows come whole
+                        near = _parts(unit(np.array(batch.column("_v").take(pa.array(rows)).to_pylist(), np.float64))).reshape(len(rows), -1).astype(np.float32)
+                    for low in range(0, len(rows), VECTOR_TILE):
+                        part = rows[low : low + VECTOR_TILE]
+                        for at in range(0, len(block[d][0]), QUERY_TILE):
+                            own = block[d][0][at : at + QUERY_TILE]
+                            guess = (asked[d][at : at + QUERY_TILE] @ near[low : low + VECTOR_TILE].T).astype(np.float64)
+                            lists[d].add(at, guess, keys[part], own[:, None] != ids[part][None, :])
             for d, found in lists.items():
                 yield found.rows(block[d][0])
 
@@ -170,8 +173,35 @@ def _kernel(k: int, books: dict[int, np.ndarray], shortlist: int):
     return on
 
 
+def reranked(pairs: DataFrame, k: int) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest of each query among the pairs (_q, _u: its vector, _id, _v), by the exact cosine."""
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            u, v = (batch.column(c) for c in ("_u", "_v"))
+            dims, out = np.diff(v.offsets.to_numpy()), np.zeros(len(batch))
+            for d in np.unique(dims):
+                rows = pa.array(np.flatnonzero(dims == d))
+                a, b = (x.take(rows).flatten().to_numpy(zero_copy_only=False).reshape(-1, d) for x in (u, v))
+                out[rows.to_numpy()] = cosines(a, b)
+            yield pa.RecordBatch.from_arrays([batch.column("_q"), batch.column("_id"), pa.array(out)], names=["_q", "_c", "_s"])
+
+    scored = pairs.select("_q", "_id", "_u", "_v").mapInArrow(trimmed(score), "_q long, _c long, _s double")
+    best = scored.withColumn("_r", F.row_number().over(Window.partitionBy("_q").orderBy(F.desc("_s"), "_c"))).where(F.col("_r") <= k)
+    return best.select(id_back("_q").alias("query_id"), F.col("_r").cast("int").alias("rank"), id_back("_c").alias("vec_id"), F.col("_s").alias("score"))
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE, shortlist: int = SHORTLIST) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score (cosine): for each row of ``queries`` the k nearest rows of ``vectors`` found."""
+    """query_id, rank (from 1), vec_id, score (cosine): for each row of ``queries`` the k nearest rows of ``vectors`` found.
+
+    Only codes are dealt to the tiles. The lists of all shards are narrowed to ``shortlist`` rows a query by their sums, and those
+    alone meet the vectors again, in a join on the rows' keys.
+    """
     index, books = build_index(vectors, id_col, vector_col, sample)
     asked = nonzero(valid_vectors(queries, id_col, vector_col))
-    return merged(partial_lists(index, asked, _kernel(k, books, shortlist), "double", index.count(), queries.count()), k)
+    whole = F.when(~F.size("_v").isin(list(books)), F.col("_v")) if books else F.col("_v")
+    codes = index.select("_key", "_id", "_code", F.size("_v").cast("int").alias("_d"), whole.alias("_v"))
+    lists = partial_lists(codes, asked, _kernel(books, max(k, shortlist)), "double", index.count(), queries.count())
+    found = narrowed(lists, max(k, shortlist)).select("_q", F.col("_c").alias("_key"))
+    one = asked.groupBy("_id").agg(F.min(F.struct(F.size("_v").alias("_n"), "_v")).alias("_least")).select(F.col("_id").alias("_q"), F.col("_least._v").alias("_u"))
+    return reranked(found.join(index.select("_key", "_id", "_v"), "_key").join(one, "_q"), k)

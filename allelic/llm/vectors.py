@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from allelic.llm.common import id_back, key_of, trimmed
@@ -154,10 +154,14 @@ def partial_lists(vectors: DataFrame, queries: DataFrame, kernel: Callable, kind
     return dealt.mapInArrow(trimmed(scan), f"_q long, _c long, _s {kind}, _shard int")
 
 
-def merged(lists: DataFrame, k: int, score: Column | None = None) -> DataFrame:
-    """query_id, rank, vec_id, score: the lists of all shards merged in two rounds."""
+def narrowed(lists: DataFrame, k: int) -> DataFrame:
+    """_q, _c, _s, _r (from 1): the k best of each query of the lists of all shards, in two rounds."""
     best = [F.col("_s").desc(), F.col("_c").asc()]
     near = lists.withColumn("_g", F.col("_shard") % FAN_IN)
     near = near.withColumn("_r", F.row_number().over(Window.partitionBy("_q", "_g").orderBy(*best))).where(F.col("_r") <= k)
-    last = near.withColumn("_r", F.row_number().over(Window.partitionBy("_q").orderBy(*best))).where(F.col("_r") <= k)
-    return last.select(id_back("_q").alias("query_id"), F.col("_r").cast("int").alias("rank"), id_back("_c").alias("vec_id"), F.col("_s").alias("score"))
+    return near.withColumn("_r", F.row_number().over(Window.partitionBy("_q").orderBy(*best))).where(F.col("_r") <= k)
+
+
+def merged(lists: DataFrame, k: int) -> DataFrame:
+    """query_id, rank, vec_id, score: the lists of all shards merged."""
+    return narrowed(lists, k).select(id_back("_q").alias("query_id"), F.col("_r").cast("int").alias("rank"), id_back("_c").alias("vec_id"), F.col("_s").alias("score"))
