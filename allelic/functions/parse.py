@@ -78,8 +78,8 @@ def _number(x: Column) -> Column:
 
 def _groups(text: Column, pattern: str, count: int) -> Column:
     marks = SEP.join(f"${{g{i}}}" for i in range(count))
-    out = F.split(F.regexp_replace(text, _named(pattern), marks), SEP)
-    return F.when(F.size(out) == count, out)
+    # bound to a name: the pattern is matched once
+    return F.get(F.filter(F.array(F.split(F.regexp_replace(text, _named(pattern), marks), SEP)), lambda g: F.size(g) == count), F.lit(0))
 
 
 def _named(pattern: str) -> str:

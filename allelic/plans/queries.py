@@ -222,23 +222,32 @@ def q_n_to_g(spark, sf_dir):
     return rows.select(F.col("ac").alias("tx_ac"), "n", mapping.n_to_g(F.col("exons"), F.col("n"), F.lit(0)).alias("g"))
 
 
-_CODING_PLACE = """CASE WHEN n > cds_end THEN '*' || CAST(n - cds_end AS VARCHAR) ELSE CAST(CASE WHEN n - cds_start >= 0 THEN n - cds_start + 1 ELSE n - cds_start END AS VARCHAR) END
-  || CASE WHEN o > 0 THEN '+' || CAST(o AS VARCHAR) WHEN o < 0 THEN CAST(o AS VARCHAR) ELSE '' END"""
-
-#: Both positions of every kind: those of a range are mapped each on its own, sequences are turned on the minus strand.
-_G_TO_C_TEXT = f"""
-SELECT l_orderkey, l_linenumber, l_partkey, tx_ac || ':c.' || place || CASE kind WHEN 0 THEN turned(substring(ref, 1, 1)) || '>' || turned(alt) WHEN 1 THEN 'del' WHEN 2 THEN 'ins' || turned(alt) WHEN 3 THEN 'dup' WHEN 4 THEN 'inv'
-  WHEN 5 THEN 'delins' || turned(alt) ELSE turned(ref) || '[3]' END AS coding
-FROM numbered LEFT JOIN (SELECT rid, string_agg(place, '_' ORDER BY which) AS place FROM (
-  SELECT rid, which, {_CODING_PLACE} AS place FROM (
-    SELECT *, row_number() OVER (PARTITION BY rid, which ORDER BY inside DESC, d, x) AS r FROM (
-      SELECT *, CASE WHEN g BETWEEN s AND e THEN 1 ELSE 0 END AS inside, least(abs(g - s), abs(g - e)) AS d,
-        CASE WHEN g BETWEEN s AND e THEN x * sz + CASE WHEN strand = 1 THEN g - s ELSE e - g END WHEN g < s THEN x * sz ELSE x * sz + sz - 1 END AS n,
-        CASE WHEN g BETWEEN s AND e THEN 0 WHEN strand = 1 THEN CASE WHEN g < s THEN g - s ELSE g - e END ELSE CASE WHEN g < s THEN s - g ELSE e - g END END AS o
-      FROM (SELECT *, 20 + CASE WHEN strand = 1 THEN x ELSE 2 - x END * th AS s, 20 + CASE WHEN strand = 1 THEN x ELSE 2 - x END * th + sz - 1 AS e
-        FROM ends JOIN (SELECT doc_id, strand, sz, th, cds_start, cds_end FROM tx) USING (doc_id), (SELECT unnest([0, 1, 2]) AS x)))) WHERE r = 1) GROUP BY rid) USING (rid) LEFT JOIN (SELECT doc_id, tx_ac, strand FROM tx) USING (doc_id)""".replace("turned(substring(ref, 1, 1))", "CASE WHEN strand = 1 THEN substring(ref, 1, 1) ELSE translate(substring(ref, 1, 1), 'ACGT', 'TGCA') END").replace("turned(alt)", "CASE WHEN strand = 1 THEN alt ELSE reverse(translate(alt, 'ACGT', 'TGCA')) END").replace("turned(ref)", "CASE WHEN strand = 1 THEN ref ELSE reverse(translate(ref, 'ACGT', 'TGCA')) END")
-_G_TO_C_TEXT = f""", numbered AS MATERIALIZED (SELECT row_number() OVER () AS rid, l_orderkey, l_linenumber, l_partkey, doc_id, pos0, len, kind, ref, alt FROM v),
-ends AS (SELECT rid, doc_id, 0 AS which, pos0 AS g FROM numbered UNION ALL SELECT rid, doc_id, 1, CASE WHEN kind = 2 THEN pos0 + 1 ELSE pos0 + len - 1 END FROM numbered WHERE kind = 2 OR len > 1 AND kind <> 0) {_G_TO_C_TEXT}"""
+def _coding_text(where: str, join: str) -> str:
+    """Texts of variants on coding sequences, row by row: of the three exons the one that a position is in, else the nearest (of equally near ones the first), is the least of a list; no window, no join but that with the transcript."""
+    start = "20 + CASE WHEN strand = 1 THEN x ELSE 2 - x END * th"
+    nearest = lambda g: f"list_min(list_transform([0, 1, 2], lambda x: [CASE WHEN {g} BETWEEN {start} AND {start} + sz - 1 THEN 0 ELSE 1 END, least(abs({g} - ({start})), abs({g} - ({start} + sz - 1))), x]))[3]"
+
+    def index(g: str, s: str, x: str) -> str:
+        e = f"({s} + sz - 1)"
+        n = f"{x} * sz + CASE WHEN {g} BETWEEN {s} AND {e} THEN CASE WHEN strand = 1 THEN {g} - {s} ELSE {e} - {g} END WHEN {g} < {s} THEN 0 ELSE sz - 1 END"
+        o = f"CASE WHEN {g} BETWEEN {s} AND {e} THEN 0 ELSE strand * CASE WHEN {g} < {s} THEN {g} - {s} ELSE {g} - {e} END END"
+        return f"{n} AS n{x[1]}, {o} AS o{x[1]}"
+
+    place = lambda k: f"""CASE WHEN n{k} > cds_end THEN '*' || CAST(n{k} - cds_end AS VARCHAR) ELSE CAST(CASE WHEN n{k} - cds_start >= 0 THEN n{k} - cds_start + 1 ELSE n{k} - cds_start END AS VARCHAR) END || CASE WHEN o{k} > 0 THEN '+' || CAST(o{k} AS VARCHAR) WHEN o{k} < 0 THEN CAST(o{k} AS VARCHAR) ELSE '' END"""
+    turned = lambda x: f"CASE WHEN strand = 1 THEN {x} ELSE reverse(translate({x}, 'ACGT', 'TGCA')) END"
+    return f"""
+SELECT l_orderkey, l_linenumber, l_partkey, tx_ac || ':c.' || {place(1)} || CASE WHEN g2 IS NULL THEN '' ELSE '_' || {place(2)} END || CASE kind WHEN 0 THEN {turned('substring(ref, 1, 1)')} || '>' || {turned('alt')} WHEN 1 THEN 'del' WHEN 2 THEN 'ins' || {turned('alt')}
+  WHEN 3 THEN 'dup' WHEN 4 THEN 'inv' WHEN 5 THEN 'delins' || {turned('alt')} ELSE {turned('ref')} || '[3]' END AS coding FROM (
+  SELECT *, {index('g1', 's1', 'x1')}, {index('g2', 's2', 'x2')} FROM (
+    SELECT *, 20 + CASE WHEN strand = 1 THEN x1 ELSE 2 - x1 END * th AS s1, 20 + CASE WHEN strand = 1 THEN x2 ELSE 2 - x2 END * th AS s2 FROM (
+      SELECT *, {nearest('g1')} AS x1, {nearest('g2')} AS x2 FROM (
+        SELECT l_orderkey, l_linenumber, l_partkey, len, kind, ref, alt, tx_ac, strand, sz, th, cds_start, cds_end, pos0 AS g1, CASE WHEN kind = 2 THEN pos0 + 1 WHEN len > 1 AND kind <> 0 THEN pos0 + len - 1 END AS g2
+        FROM v {join} (SELECT doc_id, tx_ac, strand, sz, th, cds_start, cds_end FROM tx) USING (doc_id) {where}))))"""
+
+
+_G_TO_C_TEXT = _coding_text("", "LEFT JOIN")
+#: The same for variants that meet the transcript.
+_G_TO_C_ALL_TEXT = _coding_text("WHERE pos0 <= 20 + 2 * th + sz AND (CASE WHEN kind = 2 THEN pos0 + 2 WHEN len > 1 AND kind <> 0 THEN pos0 + len ELSE pos0 + 1 END) >= 21", "JOIN")
 
 
 @query(_with(_G_TO_C_TEXT))
