@@ -241,21 +241,26 @@ def _variant(coord: str, x: list[Column], start: Column, end: Column, unsure: Co
     return F.struct(F.lit(coord).alias("coord"), x[0].alias("ac"), _none(x[1]).alias("gene"), start.cast(POSITION).alias("start"), end.cast(POSITION).alias("end"), unsure.alias("uncertain"), predicted.alias("predicted"), edit.alias("edit")).cast(VARIANT)
 
 
-def parse_variant(text: Column) -> Column:
-    """The variant struct of a text, null if it isn't one."""
+#: Kinds of coordinates, and how each is read.
+READERS = {"g": lambda t: _simple(t, "g"), "m": lambda t: _simple(t, "m"), "c": lambda t: _offset(t, "c"), "n": lambda t: _offset(t, "n"), "r": lambda t: _offset(t, "r"), "p": parse_protein}
+
+
+def parse_variant(text: Column, kinds: str = "gmcnrp") -> Column:
+    """The variant struct of a text, null if it isn't one of those kinds. The expression grows with the kinds; where all texts are of one kind it is a sixth."""
+    if len(kinds) == 1:
+        return READERS[kinds](text)
     kind = F.regexp_extract(text, rf"{HEAD}([cgmnrp]){W}\.", 3)
-    made = {"g": _simple(text, "g"), "m": _simple(text, "m"), "c": _offset(text, "c"), "n": _offset(text, "n"), "r": _offset(text, "r"), "p": parse_protein(text)}
-    return _when(*[(kind == k, v) for k, v in made.items()])
+    return _when(*[(kind == k, READERS[k](text)) for k in kinds])
 
 
 @lru_cache(maxsize=64)
-def _parsed(column: str, session: int) -> Column:
+def _parsed(column: str, session: int, kinds: str) -> Column:
     """The expression for a column of that name, built once: it has some thousand nodes."""
-    return parse_variant(F.col(column))
+    return parse_variant(F.col(column), kinds)
 
 
-def with_variant(df: DataFrame, text: str, to: str = "variant") -> DataFrame:
-    """Adds the variant struct, and ``<to>_error`` where the text isn't a variant."""
+def with_variant(df: DataFrame, text: str, to: str = "variant", kinds: str = "gmcnrp") -> DataFrame:
+    """Adds the variant struct, and ``<to>_error`` where the text isn't a variant of one of ``kinds``."""
     # the random number, never under 0, keeps the optimizer from copying the large expression into filters and joins
-    df = df.withColumn(to, F.when(F.rand(0) >= 0, _parsed(text, id(df.sparkSession._jvm))))
+    df = df.withColumn(to, F.when(F.rand(0) >= 0, _parsed(text, id(df.sparkSession._jvm), kinds)))
     return df.withColumn(f"{to}_error", F.when(F.col(to).isNull() & F.col(text).isNotNull(), F.struct(F.lit("PestError").alias("kind"), F.concat(F.lit("Parse error: "), F.col(text)).alias("message"))))

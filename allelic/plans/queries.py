@@ -35,7 +35,7 @@ def _with(body: str) -> str:
 
 
 def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_variant(synth.variant_texts(spark, sf_dir), "hgvs")
+    return with_variant(synth.variant_texts(spark, sf_dir), "hgvs", kinds="g")
 
 
 def _with_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -270,7 +270,7 @@ def q_region_overlap_counts(spark, sf_dir):
   CASE WHEN strand = 1 THEN b || '>' || translate(b, 'ACGT', 'CGTA') ELSE translate(b, 'ACGT', 'TGCA') || '>' || translate(translate(b, 'ACGT', 'CGTA'), 'ACGT', 'TGCA') END AS genomic
   FROM (SELECT *, n // sz AS k, n % sz AS i, substring(tx_seq, n + 1, 1) AS b FROM (SELECT *, CAST(unnest(range(cds_start, cds_end + 1)) AS INTEGER) AS n FROM txs))"""))
 def q_c_to_g(spark, sf_dir):
-    rows = with_variant(_c_substitutions(spark, sf_dir), "hgvs")
+    rows = with_variant(_c_substitutions(spark, sf_dir), "hgvs", kinds="c")
     return mapping.c_to_g(rows, synth.reference(spark, sf_dir)).select(F.col("variant.ac").alias("tx_ac"), format_variant(F.col("genomic")).alias("genomic"))
 
 
