@@ -5,7 +5,7 @@ quantised to one of 16 centroids (four bits). The codebooks minimise a loss that
 parallel to the vector ETA times the orthogonal part, since only the former changes the large inner products: codes are
 chosen by coordinate descent over the subspaces, centroids by the weighted normal equations. A query turns into a table
 of 16 products per subspace; a scan of the codes alone sums table entries by code, and a shard keeps one list of the SHORTLIST best
-rows a query. The lists of all shards are narrowed to SHORTLIST rows, which meet the original vectors and are scored exactly in doubles.
+rows a query. The lists of all shards are narrowed to WIDER times as many rows, which meet the original vectors and are scored exactly in doubles.
 
 The codebooks are fitted on at most ``sample`` rows (smallest hashes of the id); every row is encoded and searched.
 
@@ -28,7 +28,7 @@ from allelic.llm.vectors import QUERY_TILE, VECTOR_TILE, TopLists, matrices, nar
 
 CENTROIDS, SUB = 16, 2
 SAMPLE = 20_000
-SHORTLIST = 256
+SHORTLIST, WIDER = 256, 2
 #: Inner products above this share of the vectors' lengths are those that matter; it sets the weight of the parallel part.
 THRESHOLD = 0.2
 
@@ -194,14 +194,14 @@ def reranked(pairs: DataFrame, k: int) -> DataFrame:
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE, shortlist: int = SHORTLIST) -> DataFrame:
     """query_id, rank (from 1), vec_id, score (cosine): for each row of ``queries`` the k nearest rows of ``vectors`` found.
 
-    Only codes are dealt to the tiles. The lists of all shards are narrowed to ``shortlist`` rows a query by their sums, and those
-    alone meet the vectors again, in a join on the rows' keys.
+    Only codes are dealt to the tiles; each shard keeps ``shortlist`` rows a query. The lists of all shards are narrowed to WIDER times as
+    many rows by their sums, and those alone meet the vectors again, in a join on the rows' keys.
     """
     index, books = build_index(vectors, id_col, vector_col, sample)
     asked = nonzero(valid_vectors(queries, id_col, vector_col))
     whole = F.when(~F.size("_v").isin(list(books)), F.col("_v")) if books else F.col("_v")
     codes = index.select("_key", "_id", "_code", F.size("_v").cast("int").alias("_d"), whole.alias("_v"))
     lists = partial_lists(codes, asked, _kernel(books, max(k, shortlist)), "double", index.count(), queries.count())
-    found = narrowed(lists, max(k, shortlist)).select("_q", F.col("_c").alias("_key"))
+    found = narrowed(lists, WIDER * max(k, shortlist)).select("_q", F.col("_c").alias("_key"))
     one = asked.groupBy("_id").agg(F.min(F.struct(F.size("_v").alias("_n"), "_v")).alias("_least")).select(F.col("_id").alias("_q"), F.col("_least._v").alias("_u"))
     return reranked(found.join(index.select("_key", "_id", "_v"), "_key").join(one, "_q"), k)
