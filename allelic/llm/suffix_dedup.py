@@ -41,7 +41,7 @@ LEAST = 100
 #: Bytes of an anchor.
 ANCHOR = 20
 #: Occurrences up to which an anchor's contexts are grouped by the anchor; windows of a part of the contexts of others.
-HOT, PART = 4096, 3
+HOT, PART = 2048, 3
 #: Windows hashed at once; bytes of a block of contexts; bytes of contexts a task holds before it sends them.
 SLICE, BLOCK, HELD = 1 << 22, 1 << 20, 1 << 25
 _BYTE = np.random.default_rng(3).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
