@@ -109,17 +109,17 @@ class TopLists:
         return query_ids[r], self.ids[r, c], self.scores[r, c]
 
 
-def tiles(vectors: DataFrame, queries: DataFrame, rows: int, asked: int) -> tuple[DataFrame, int]:
+def tiles(vectors: DataFrame, queries: DataFrame, rows: int, asked: int, block: int | None = None) -> tuple[DataFrame, int]:
     """Rows of ``queries`` and ``vectors`` (_id, _v, ...) with _vector (false: a query), a partition for each pair of block and shard, queries first; and the number of blocks.
 
     A query id that repeats counts once, with its least vector. Vectors take their shards by turns, so rows that repeat are
     spread; ``vectors`` must be read from a table, where each attempt of a task meets its rows in the same order.
     """
-    blocks = max(1, -(-asked // QUERY_BLOCK))
+    blocks = max(1, -(-asked // (block or QUERY_BLOCK)))
     shards = max(1, -(-rows // SHARD), -(-vectors.sparkSession.sparkContext.defaultParallelism // blocks))
     one = queries.groupBy("_id").agg(F.min(F.struct(F.size("_v").alias("_n"), "_v")).alias("_least")).select("_id", "_least._v")
-    block = F.pmod(F.xxhash64("_id"), F.lit(blocks)).cast("int")
-    asked_rows = one.withColumn("_block", block).withColumn("_shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    own_block = F.pmod(F.xxhash64("_id"), F.lit(blocks)).cast("int")
+    asked_rows = one.withColumn("_block", own_block).withColumn("_shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     shard = F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int")
     dealt = vectors.withColumn("_shard", shard).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     both = dealt.withColumn("_vector", F.lit(True)).unionByName(asked_rows.withColumn("_vector", F.lit(False)), allowMissingColumns=True)
@@ -127,9 +127,9 @@ def tiles(vectors: DataFrame, queries: DataFrame, rows: int, asked: int) -> tupl
     return both.repartitionById(blocks * shards, tile).sortWithinPartitions("_vector").drop("_block", "_shard"), blocks
 
 
-def partial_lists(vectors: DataFrame, queries: DataFrame, kernel: Callable, kind: str, rows: int, asked: int) -> DataFrame:
-    """_q, _c, _s, _shard: top lists of each tile. kernel(block) makes a function from batches of vectors to (query ids, candidate ids, scores); rows and asked: how many vectors and queries there are at most."""
-    dealt, blocks = tiles(vectors, queries, rows, asked)
+def partial_lists(vectors: DataFrame, queries: DataFrame, kernel: Callable, kind: str, rows: int, asked: int, block: int | None = None) -> DataFrame:
+    """_q, _c, _s, _shard: top lists of each tile. kernel(block) makes a function from batches of vectors to (query ids, candidate ids, scores); rows and asked: how many vectors and queries there are at most; block: queries of a block."""
+    dealt, blocks = tiles(vectors, queries, rows, asked, block)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
