@@ -50,3 +50,14 @@ def test_rows_without_a_key_are_dealt(spark):
     assert sorted(x["id"] for x in got) == list(range(400)) and [x["bases"] for x in got if x["bases"]] == [SEQ[3:7]]
     # 399 rows without a key, over more than one of the four tasks
     assert len({x["task"] for x in got if x["bases"] is None}) > 1
+
+
+def test_settled_protein_pairs_meet_no_proteins(spark):
+    rows = spark.createDataFrame([(1, "NP_1.1:p.Lys2Asn", "NP_1.1:p.Glu2Asn"), (2, "NP_1.1:p.Lys2del", "NP_1.1:p.Lys2del"), (3, "NP_1.1:p.Lys2del", None), (4, "NP_1.1:p.Lys2del", "NP_1.1:p.Lys3del")], "k int, s string, t string")
+    rows = with_variant(with_variant(rows, "s", "x", kinds="p"), "t", "y", kinds="p")
+    proteins = spark.createDataFrame([("NP_1.1", "MKKA")], "ac string, residues string")
+    level = lambda df: equivalence.protein_pair_level(df, "x", "y", "level", proteins, F.col("s") == F.col("t"))
+    settled = level(rows.where("k < 4"))
+    assert "Join" not in settled._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["k"]: r["level"] for r in settled.collect()} == {1: "Different", 2: "Identity", 3: None}
+    assert {r["k"]: r["level"] for r in level(rows).collect()} == {1: "Different", 2: "Identity", 3: None, 4: "Analogous"}
