@@ -83,3 +83,29 @@ def test_tables_are_built_when_asked_for(spark, tmp_path, monkeypatch):
     built.clear()
     synth.reference(spark, str(tmp_path), of_transcripts=False).windows.count()
     assert set(built) == {"genome", "sequence windows"}
+
+
+def test_pairs_on_one_transcript_take_one_lookup(spark, monkeypatch):
+    from allelic.operators import equivalence
+
+    seq = "ACGTTGCAAGGCTTACCGATTGACCAGTAACGTAGCTTGA" * 80
+    size = len(seq) // 2
+    models = [(f"N{k}.1", "NC_1.1", "G", s, 0, 2 * size - 1, [(0, size - 1, s), (size, 2 * size - 1, s)][::s], None, 1, 2 * size) for k, s in ((1, 1), (2, -1))]
+    models.append(("N3.1", "NC_1.1", "G", 1, 0, size - 1, [(0, size - 1, 1)], None, 1, size))
+    r = Reference(spark.createDataFrame([("NC_1.1", seq)], "ac string, seq string"), spark.createDataFrame(models, MODEL))
+    edits = ["5del", "6del", "5_6del", "5_6dup", "6_7insAC", "9_10inv", "5delinsGA", "5_6GT[3]", "2500del"]
+    pairs = [(f"{a}:{c}.{x}", f"{b}:{c}.{y}") for c in "cn" for a, b in (("N1.1", "N1.1"), ("N2.1", "N2.1"), ("N1.1", "N3.1")) for x in edits for y in edits if not (b == "N3.1" and y == "2500del")]
+    pairs.append(("N1.1:c.5del", "N9.1:c.5del"))
+    rows = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "_row long, s string, t string")
+    rows = with_variant(with_variant(rows, "s", "x", kinds="cn"), "t", "y", kinds="cn").select("_row", "x", "y").cache()
+    looked_up, transcript = [], equivalence.with_transcript
+    monkeypatch.setattr(equivalence, "with_transcript", lambda df, *a: looked_up.append(df.count()) or transcript(df, *a))
+    got = {p["_row"]: p["near"] for p in equivalence.nucleotide_pairs(rows, r, "x", "y", "near").collect()}
+    assert looked_up == [4 * 81, 2 * 72 + 1, 2 * 72 + 1]
+    # each pair apart: every side looks up its own bases
+    monkeypatch.setattr(equivalence, "MARGIN", -1)
+    want = {p["_row"]: p["near"] for p in equivalence.nucleotide_pairs(rows, r, "x", "y", "near").collect()}
+    assert got == want and len(got) == len(pairs) - 1 and 0 < sum(got.values()) < len(got)
+    # no side of a pair of non-coding variants meets the sequences
+    monkeypatch.setattr(equivalence, "_told", None)
+    assert len(equivalence.nucleotide_pairs(rows.where("x.coord = 'n'"), r, "x", "y", "near").collect()) == 2 * 81 + 72
