@@ -136,3 +136,31 @@ def test_registered_query(spark, docs, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     got = op11_language_id(spark, str(tmp_path))
     assert got.count() == docs.count() and {"doc_id", "held_out", "lang_pred", "score"} <= set(got.columns)
+
+
+def test_fewer_keys_change_no_score(spark, docs):
+    """What the arrays don't hold is looked up in the tables: a bound on the arrays changes no result."""
+    other = frame(spark, [(9000, "unseen жжж kaqq", None), (9001, "kakakaka strañu", None), (9001, "kakakaka strañu", None), (9002, "", None), (9003, None, None)])
+    some = docs.where("doc_id is null or doc_id <> 404").unionByName(other)
+    whole, fewer = language_id.fit(docs), language_id.fit(docs, ngrams=60)
+    assert whole.rest is None and fewer.rest is not None and max(len(level.keys) for level in fewer.levels) == 60
+    assert fewer.temperature == pytest.approx(whole.temperature) and np.allclose(fewer.limits, whole.limits, rtol=1e-4)
+    key = lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["lang_pred"])
+    want, got = (sorted(language_id.identify(some, m).collect(), key=key) for m in (whole, fewer))
+    assert len(want) == len(got) == some.count()
+    for a, b in zip(want, got, strict=True):
+        assert (a["doc_id"], a["held_out"], a["lang_pred"], a["rejected"]) == (b["doc_id"], b["held_out"], b["lang_pred"], b["rejected"])
+        assert a["score"] == pytest.approx(b["score"], abs=1e-4)
+        assert a["cross_entropy"] == (None if a["cross_entropy"] is None else pytest.approx(b["cross_entropy"], rel=1e-4)) if b["cross_entropy"] is not None else a["cross_entropy"] is None
+
+
+def test_sums_leave_nothing_out(monkeypatch, spark, docs):
+    """Each 4-gram of each text is in the sums or among those for the tables, in slices as well."""
+    model = language_id.fit(docs, ngrams=40)
+    texts = ["", "kalo kalo mi", "", "!", "strein och", "ту"]
+    whole = model.sums(texts)
+    monkeypatch.setattr(language_id, "SLICE", 5)
+    sliced = model.sums(texts)
+    assert np.allclose(whole[0], sliced[0], atol=1e-5) and (whole[1] == sliced[1]).all()
+    count = lambda s: sum((Counter({(int(t), int(g)): int(n)}) for t, g, n in zip(*s[3], strict=True)), Counter())
+    assert count(whole) == count(sliced) and {t for t, _ in count(whole)} <= {1, 3, 4, 5}
