@@ -109,3 +109,24 @@ def test_pairs_on_one_transcript_take_one_lookup(spark, monkeypatch):
     # no side of a pair of non-coding variants meets the sequences
     monkeypatch.setattr(equivalence, "_told", None)
     assert len(equivalence.nucleotide_pairs(rows.where("x.coord = 'n'"), r, "x", "y", "near").collect()) == 2 * 81 + 72
+
+
+def test_proteins_by_window(spark, monkeypatch):
+    """Pairs on one protein meet a stretch of it, with what whole proteins tell."""
+    from allelic.functions.format import format_variant
+    from allelic.operators import equivalence
+
+    protein = "MKKLANNGGGSTKKLAGWW*" + "ACDEFGHIKL" * 30
+    proteins = spark.createDataFrame([("NP_1.1", protein), ("NP_2.1", protein[:30]), ("NP_3.1", "M-K")], "ac string, residues string")
+    edits = ["Lys2del", "Lys3del", "Asn6dup", "Asn6_Asn7insAsn", "Gly8_Gly9dup", "Asn6Asp", "Trp18_Trp19delinsTer", "Gly8[3]", "Lys13fs", "Ala300del", "Lys2="]
+    acs = [("NP_1.1", "NP_1.1"), ("NP_1.1", "NP_2.1"), ("NP_3.1", "NP_3.1"), ("NP_9.1", "NP_9.1")]
+    rows = [(i, f"{a}:p.{s}", f"{b}:p.{t}") for i, (a, b, s, t) in enumerate((a, b, s, t) for a, b in acs for s in edits for t in edits)]
+    rows = with_variant(with_variant(spark.createDataFrame(rows, "i int, s string, t string"), "s", "x", kinds="p"), "t", "y", kinds="p").select("i", "x", "y").cache()
+    same = format_variant(F.col("x")) == format_variant(F.col("y"))
+    levels = lambda: {r["i"]: r["level"] for r in equivalence.protein_pair_level(rows, "x", "y", "level", proteins, same).select("i", "level").collect()}
+    whole, met = equivalence._in_proteins, []
+    monkeypatch.setattr(equivalence, "_in_proteins", lambda df, *k: met.append(df.count()) or whole(df, *k))
+    got = levels()
+    assert 0 < met[0] < len(got) / 2
+    monkeypatch.setattr(equivalence, "MARGIN", -1)
+    assert got == levels() and set(got.values()) == {"Identity", "Analogous", "Different"} and len(got) == 484
